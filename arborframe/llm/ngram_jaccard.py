@@ -259,7 +259,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     stats = written(_through_fragments(known, fragments, words, False).groupBy("batch").applyInArrow(_sum_shared, "doc_id long, n long, k1 long, k2 long, shared long"))
     linked = stats.where(f"n > 0 and 100 * shared >= {percent} * n")
     classes = written(linked.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id")))
-    wanted = known.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = known.join(classes.select(F.col("class_id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")  # the ids grow with the corpus: never broadcast
     sets = written(_through_fragments(wanted, fragments, words, True).groupBy("batch").applyInArrow(_ordered(percent), "doc_id long, n long, prefix long, h binary"))
     entries = sets.mapInArrow(_prefixes, "h long, doc_id long")
     star = entries.join(entries.groupBy("h").agg(F.min("doc_id").alias("first")), "h").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
