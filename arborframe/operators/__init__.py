@@ -1 +1 @@
-"""operators of the engine."""
+"""Operators: binning, histograms, split search, sampling, ranking, trees and growth."""

@@ -1 +1 @@
-"""plans of the engine."""
+"""Plans: how training, prediction and cross-validation become Spark jobs."""
