@@ -1 +1 @@
-"""functions of the engine."""
+"""Losses, transforms and metrics as expressions and aggregates."""

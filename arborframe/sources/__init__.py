@@ -1 +1 @@
-"""sources of the engine."""
+"""Sources and sinks: arrays, frames, sparse matrices and text files."""
