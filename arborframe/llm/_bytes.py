@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer document is a chunk of its own.
-CHUNK = 3 << 20
+CHUNK = 1_000_000
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
@@ -64,7 +64,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base % 2**64, 1 << max(22, int(n).bit_length()))[:n]
+    return _powers(base % 2**64, 1 << max(20, int(n).bit_length()))[:n]
 
 
 class PrefixHash:

@@ -36,6 +36,8 @@ LENGTH = 100
 GRAM = 24
 #: Contexts of one anchor beyond which its strings are dealt out by their own hashes.
 HOT = 20_000
+#: Bytes of text whose contexts a worker holds at once.
+SLICE = 8 << 20
 #: Strings sorted at once in a task.
 PIECE = 300_000
 
@@ -76,15 +78,19 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64())
 _FOUND_SQL = "doc_id long, s long, e long, h long, place long, several long"
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, bytes, offsets) of up to SLICE bytes, or of one longer text."""
+    for batch in batches:
+        ids = np.asarray(column(batch, "doc_id"))
+        for i, j, data, off in chunks(*buffer(column(batch, "text")), SLICE):
+            yield ids[i:j], data, off
+
+
 def _send(fragments: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            ids = np.asarray(column(batch, "doc_id"))
-            data, off = buffer(column(batch, "text"))
+        for number, (ids, data, off) in enumerate(_slices(batches)):
             parts = [(i, contexts(d, o, length, gram)) for i, _, d, o in chunks(data, off)]
-            if not parts:
-                continue
             h, c, row, s, place, more = (np.concatenate([p[k] for _, p in parts]) if k != 2 else np.concatenate([p[2] + i for i, p in parts]) for k in range(6))
             doc = ids[row]
             order = np.lexsort((s, doc, c, h))
