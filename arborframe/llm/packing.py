@@ -36,6 +36,8 @@ TOKENIZER = "word_bpe_49k.json"
 LEAST_SHARE = 1 / 128
 #: Weights are integers that sum to about this.
 SCALE = 1 << 20
+#: Bytes of text whose ids a worker holds at once.
+SLICE = 4 << 20
 #: Distinct pieces of text that a worker remembers.
 REMEMBERED = 600_000
 _LETTER = np.zeros(256, bool)
@@ -58,22 +60,55 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 1
         self.pool[0] = self.end  # slot 0: the id that ends a document
-        self.start, self.length = [0], [1]
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        for key, e in zip(keys, got, strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.pool):
+        self.start, self.length, self.slots = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int32), 1
+        self.known, self.known_slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted
+        self.recent: dict[int, int] = {}
+
+    def _settle(self) -> None:
+        """Moves the recent keys into the sorted arrays, which need a tenth of a dict's memory."""
+        keys = np.concatenate([self.known, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))])
+        slots = np.concatenate([self.known_slot, np.fromiter(self.recent.values(), np.int64, len(self.recent))])
+        order = np.argsort(keys, kind="stable")
+        self.known, self.known_slot, self.recent = keys[order], slots[order], {}
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Slots of new pieces."""
+        first = self.slots
+        for i in range(0, len(pieces), 4096):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
+            n = np.fromiter(map(len, got), np.int32, len(got))
+            flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(n.sum()))
+            while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.slot[key] = len(self.start)
-            self.start.append(self.used)
-            self.length.append(len(ids))
-            self.used += len(ids)
+            while self.slots + len(n) > len(self.start):
+                self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.start[self.slots : self.slots + len(n)] = self.used + np.cumsum(n) - n
+            self.length[self.slots : self.slots + len(n)] = n
+            self.used, self.slots = self.used + len(flat), self.slots + len(n)
+        return np.arange(first, self.slots)
+
+    def _slots(self, distinct: np.ndarray, at: np.ndarray, low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        if self.slots + len(distinct) > REMEMBERED:
+            self.forget()
+        out = np.full(len(distinct), -1, np.int64)
+        if len(self.known):
+            i = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+            hit = self.known[i] == distinct
+            out[hit] = self.known_slot[i[hit]]
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = self.recent.get(int(distinct[i]), -1)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            raw = low.tobytes()
+            a, b = s[at[new]].tolist(), e[at[new]].tolist()
+            out[new] = self._learn([raw[x:y].decode() for x, y in zip(a, b, strict=True)])
+            self.recent.update(zip(distinct[new].tolist(), out[new].tolist(), strict=True))
+            if len(self.recent) > 60_000:
+                self._settle()
+        return out
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each row, the end id included, one row after the other, and how many each row has."""
@@ -92,18 +127,11 @@ class Encoder:
         e = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
         h = mix(PrefixHash(low).of(s, e) ^ (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slot) + len(distinct) > REMEMBERED:
-            self.forget()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slot]
-        if new:
-            raw = low.tobytes()
-            self._learn([keys[i] for i in new], [raw[s[at[i]] : e[at[i]]].decode() for i in new])
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[back]
+        slots = self._slots(distinct, at, low, s, e)[back]
         words = np.searchsorted(s, off)
         slots = np.insert(slots, words[1:], 0)
-        length = np.array(self.length)[slots]
-        ids = self.pool[ranges(np.array(self.start)[slots], length)]
+        length = self.length[slots].astype(np.int64)
+        ids = self.pool[ranges(self.start[slots], length)]
         sums = np.concatenate([[0], np.cumsum(length)])
         to = words + np.arange(len(words))
         return ids, sums[to[1:]] - sums[to[:-1]]
@@ -139,18 +167,16 @@ def _tokenise(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, enc = TaskContext.get().partitionId(), {}, encoder(tokenizer)
         for batch in batches:
-            data, off = buffer(column(batch, "text"))
-            sources = column(batch, "source").to_pylist()
-            ids = list(enc.texts(data, off))
-            before = []
-            for s, x in zip(sources, ids, strict=True):
-                before.append(seen.get(s, 0))
-                seen[s] = before[-1] + len(x)
-            for i in range(0, len(ids), 2000):
-                j = i + 2000
-                small = [x.astype(np.uint16 if x.max() < 65536 else np.uint32).tobytes() for x in ids[i:j]]
+            text, docs, sources = buffer(column(batch, "text")), column(batch, "doc_id"), column(batch, "source")
+            for i, j, data, off in chunks(*text, SLICE):
+                ids = list(enc.texts(data, off))
+                before = []
+                for s, x in zip(sources[i:j].to_pylist(), ids, strict=True):
+                    before.append(seen.get(s, 0))
+                    seen[s] = before[-1] + len(x)
+                small = [x.astype(np.uint16 if x.max() < 65536 else np.uint32).tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id")[i:j], column(batch, "source")[i:j], pa.array([part] * len(small), pa.int32()), pa.array(before[i:j], pa.int64()), pa.array([len(x) for x in ids[i:j]], pa.int64()), pa.array(small, pa.binary())],
+                    [docs[i:j], sources[i:j], pa.array([part] * len(small), pa.int32()), pa.array(before, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())],
                     ["doc_id", "source", "part", "before", "n", "ids"],
                 )
 
@@ -263,20 +289,21 @@ _PIECES_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 def _cut_pieces(schedule: Schedule, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
+        types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
+        k = 9 if with_ids else 8
         for batch in batches:
-            cols = [column(batch, c).to_pylist() for c in ("doc_id", "queue", "place", "n", "ids", "source")]
-            out = []
-            for doc, queue, place, n, raw, source in zip(*cols, strict=True):
-                ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4").tobytes()
-                for w, offset, at, length in schedule.pieces(queue, place, n):
-                    s = at - place
-                    own = ids[4 * s : 4 * (s + length)]
-                    out.append((doc, s, length, zlib.crc32(own), n, w, offset, source, own if with_ids else None))
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
-            types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
-            k = 9 if with_ids else 8
-            for i in range(0, len(out), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out[i : i + 50_000], strict=True))[:k], types[:k], strict=True)], names[:k])
+            for first in range(0, batch.num_rows, 500):
+                cols = [column(batch, c)[first : first + 500].to_pylist() for c in ("doc_id", "queue", "place", "n", "ids", "source")]
+                out = []
+                for doc, queue, place, n, raw, source in zip(*cols, strict=True):
+                    ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4").tobytes()
+                    for w, offset, at, length in schedule.pieces(queue, place, n):
+                        s = at - place
+                        own = ids[4 * s : 4 * (s + length)]
+                        out.append((doc, s, length, zlib.crc32(own), n, w, offset, source, own if with_ids else None))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True))[:k], types[:k], strict=True)], names[:k])
 
     return run
 
