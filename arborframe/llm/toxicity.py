@@ -1,12 +1,14 @@
 """Toxicity by subword-bag embeddings.
 
-A text is the set of its distinct words, a word the bag of its hashed character n-grams and itself. The embeddings of a
-text's subwords are averaged into a linear softmax; embeddings and softmax are trained together by mini-batch Adagrad in
-numpy. A misspelt word that training never saw shares most n-gram vectors with the word it stands for.
+A word is the bag of its hashed character n-grams and itself. The embeddings of a passage's subwords are averaged into a
+linear softmax; embeddings and softmax are trained together by mini-batch Adagrad in numpy. A misspelt word that training
+never saw shares most n-gram vectors with the word it stands for. A text is as toxic as its worst passage: averaged over
+thousands of words, a few insults would vanish. The first epoch trains on whole texts, later ones on each text's worst
+passage so far, for both labels, so that the threshold allows for long texts having more passages.
 
 Training uses a bounded sample of labelled rows (TRAIN_ROWS, those with the least hash of their doc_id). Since everything
 after the average is linear, a model is one number per subword and class difference, and scoring adds one number per
-distinct word; the model that goes to the executors has a fixed size.
+word; the model that goes to the executors has a fixed size.
 """
 
 from __future__ import annotations
@@ -18,36 +20,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import buffer, chunks, column
+from ._bytes import buffer, chunks, column, ranges
 from ._grams import distinct, fold, grams, letter_words
 
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 5000
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIM = 8
-EPOCHS = 12
+EPOCHS = 6
 BATCH = 64
 RATE = 0.5
 FOLDS = 5
+#: Words of a passage, and from one passage to the next.
+PASSAGE, STEP = 24, 12
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0
 
 
-def bags(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each chunk: row and distinct word of each pair, (word, bucket) of the distinct words, rows."""
-    for _, _, d, o in chunks(data, off):
-        low = fold(d)
-        s, e, first = letter_words(low, o)
-        rows = np.repeat(np.arange(len(o) - 1), np.diff(first))
-        if not len(s):
-            yield rows, rows, rows, rows, len(o) - 1
-            continue
-        _, at, which = distinct(low, s, e)
-        pair = np.unique(rows * np.int64(len(at)) + which)
-        word, bucket = grams(low, s[at], e[at], SIZES, BUCKETS, True)
-        yield pair // len(at), pair % len(at), word, bucket, len(o) - 1
+class Bags:
+    """Words and subwords of some texts: word x of text i is distinct word which[first[i] + x], with subwords bucket[to[w]:to[w + 1]]."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        low = fold(data)
+        s, e, self.first = letter_words(low, off)
+        _, at, self.which = distinct(low, s, e) if len(s) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        word, bucket = grams(low, s[at], e[at], SIZES, BUCKETS, True) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(word, kind="stable")
+        self.word, self.bucket = word[order], bucket[order].astype(np.int32)
+        self.to = np.searchsorted(self.word, np.arange(len(at) + 1))
+        n = np.diff(self.first)
+        k = np.maximum(1, -(-(n - STEP) // STEP))
+        self.row = np.repeat(np.arange(len(n)), k)
+        inside = ranges(np.zeros(len(k), np.int64), k) * STEP
+        self.a = self.first[self.row] + inside
+        self.b = np.minimum(self.a + PASSAGE, self.first[self.row + 1])
+
+    def values(self, value: np.ndarray) -> np.ndarray:
+        """Mean subword value of each passage; 0 without words."""
+        total = np.bincount(self.word, value[self.bucket], len(self.to) - 1)
+        s = np.concatenate([[0.0], np.cumsum(total[self.which])])
+        c = np.concatenate([[0.0], np.cumsum(np.diff(self.to)[self.which])])
+        return (s[self.b] - s[self.a]) / np.maximum(c[self.b] - c[self.a], 1)
+
+    def worst(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest value of each text's passages, and the passage."""
+        v = self.values(value)
+        edge = np.flatnonzero(np.concatenate([[True], self.row[1:] != self.row[:-1]])) if len(self.row) else np.zeros(0, np.int64)
+        top = np.maximum.reduceat(v, edge) if len(edge) else v
+        at = np.flatnonzero(v == top[self.row])
+        return top, at[np.concatenate([[True], self.row[at][1:] != self.row[at][:-1]])] if len(at) else at
+
+    def subwords(self, words: np.ndarray) -> np.ndarray:
+        return self.bucket[ranges(self.to[words], self.to[words + 1] - self.to[words])]
 
 
 class Model:
@@ -55,11 +81,7 @@ class Model:
         self.value, self.bias = value, bias
 
     def scores(self, text: pa.Array) -> np.ndarray:
-        out = []
-        for row, which, word, bucket, n in bags(*buffer(text)):
-            k = int(word.max(initial=-1)) + 1
-            total, count = np.bincount(word, self.value[bucket], k), np.bincount(word, minlength=k)
-            out.append(np.bincount(row, total[which], n) / np.maximum(np.bincount(row, count[which].astype(np.float64), n), 1))
+        out = [Bags(d, o).worst(self.value)[0] for _, _, d, o in chunks(*buffer(text))]
         z = np.concatenate(out) + self.bias if out else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
@@ -70,23 +92,22 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, dim
     share = (y.sum() + 1) / (len(y) + 2)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    each = []
-    for row, which, word, bucket, n in bags(*buffer(pa.array(texts, pa.large_string()))):
-        order = np.argsort(word, kind="stable")
-        word, bucket = word[order], bucket[order].astype(np.int32)
-        to = np.searchsorted(word, np.arange(int(word.max(initial=-1)) + 2))
-        cut = np.searchsorted(row, np.arange(n + 1))
-        for i in range(n):
-            w = which[cut[i] : cut[i + 1]]
-            each.append(np.concatenate([bucket[to[x] : to[x + 1]] for x in w]) if len(w) else np.zeros(0, np.int32))
+    parts = [Bags(d, o) for _, _, d, o in chunks(*buffer(pa.array(texts, pa.large_string())))]
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     b = np.log(np.array([1 - share, share], np.float32))
     ge, gw, gb = np.full_like(e, 1e-6), np.full_like(w, 1e-6), np.full_like(b, 1e-6)
-    size = np.array([len(x) for x in each])
-    use = np.flatnonzero(size)
     for epoch in range(epochs):
+        each = []
+        for p in parts:
+            if epoch:
+                _, at = p.worst((e @ (w[:, 1] - w[:, 0])).astype(np.float64))
+                each += [p.subwords(p.which[i:j]) for i, j in zip(p.a[at].tolist(), p.b[at].tolist(), strict=True)]
+            else:
+                each += [p.subwords(np.unique(p.which[i:j])) for i, j in zip(p.first[:-1].tolist(), p.first[1:].tolist(), strict=True)]
+        size = np.array([len(x) for x in each])
+        use = np.flatnonzero(size)
         now = rate * (1 - epoch / epochs)
         rng.shuffle(use)
         for i in range(0, len(use), BATCH):
