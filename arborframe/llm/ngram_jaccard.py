@@ -273,13 +273,12 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     tasks = placed.where("blocks = 1").select(one.alias("task"), *columns).union(placed.where("blocks > 1").withColumn("other", other).select(pair.alias("task"), *columns))
     edges = tasks.groupBy("task").applyInArrow(block_links(percent), "a long, b long")
     # a doc_id with several texts joins their classes
-    member = linked.join(classes, ["n", "k1", "k2"]).select("doc_id", "class_id").distinct()
-    several = member.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("c"), F.count("*").alias("k")).where("k > 1").select("doc_id")
+    rows = stats.join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
+    member = rows.where("n > 0")
+    several = member.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("c")).where("b <> c").select("doc_id")
     also = member.join(several, "doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     found = components(edges.union(also)).withColumnRenamed("node", "class_id")
-    out = stats.join(classes, ["n", "k1", "k2"], "left").join(found, "class_id", "left")
-    own = F.coalesce("class_id", "doc_id")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", own).alias("component_id"), own.alias("class_id"))
+    out = rows.join(found, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
     lost = docs.where("doc_id is null").mapInArrow(_sizes(words), "doc_id long, n_shingles long, component_id long, class_id long")
     return out.union(lost)
 
