@@ -274,3 +274,22 @@ def test_gradients_by_finite_differences():
     for name, loss in {"regression": lambda s: (s - y) ** 2 / 2, "poisson": lambda s: np.exp(s) - y * s, "gamma": lambda s: y * np.exp(-s) + s, "cross_entropy": lambda s: np.log1p(np.exp(s)) - y * s}.items():
         g, _ = losses.pointwise(name, s, y, None, {})
         assert np.allclose(g, (loss(s + e) - loss(s - e)) / (2 * e), atol=1e-4)
+
+
+def test_grouped_losses(frame):
+    """The softmax of a group against its label shares; its gradient equals that of the listwise formula."""
+    from arborframe.operators import grouped
+
+    def listwise(s, y, w):
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        return p * y.sum() - y, (np.diag(p) - np.outer(p, p)) * y.sum()
+
+    got = grouped.gradients(frame, "q", "id", "y", "rel", listwise).collect()
+    assert len(got) == N and abs(sum(r.g for r in got)) < 1e-6 and all(r.h >= 0 for r in got)
+    b = A.train({"objective": grouped.objective(listwise), "num_leaves": 4}, A.Dataset(frame, "rel", feature_name=FEATS, group="q"), 2)
+    assert b.num_trees() == 2
+    m = np.array([[2.0, -1.0], [-1.0, 2.0]])
+    assert grouped.diagonal(m).tolist() == [2, 2] and grouped.diagonal(m, "gershgorin").tolist() == [3, 3]
+    with pytest.raises(ValueError):
+        grouped.diagonal(m, "exact")
