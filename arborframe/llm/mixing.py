@@ -66,14 +66,12 @@ def rake_frame(cells: DataFrame, targets: dict[str, dict], rounds: int = ROUNDS)
     """The same for cells (the margins, tokens, raked) that are too many for the driver: each step is a sum per name and a join with it."""
     spark = cells.sparkSession
     goal = cells.agg(F.sum("tokens")).first()[0] or 0
-    for r in range(rounds):
+    for _ in range(rounds):
         for m in MARGINS:
             share = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], f"{m} string, share double")
             now = cells.groupBy(m).agg(F.sum("raked").alias("now")).join(share, m, "left")
             f = now.select(m, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * goal / F.col("now")).otherwise(1.0).alias("f"))
-            cells = cells.join(f, m).withColumn("raked", F.col("raked") * F.col("f")).drop("f")
-        if r % 5 == 4:
-            cells = written(cells)
+            cells = written(cells.join(f, m).withColumn("raked", F.col("raked") * F.col("f")).drop("f"))  # used twice by the next step
     return cells
 
 

@@ -23,16 +23,18 @@ from pyspark.sql import functions as F
 from ._bytes import buffer, chunks, column, ranges
 from ._grams import distinct, fold, grams, letter_words
 
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 7000
 BUCKETS = 1 << 17
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 DIM = 8
 EPOCHS = 6
 BATCH = 64
+#: Few rows are gone over more often, up to so many batches.
+BATCHES = 300
 RATE = 0.5
 FOLDS = 5
 #: Words of a passage, and from one passage to the next.
-PASSAGE, STEP = 24, 12
+PASSAGE, STEP = 12, 6
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -92,6 +94,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, dim
     share = (y.sum() + 1) / (len(y) + 2)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+    epochs = max(epochs, BATCHES // -(-len(y) // BATCH))
     parts = [Bags(d, o) for _, _, d, o in chunks(*buffer(pa.array(texts, pa.large_string())))]
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)

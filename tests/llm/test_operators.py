@@ -350,15 +350,13 @@ def test_mixing(spark):
 
 
 def test_raking_on_frames_agrees(spark):
-    rows = [(i, prose(20 + i % 50, i), ["en", "de"][i % 2], f"s{i % 3}") for i in range(60)]
-    a = {r.doc_id: r.probability for r in mixing.mix(table(spark, rows)).collect()}
-    old, mixing.ROUNDS = mixing.ROUNDS, 3
-    try:
-        mixing.rake_frame.__defaults__, keep = (6,), mixing.rake_frame.__defaults__
-        b = {r.doc_id: r.probability for r in mixing.mix(table(spark, rows), most_cells=0).collect()}
-    finally:
-        mixing.ROUNDS, mixing.rake_frame.__defaults__ = old, keep
-    assert all(abs(a[i] - b[i]) < 0.02 for i in a)
+    cells = [(f"s{i}", l, "t", 10.0 + i * 3 + len(l)) for i in range(3) for l in ("en", "de", "fra")]
+    shares = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}, "lang": {"en": 0.2, "de": 0.2, "fra": 0.6}, "topic": {"t": 1.0}}
+    df = spark.createDataFrame([(*c, c[3]) for c in cells], "source string, lang string, topic string, tokens double, raked double")
+    got = {(r.source, r.lang): r.raked for r in mixing.rake_frame(df, shares, 2).collect()}
+    codes = np.array([[int(c[0][1]), ["en", "de", "fra"].index(c[1]), 0] for c in cells])
+    want = mixing.rake(codes, np.array([c[3] for c in cells]), [np.array([0.5, 0.3, 0.2]), np.array([0.2, 0.2, 0.6]), np.array([1.0])], 2)
+    assert all(math.isclose(got[c[0], c[1]], w, rel_tol=1e-9) for c, w in zip(cells, want))
 
 
 def test_capped_scale():
