@@ -127,7 +127,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = rows.where("lang is not null and doc_id is not null and text is not null").where(~held_out()).select("doc_id", "lang").distinct()
-    # the least hashes of each language: min_by of bounded lists, not a window over a whole language
+    # a hash threshold first, so that the window below sees about 1.2 * train_rows rows of a language, not all of it
     share = known.withColumn("h", F.xxhash64("doc_id", "lang"))
     per = share.groupBy("lang").agg(F.count("*").alias("n"))
     limit = share.join(F.broadcast(per), "lang").where(F.col("n") <= train_rows).select("doc_id", "lang").union(
