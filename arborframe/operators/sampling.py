@@ -72,8 +72,7 @@ def bagging_float(row_id: Column, seed: int, rows: int, bag: int = 0) -> Column:
     short = [jump(bag * tail + i + 1) for i in range(tail)]
 
     def state(table):
-        a = F.element_at(F.array(*[F.lit(x[0]).cast("long") for x in table]), inside + 1)
-        c = F.element_at(F.array(*[F.lit(x[1]).cast("long") for x in table]), inside + 1)
+        a, c = (F.element_at(F.expr(f"array({', '.join(f'{x[i]}L' for x in table)})"), inside + 1) for i in (0, 1))
         return F.pmod(F.pmod(a * (block + seed), F.lit(M)) + c, F.lit(M))
 
     x = F.when(block < last, state(full)).otherwise(state(short)) if short else state(full)
