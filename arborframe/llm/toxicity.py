@@ -50,8 +50,8 @@ class Bags:
         _, at, self.which = distinct(low, s, e) if len(s) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
         word, bucket = grams(low, s[at], e[at], SIZES, BUCKETS, True) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(word, kind="stable")
-        self.word, self.bucket = word[order], bucket[order].astype(np.int32)
-        self.to = np.searchsorted(self.word, np.arange(len(at) + 1))
+        self.bucket = bucket[order].astype(np.int32)
+        self.to = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(at)))])
         n = np.diff(self.first)
         k = np.maximum(1, -(-(n - STEP) // STEP))
         self.row = np.repeat(np.arange(len(n)), k)
@@ -61,7 +61,7 @@ class Bags:
 
     def values(self, value: np.ndarray) -> np.ndarray:
         """Mean subword value of each passage; 0 without words."""
-        total = np.bincount(self.word, value[self.bucket], len(self.to) - 1)
+        total = np.add.reduceat(value[self.bucket], self.to[:-1]) if len(self.to) > 1 else np.zeros(0)  # each word has a subword: itself
         s = np.concatenate([[0.0], np.cumsum(total[self.which])])
         c = np.concatenate([[0.0], np.cumsum(np.diff(self.to)[self.which])])
         return (s[self.b] - s[self.a]) / np.maximum(c[self.b] - c[self.a], 1)
@@ -88,14 +88,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, dim: int = DIM, rate: float = RATE, seed: int = 7) -> Model:
+def train(texts: pa.Array | list[str | None], labels: np.ndarray, epochs: int = EPOCHS, dim: int = DIM, rate: float = RATE, seed: int = 7) -> Model:
     """Fits a model to whole texts. With one class only, or none, the score is that class's smoothed share everywhere."""
     y = np.asarray(labels, np.int64)
     share = (y.sum() + 1) / (len(y) + 2)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     epochs = max(epochs, BATCHES // -(-len(y) // BATCH))
-    parts = [Bags(d, o) for _, _, d, o in chunks(*buffer(pa.array(texts, pa.large_string())))]
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+    parts = [Bags(d, o) for _, _, d, o in chunks(*buffer(texts))]
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
@@ -106,17 +107,17 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, dim
         for p in parts:
             if epoch:
                 _, at = p.worst((e @ (w[:, 1] - w[:, 0])).astype(np.float64))
-                each += [p.subwords(p.which[i:j]) for i, j in zip(p.a[at].tolist(), p.b[at].tolist(), strict=True)]
+                each += [(p, p.which[i:j]) for i, j in zip(p.a[at].tolist(), p.b[at].tolist(), strict=True)]
             else:
-                each += [p.subwords(np.unique(p.which[i:j])) for i, j in zip(p.first[:-1].tolist(), p.first[1:].tolist(), strict=True)]
-        size = np.array([len(x) for x in each])
-        use = np.flatnonzero(size)
+                each += [(p, np.unique(p.which[i:j])) for i, j in zip(p.first[:-1].tolist(), p.first[1:].tolist(), strict=True)]
+        use = np.flatnonzero([len(words) for _, words in each])
         now = rate * (1 - epoch / epochs)
         rng.shuffle(use)
         for i in range(0, len(use), BATCH):
             docs = use[i : i + BATCH]
-            n = size[docs]
-            idx = np.concatenate([each[j] for j in docs])
+            own = [each[j][0].subwords(each[j][1]) for j in docs]
+            n = np.array([len(x) for x in own])
+            idx = np.concatenate(own)
             h = np.add.reduceat(e[idx], np.cumsum(n) - n, axis=0) / n[:, None]
             z = h @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -155,7 +156,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).where("y = z")
     few = known.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     got = rows.join(F.broadcast(few), "doc_id").select("doc_id", "y", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    model = train(got.column("text").to_pylist(), np.array(got.column("y").to_pylist(), np.int64))
+    model = train(got.column("text").combine_chunks(), np.array(got.column("y").to_pylist(), np.int64))
     return rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
