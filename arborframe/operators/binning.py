@@ -172,19 +172,19 @@ def forced_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, total: i
 
 def find_mapper(
     feature: int, name: str, values: np.ndarray, total: int, *, max_bin: int = 255, min_data_in_bin: int = 3, use_missing: bool = True, zero_as_missing: bool = False, categorical: bool = False,
-    min_split_data: int = 0, pre_filter: bool = True, forced: list[float] | None = None,
+    min_split_data: int = 0, pre_filter: bool = True, forced: list[float] | None = None, counts: np.ndarray | None = None,
 ) -> BinMapper:
-    """Bin mapper of a feature from sampled values (NaN: missing); total: rows that the sample has, zeros left out included."""
+    """Bin mapper of a feature from sampled values (NaN: missing); total: rows that the sample has, zeros left out included; counts: rows of each value, by default one."""
     v = np.asarray(values, np.float64)
-    nan = int(np.isnan(v).sum())
-    v = v[~np.isnan(v)]
+    times = np.ones(len(v), np.int64) if counts is None else np.asarray(counts, np.int64)
+    nan = int(times[np.isnan(v)].sum())
+    v, times = v[~np.isnan(v)], times[~np.isnan(v)]
+    zeros = total - int(times.sum()) - nan
     m = BinMapper(feature, name, categorical=categorical)
     if categorical:
-        v = np.append(v, np.zeros(max(0, total - len(v) - nan)))
-        return _categorical(m, v, nan + int((v < 0).sum()), max_bin, use_missing, min_split_data, pre_filter)
-    v = np.where(np.abs(v) <= ZERO, 0.0, v)
-    distinct, counts = np.unique(v, return_counts=True)
-    zeros = total - len(v) - nan
+        v, times = np.append(v, 0.0), np.append(times, max(0, zeros))
+        return _categorical(m, v, times, nan + int(times[v < 0].sum()), max_bin, use_missing, min_split_data, pre_filter)
+    distinct, counts = _summed(np.where(np.abs(v) <= ZERO, 0.0, v), times)
     if zeros > 0:
         i = int(np.searchsorted(distinct, 0.0))
         if i < len(distinct) and distinct[i] == 0:
@@ -222,9 +222,17 @@ def find_mapper(
     return m
 
 
-def _categorical(m: BinMapper, v: np.ndarray, nan: int, max_bin: int, use_missing: bool, min_split_data: int, pre_filter: bool) -> BinMapper:
-    code = v[v >= 0].astype(np.int64)
-    cats, counts = np.unique(code, return_counts=True)
+def _summed(values: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values that have rows, ascending, and their rows."""
+    values, times = values[times > 0], times[times > 0]
+    distinct, at = np.unique(values, return_inverse=True)
+    counts = np.zeros(len(distinct), np.int64)
+    np.add.at(counts, at, times)
+    return distinct, counts
+
+
+def _categorical(m: BinMapper, v: np.ndarray, times: np.ndarray, nan: int, max_bin: int, use_missing: bool, min_split_data: int, pre_filter: bool) -> BinMapper:
+    cats, counts = _summed(v[v >= 0].astype(np.int64), times[v >= 0])
     order = np.lexsort((cats, -counts))
     cats, counts = cats[order], counts[order]
     total = int(counts.sum())
@@ -259,15 +267,20 @@ def _frequent(m: BinMapper, in_bin: np.ndarray, total: int) -> None:
 _FOUND = "mapper string"
 
 
-def find_mappers(df: DataFrame, features: list[str], categorical: set[str] = frozenset(), n: int | None = None, sample: int = 200_000, params: dict | None = None) -> list[BinMapper]:
-    """Mappers of all features, each found by its own task from at most about `sample` rows (those with the least hash)."""
+def _sampled(rows: DataFrame, rate: float, seed: int) -> DataFrame:
+    """A share `rate` of the rows as distinct rows with their number c. Of n equal rows n * rate are drawn, rounded up or down by a hash with odds that give each row the same chance, so the draw depends on no partition."""
+    u = F.shiftrightunsigned(F.xxhash64(*rows.columns, F.lit(seed)), 11) / F.lit(float(2**53))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("c")).withColumn("c", F.floor(F.col("c") * F.lit(rate) + u)).where("c > 0")
+
+
+def find_mappers(df: DataFrame, features: list[str], categorical: set[str] = frozenset(), n: int | None = None, sample: int | None = 200_000, params: dict | None = None) -> list[BinMapper]:
+    """Mappers of all features, each found by its own task from the value counts of about `sample` rows, or of all rows if it is None."""
     p = params or {}
     n = df.count() if n is None else n
     cols = [F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(float("nan"))).alias(f"f{i}") for i, f in enumerate(features)]
-    rows = df.select(*cols)
-    if n > sample:
-        rows = rows.where(F.shiftrightunsigned(F.xxhash64(*[f"f{i}" for i in range(len(features))], F.lit(p.get("data_random_seed", 1))), 11) / F.lit(float(2**53)) < sample / n)
-    total = rows.count() if n > sample else n
+    rows, drawn = df.select(*cols), sample is not None and n > sample
+    rows = _sampled(rows, sample / n, p.get("data_random_seed", 1)).persist() if drawn else rows.withColumn("c", F.lit(1).cast("long"))
+    total = (rows.agg(F.sum("c")).first()[0] or 0) if drawn else n
     least = int(p.get("min_data_in_leaf", 20) * total / n) if n else 0
     by_feature, forced = p.get("max_bin_by_feature"), p.get("forced_bins") or {}
     kinds = [f in categorical for f in features]
@@ -275,13 +288,15 @@ def find_mappers(df: DataFrame, features: list[str], categorical: set[str] = fro
     def find(key, table):
         i = key[0].as_py()
         m = find_mapper(
-            i, features[i], np.asarray(table.column("v").combine_chunks()), total, max_bin=by_feature[i] if by_feature else p.get("max_bin", 255), min_data_in_bin=p.get("min_data_in_bin", 3),
+            i, features[i], np.asarray(table.column("v").combine_chunks()), total, counts=np.asarray(table.column("c").combine_chunks()), max_bin=by_feature[i] if by_feature else p.get("max_bin", 255), min_data_in_bin=p.get("min_data_in_bin", 3),
             use_missing=p.get("use_missing", True), zero_as_missing=p.get("zero_as_missing", False), categorical=kinds[i], min_split_data=least, pre_filter=p.get("feature_pre_filter", True), forced=forced.get(i),
         )
         return pa.table({"mapper": [json.dumps(asdict(m))]})
 
-    long = rows.select(F.posexplode(F.array(*[f"f{i}" for i in range(len(features))])).alias("feature", "v")).where(F.isnan("v") | (F.abs("v") > ZERO))
+    long = rows.select(F.posexplode(F.array(*[f"f{i}" for i in range(len(features))])).alias("feature", "v"), "c").where(F.isnan("v") | (F.abs("v") > ZERO)).groupBy("feature", "v").agg(F.sum("c").alias("c"))
     got = {m.feature: m for m in (BinMapper(**json.loads(r.mapper)) for r in long.groupBy("feature").applyInArrow(find, _FOUND).collect())}
+    if drawn:
+        rows.unpersist()
     for i, f in enumerate(features):
         if i not in got:  # all zero
             got[i] = find_mapper(i, f, np.zeros(0), total, categorical=kinds[i])

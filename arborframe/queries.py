@@ -214,7 +214,7 @@ def distinct_value_counts(spark, d):
 
 @query("bin_bounds_few_values", "with v as (select distinct l_quantity as x from lineitem), n as (select x, lead(x) over (order by x) as y from v) select round((x + y) / 2, 6) as bound from n where y is not null union all select 1e-35")
 def bin_bounds_few_values(spark, d):
-    m = binning.find_mappers(lines(spark, d).select("l_quantity"), ["l_quantity"])[0]
+    m = binning.find_mappers(lines(spark, d).select("l_quantity"), ["l_quantity"], sample=None)[0]
     return spark.createDataFrame([(round(b, 6) if b > 1e-30 else b,) for b in m.bounds if b != float("inf")], "bound double")
 
 
@@ -227,7 +227,7 @@ def categorical_bins(spark, d):
 @query("trivial_filter", "with c as (select 'l_linenumber' as f, l_linenumber::double as v from lineitem union all select 'constant', 3e0 from lineitem union all select 'rare', case when l_orderkey = 0 then 1e0 else 0e0 end from lineitem), n as (select f, v, count(*) as n from c group by all), r as (select f, sum(n) over (partition by f order by v) as l, sum(n) over (partition by f) as t from n) select f as feature, max(case when l >= 20 and t - l >= 20 then 1 else 0 end) = 0 as trivial from r group by f")
 def trivial_filter(spark, d):
     t = lines(spark, d).select(F.col("l_linenumber").cast("double"), F.lit(3.0).alias("constant"), (F.col("l_orderkey") == 0).cast("double").alias("rare"))
-    found = binning.find_mappers(t, t.columns, params={"min_data_in_leaf": 20})
+    found = binning.find_mappers(t, t.columns, sample=None, params={"min_data_in_leaf": 20})
     return spark.createDataFrame([(m.name, bool(m.trivial)) for m in found], "feature string, trivial boolean")
 
 

@@ -257,6 +257,20 @@ def test_bins_cover_values():
             assert (np.diff(b[ok][order]) >= 0).all()
 
 
+def test_bin_sample_keeps_a_share_of_equal_rows(spark):
+    df = spark.range(6000).selectExpr("cast(id % 50 as double) as a", "cast(if(id % 3 = 0, null, id % 7) as double) as b", "id % 5 as k")
+    found = [binning.find_mappers(df.repartition(parts), ["a", "b", "k"], {"k"}, sample=2000) for parts in (1, 5)]
+    assert found[0] == found[1]
+    a, b, k = found[0]
+    assert len(a.bounds) == 50 and len(b.bounds) == 7 and b.missing == "nan" and sorted(k.cats) == [0, 1, 2, 3, 4]
+    drawn = binning._sampled(df.select(F.col("a").alias("f0")), 1 / 3, 1).collect()
+    assert {r.f0 for r in drawn} == set(map(float, range(50))) and all(r.c == 40 for r in drawn)
+    few = binning._sampled(spark.range(3000).select(F.col("id").cast("double").alias("f0")), 1 / 3, 1)
+    assert 900 < few.count() < 1100
+    everything = binning.find_mappers(df, ["a", "b", "k"], {"k"}, sample=None)
+    assert everything == binning.find_mappers(df, ["a", "b", "k"], {"k"})
+
+
 def test_split_matches_brute_force():
     rng = np.random.default_rng(4)
     m = binning.BinMapper(0, "f", bounds=[*range(9), math.inf], num_bin=10, trivial=False)
