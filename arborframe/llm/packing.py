@@ -7,6 +7,10 @@ integer weights and K that of all. So any partition can work out which windows i
 others. When a queue can't fill its share any more, one window takes all it has left and a new phase goes on with the
 others; a schedule has at most two phases a queue, and it is all that the partitions are sent.
 
+Sources that would give a window just a few tokens share one of these queues, in which they are taken in runs of RUN
+tokens: run r of a source is due at time (r + its phase) / its weight, and all runs follow each other by time. So each has
+given its share of the queue at any place, but for about a run. A run's place is the sum of what is due before it.
+
 Texts are tokenised once, into a table in the shared folder. A row notes how many tokens its partition has from its
 source before it; the sums per (source, partition) give each partition's place in the queue. No token is shuffled.
 
@@ -32,8 +36,12 @@ from ._store import written
 SIZE = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Sources with a smaller share of the tokens share a queue, so that no window takes just a few tokens of one.
+#: Sources with a smaller share of the tokens share a queue and are taken in runs, so that no window takes just a few tokens of one.
 LEAST_SHARE = 1 / 128
+#: Tokens of a run; with over 32 * RUN sources in the shared queue more, so that the work for a token is bounded.
+RUN = 32
+#: Run times x sources that a worker compares at once.
+CELLS = 1 << 20
 #: Weights are integers that sum to about this.
 SCALE = 1 << 20
 #: Bytes of text whose ids a worker holds at once.
@@ -284,10 +292,48 @@ class Schedule:
         return int(np.searchsorted(self.bases[:, queue], start, "right")) - 1
 
 
+class Runs:
+    """The order in which the sources of the shared queue give their tokens."""
+
+    def __init__(self, names: list[str], totals: list[int], weights: list[float], run: int = RUN):
+        self.at = {s: i for i, s in enumerate(names)}
+        self.totals, self.weights = np.array(totals, np.int64), np.array(weights, np.float64)
+        self.run = max(run, len(names) // 32)
+        self.runs = -(-self.totals // self.run)
+        self.phase = (0.5 + np.arange(len(names)) * 0.6180339887498949) % 1.0
+
+    def _before(self, own: int, r: np.ndarray) -> np.ndarray:
+        """Place of the first token of the runs r of a source: the tokens of all runs with an earlier time; at equal times the source's number decides."""
+        time = ((r + self.phase[own]) / self.weights[own])[:, None]
+        first = np.arange(len(self.runs)) < own
+        due = lambda k: ((t := (k + self.phase) / self.weights) < time) | ((t == time) & first)
+        n = np.clip(np.floor(time * self.weights - self.phase), 0, self.runs).astype(np.int64)
+        while (more := due(n) & (n < self.runs)).any():  # the guess is rounded
+            n += more
+        while (less := (n > 0) & ~due(n - 1)).any():
+            n -= less
+        n[:, own] = r
+        return np.minimum(n * self.run, self.totals).sum(axis=1)
+
+    def places(self, source: str, start: int, length: int) -> list[tuple[int, int, int]]:
+        """(place in the shared queue, start in the source, length) of a source's tokens start, start + 1, ..."""
+        own, out = self.at[source], []
+        step = max(1, CELLS // len(self.runs))
+        for i in range(start // self.run, -(-(start + length) // self.run), step):
+            r = np.arange(i, min(i + step, -(-(start + length) // self.run)))
+            lo, hi = np.maximum(r * self.run, start), np.minimum((r + 1) * self.run, start + length)
+            for p, a, b in zip((self._before(own, r) + lo - r * self.run).tolist(), lo.tolist(), hi.tolist(), strict=True):
+                if out and out[-1][0] + out[-1][2] == p:
+                    out[-1] = (*out[-1][:2], out[-1][2] + b - a)
+                else:
+                    out.append((p, a, b - a))
+        return out
+
+
 _PIECES_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def _cut_pieces(schedule: Schedule, with_ids: bool):
+def _cut_pieces(schedule: Schedule, shared: int, runs: Runs, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
         types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
@@ -298,10 +344,11 @@ def _cut_pieces(schedule: Schedule, with_ids: bool):
                 out = []
                 for doc, queue, place, n, raw, source in zip(*cols, strict=True):
                     ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4").tobytes()
-                    for w, offset, at, length in schedule.pieces(queue, place, n):
-                        s = at - place
-                        own = ids[4 * s : 4 * (s + length)]
-                        out.append((doc, s, length, zlib.crc32(own), n, w, offset, source, own if with_ids else None))
+                    for to, start, some in runs.places(source, place, n) if queue == shared else [(place, place, n)]:
+                        for w, offset, at, length in schedule.pieces(queue, to, some):
+                            s = at - to + start - place
+                            own = ids[4 * s : 4 * (s + length)]
+                            out.append((doc, s, length, zlib.crc32(own), n, w, offset, source, own if with_ids else None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True))[:k], types[:k], strict=True)], names[:k])
 
@@ -313,31 +360,35 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
 
     Every id of every row is in one piece. All sequences but the last hold `size` ids, so at most size - 1 places of the
     whole corpus are padding. targets: share of each source in a window; by default its share of all tokens, so that all
-    queues end together. Sources without a target, or with less than least_share, share one queue. A null or empty
-    text is its end id alone; rows without a source are a source; repeated rows are packed once each. An empty table has no pieces.
+    queues end together. Sources without a target, or with less than least_share, share one queue, which has the sum of
+    their shares (a source without a target: its share of all tokens) and takes each by its own. A target of 0 comes last
+    in it. A null or empty text is its end id alone; rows without a source are a source; repeated rows are packed once
+    each. An empty table has no pieces. The driver and each worker hold one number per source.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     tokens = written(rows.mapInArrow(_tokenise(tokenizer), _TOKENS_SQL))
     own = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")))
     total = own.agg(F.sum("n")).first()[0] or 0
+    have = {r.source: r.n for r in own.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     if targets is None:
-        shares = {r.source: r.n / total for r in own.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") >= least_share * total).collect()}  # 1 / least_share sources at most
+        weight = dict(have)
     else:
-        shares = {s: p for s, p in sorted(targets.items(), key=lambda x: -x[1]) if p >= least_share}
-    names = sorted(shares)
-    rest = F.lit(len(names))
-    queue = F.coalesce(F.element_at(F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))]), F.col("source")), rest) if names else rest
-    own = own.withColumn("queue", queue)
-    totals = {r.queue: r.n for r in own.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    totals = [totals.get(i, 0) for i in range(len(names) + 1)]
-    other = max(least_share, 1 - sum(shares.values())) if targets is not None else totals[-1] / max(total, 1)
-    weights = [max(1, round(SCALE * p)) for p in (*(shares[s] for s in names), other)]
+        weight = {s: max(float(targets[s]), 0.0) if s in targets else n / total for s, n in have.items()}
+    least = max(least_share, 1 / size) * sum(weight.values())  # a queue in the middle needs a token a window at least
+    names = sorted(s for s, p in weight.items() if p >= least > 0 and (targets is None or s in targets))
+    small = sorted(set(have) - set(names))
+    totals = [*(have[s] for s in names), sum(have[s] for s in small)]
+    weights = [*(weight[s] for s in names), sum(weight[s] for s in small)]
+    if targets is not None:
+        weights = [max(1, round(SCALE * p)) for p in weights]
     schedule = Schedule(totals, weights, size)
-    line = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    places = own.select("source", "part", "queue", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("base"))
+    runs = Runs(small, [have[s] for s in small], [max(weight[s], 1e-12) for s in small])
+    shared = F.lit(len(names))
+    queue = F.coalesce(F.element_at(F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))]), F.col("source")), shared) if names else shared
+    line = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    places = own.select("source", "part", queue.alias("queue"), F.coalesce(F.sum("n").over(line), F.lit(0)).alias("base"))
     placed = tokens.join(places, ["source", "part"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("place"), "n", "ids", "source")
-    return placed.mapInArrow(_cut_pieces(schedule, with_ids), _PIECES_SQL + ", ids binary" * with_ids)
+    return placed.mapInArrow(_cut_pieces(schedule, len(names), runs, with_ids), _PIECES_SQL + ", ids binary" * with_ids)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

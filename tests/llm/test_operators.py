@@ -181,6 +181,44 @@ def test_schedule_covers_every_token():
         assert len(seen) == sum(totals) and (not seen or max(w for w, _ in seen) == -(-sum(totals) // 64) - 1)
 
 
+def test_packing_controls_small_sources(spark):
+    """200 sources of half a per cent: each has given its share after any window, but for about a run."""
+    rows = [(i, prose(200, i % 7), "en", f"s{i % 200}") for i in range(400)]
+    got = defaultdict(Counter)
+    for r in packing.pack(table(spark, rows)).collect():
+        got[r.source][r.sequence_id] += r.length
+    total = sum(sum(c.values()) for c in got.values())
+    last = max(w for c in got.values() for w in c)
+    assert len(got) == 200 and last > 20
+    for c in got.values():
+        given, share = 0, sum(c.values()) / total
+        for w in range(last):
+            given += c[w]
+            assert abs(given - 4096 * share * (w + 1)) <= 2 * packing.RUN
+
+
+def test_packing_keeps_small_targets(spark):
+    rows = [(i, prose(3000, i), "en", "x") for i in range(24)] + [(100, prose(300, 1), "en", "y"), (101, prose(300, 1), "en", "z")]
+    got = defaultdict(Counter)
+    for r in packing.pack(table(spark, rows), targets={"x": 0.99, "y": 0.005, "z": 0.001}).collect():
+        got[r.source][r.sequence_id] += r.length
+    end = max(got["y"])
+    assert 10 < end < max(got["x"])
+    assert abs(sum(n for w, n in got["z"].items() if w <= end) - sum(got["y"].values()) / 5) <= 2 * packing.RUN
+
+
+def test_runs_cover_every_place():
+    for totals, weights in (([1000, 10, 333, 64], [3, 5, 1, 1e-12]), ([70] * 90, [70] * 90), ([1], [1]), ([5000, 33], [1e-6, 1.0])):
+        runs = packing.Runs([str(i) for i in range(len(totals))], totals, weights)
+        seen = []
+        for i, n in enumerate(totals):
+            for start in range(0, n, 37):
+                got = runs.places(str(i), start, min(37, n - start))
+                assert [a for _, a, _ in got] == [start + sum(k for *_, k in got[:j]) for j in range(len(got))]
+                seen += [p + j for p, _, k in got for j in range(k)]
+        assert sorted(seen) == list(range(sum(totals)))
+
+
 # ---- 4
 
 
