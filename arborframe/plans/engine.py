@@ -247,6 +247,8 @@ class Booster:
         self.infos: list[str] = []
         self.average_output = self.params["boosting"] == "rf"
         self._pre = 0  # trees that came with init_model
+        self._tree_weight: list[float] = []  # of each own iteration, for DART's draw
+        self._sum_weight = 0.0
         if model_file is not None:
             with open(model_file) as f:
                 model_str = f.read()
@@ -414,6 +416,8 @@ class Booster:
                 self._fit_linear(job, t, k)
         if dart:
             rate = self._normalise(dropped, rate)
+            self._tree_weight.append(rate)
+            self._sum_weight += rate
         for k, t in enumerate(grown):
             t.shrink(rate)
             for f in t.feature:
@@ -697,13 +701,22 @@ class Booster:
     def _drop(self, it: int) -> list[tuple[int, Tree]]:
         p, rng = self.params, self._lcg_drop
         self._dropped_iterations: list[int] = []
-        if not self.trees or rng.next_float() < p["skip_drop"]:
+        if rng.next_float() < p["skip_drop"]:
             return []
-        done = (len(self.trees) - self._pre) // self.classes
-        rate = min(p["drop_rate"], p["max_drop"] / done) if p["max_drop"] > 0 and done else p["drop_rate"]
-        for i in range(done):
-            if rng.next_float() < rate and (p["max_drop"] <= 0 or len(self._dropped_iterations) < p["max_drop"]):
+        done, rate, most = (len(self.trees) - self._pre) // self.classes, p["drop_rate"], p["max_drop"]
+        if p["uniform_drop"]:
+            rates = [min(rate, most / max(done, 1)) if most > 0 else rate] * done
+        elif self._sum_weight:
+            inverse = len(self._tree_weight) / self._sum_weight
+            rate = min(rate, most * inverse / self._sum_weight) if most > 0 else rate
+            rates = [rate * w * inverse for w in self._tree_weight[:done]]
+        else:
+            rates = [0.0] * done
+        for i, r in enumerate(rates):
+            if rng.next_float() < r:
                 self._dropped_iterations.append(i)
+                if 0 <= most <= len(self._dropped_iterations):
+                    break
         first = self._pre
         out = []
         for i in self._dropped_iterations:
@@ -733,6 +746,9 @@ class Booster:
             if self._dropped_iterations[j // self.classes] == 0 and self.constant[k]:
                 own.add_bias(self.constant[k])
             self.trees[i] = own
+        for i in self._dropped_iterations:
+            self._sum_weight -= self._tree_weight[i] / (n + (rate if xgb else 1.0))
+            self._tree_weight[i] *= keep
         return new
 
     def _update_bias(self, it: int) -> None:

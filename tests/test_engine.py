@@ -120,6 +120,39 @@ def test_variants_agree_with_their_training_scores(frame, params):
     b.free_dataset()
 
 
+@pytest.mark.parametrize("params", [{}, {"uniform_drop": True}, {"max_drop": 2}, {"xgboost_dart_mode": True, "skip_drop": 0.3}])
+def test_dart_draws_as_the_reference(frame, params):
+    """The reference's dropping rule (boosting.rs, dart_dropping_trees and dart_normalize), written out."""
+    p = {"skip_drop": 0.0, "drop_rate": 0.5, "max_drop": 50, "uniform_drop": False, "xgboost_dart_mode": False, **params}
+    b = A.train({"boosting": "dart", "num_leaves": 4, "learning_rate": 0.3, **p}, A.Dataset(frame, "y", feature_name=FEATS), 1, keep_training_booster=True)
+    rng, weights, total, drops = Lcg(4), [], 0.0, []
+    for it in range(10):
+        if it:
+            b.update()
+        drop = []
+        if rng.next_float() >= p["skip_drop"]:
+            mean = len(weights) / total if weights else 0.0
+            rate = p["drop_rate"]
+            if weights:
+                rate = min(rate, p["max_drop"] / it if p["uniform_drop"] else p["max_drop"] * mean / total)
+            for i in range(it):
+                if rng.next_float() < (rate if p["uniform_drop"] else rate * weights[i] * mean):
+                    drop.append(i)
+                    if len(drop) >= p["max_drop"]:
+                        break
+        k = len(drop)
+        den = k + (0.3 if p["xgboost_dart_mode"] else 1.0)
+        for i in drop:
+            total -= weights[i] / den
+            weights[i] *= k / den
+        weights.append(0.3 / den if k else 0.3)
+        total += weights[-1]
+        drops.append(drop)
+        assert b._dropped_iterations == drop
+    assert any(drops)
+    b.free_dataset()
+
+
 def test_monotone_predictions(spark, frame):
     b = fit(frame, {"monotone_constraints": [1, 0, 0, 0, 0]}, rounds=8)
     grid = from_dense(spark, np.column_stack([np.linspace(-3, 3, 50), *[np.zeros(50)] * 4]), FEATS)
