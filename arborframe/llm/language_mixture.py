@@ -3,7 +3,9 @@
 Each language is a distribution over hashed character n-grams, counted in a bounded sample of documents of known language
 (TRAIN_ROWS of each). A document is a mixture of languages: every word was drawn from one of them. Expectation-maximisation
 estimates the proportions from the words' likelihoods, first over all languages; the languages are then ordered by
-proportion, and the set of the first m that has the greatest likelihood less PENALTY * (m - 1) * ln(words) is selected.
+proportion, and the set of the first m that has the greatest likelihood less PENALTY * (m - 1) * ln(words) is selected, for
+any m up to the number of languages. A size isn't tried for a row in which it can't win: no mixture has a likelihood above that
+of the first estimate plus words * ln(max D), D being by how much a round of it would multiply each language's proportion.
 The predicted language is the one with the largest proportion in it.
 
 All documents of a chunk are estimated at once; a chunk needs words x languages floats.
@@ -28,7 +30,6 @@ BUCKETS = 1 << 16
 SIZES = (2, 3)
 SMOOTHING = 0.1
 ROUNDS = 8
-MOST_LANGUAGES = 3
 #: Per further language; 0.5 would be the Bayesian information criterion for one parameter.
 PENALTY = 2.0
 _LETTER = re.compile(r"[^\W\d_]")
@@ -74,13 +75,24 @@ def select(like: np.ndarray, top: np.ndarray, n: np.ndarray) -> np.ndarray:
     base = np.add.reduceat(top.astype(np.float64), cut)
     full, _ = _em(like, row, cut, m, np.full((len(m), k), 1 / k, np.float32), ROUNDS)
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
+    seen = (like * full[row]).sum(axis=1, keepdims=True) + np.float32(1e-30)
+    most = np.add.reduceat(like / seen, cut, axis=0).max(axis=1) / m
+    # a word's likelihood is at most 1; the slack is for rounding
+    limit = base + np.minimum(np.add.reduceat(np.log(seen[:, 0]).astype(np.float64), cut) + m * np.log(most.astype(np.float64)), 0) + 1e-4 * m + 0.01
     best, score = np.zeros((len(m), k)), np.full(len(m), -np.inf)
-    for size in range(1, min(k, MOST_LANGUAGES) + 1):
-        start = np.where(rank < size, full + 1e-6, 0).astype(np.float32)
-        mix, fit = _em(like, row, cut, m, start / start.sum(axis=1, keepdims=True), ROUNDS if size > 1 else 0)
-        now = fit + base - PENALTY * (size - 1) * np.log(m + 1)
-        better = now > score
-        best[better], score[better] = mix[better], now[better]
+    left = np.arange(len(m))
+    for size in range(1, k + 1):
+        go = limit[left] - PENALTY * (size - 1) * np.log(m[left] + 1) > score[left]
+        if not go.all():
+            like, left = like[np.repeat(go, m[left])], left[go]
+            if not len(left):
+                break
+            cut, row = np.cumsum(m[left]) - m[left], np.repeat(np.arange(len(left)), m[left])
+        start = np.where(rank[left] < size, full[left] + 1e-6, 0).astype(np.float32)
+        mix, fit = _em(like, row, cut, m[left], start / start.sum(axis=1, keepdims=True), ROUNDS if size > 1 else 0)
+        now = fit + base[left] - PENALTY * (size - 1) * np.log(m[left] + 1)
+        better = now > score[left]
+        best[left[better]], score[left[better]] = mix[better], now[better]
     out = np.zeros((len(n), k))
     out[have] = best
     return out

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from arborframe.llm import ctph, host_quality, language_mixture, mixing, ngram_jaccard, packing, suffix_dedup, token_spans, toxicity, url_filter
@@ -445,3 +446,32 @@ def test_language_mixture(spark):
     assert language_mixture.identify(table(spark, [])).count() == 0
     none = language_mixture.identify(spark.createDataFrame([(1, "abc", None, None)], SCHEMA)).first()
     assert none.lang_pred == "und"
+
+
+def test_language_mixture_of_many():
+    """The penalty alone bounds the set: as many languages as a text has, and the same as trying every size."""
+    import random
+
+    r = random.Random(0)
+    own = {c: [c + x + c + y + c for x in "aeiou" for y in "aeiou"] for c in "bdfgkm"}
+    model = language_mixture.train([" ".join(r.choice(w) for _ in range(400)) for w in own.values()], list(own))
+    texts = [" ".join(r.choice(own[c]) for c in list(own)[:k] for _ in range(60)) for k in range(1, 7)]
+    mix = np.concatenate(list(model.mixtures(*language_mixture.buffer(pa.array(texts, pa.large_string())))))
+    assert [(m > 0.01).sum() for m in mix] == [1, 2, 3, 4, 5, 6]
+    assert all(abs(m[:k] - 1 / k).max() < 0.02 for k, m in enumerate(mix, 1))
+    rng = np.random.default_rng(0)
+    n = rng.integers(0, 60, 200)
+    like = (rng.random((n.sum(), 5)) ** rng.choice([1, 4, 12], (n.sum(), 1))).astype(np.float32)
+    like /= like.max(axis=1, keepdims=True)
+    got = language_mixture.select(like, np.zeros(n.sum(), np.float32), n)
+    for i in np.flatnonzero(n):
+        own = like[n[:i].sum() : n[: i + 1].sum()]
+        row, cut, one = np.zeros(n[i], int), np.zeros(1, int), n[i : i + 1]
+        full, _ = language_mixture._em(own, row, cut, one, np.full((1, 5), 0.2, np.float32), language_mixture.ROUNDS)
+        order, tried = np.argsort(-full[0], kind="stable"), []
+        for size in range(1, 6):
+            start = np.zeros((1, 5), np.float32)
+            start[0, order[:size]] = full[0, order[:size]] + 1e-6
+            mix, fit = language_mixture._em(own, row, cut, one, start / start.sum(), language_mixture.ROUNDS if size > 1 else 0)
+            tried.append((fit[0] - language_mixture.PENALTY * (size - 1) * np.log(n[i] + 1), -size, mix[0]))
+        assert np.allclose(got[i], max(tried, key=lambda t: t[:2])[2], atol=1e-4)
