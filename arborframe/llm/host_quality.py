@@ -100,7 +100,7 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that are kept."""
+    """Pipeline stage: the documents that are kept. Rows without a doc_id are dropped, also good ones."""
     kept = judged(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
     marked = docs.withColumn("_x", F.xxhash64(_text()))
     return marked.join(kept, (F.col("doc_id") == F.col("_d")) & (F.col("_x") == F.col("_m")), "left_semi").select(docs.columns)

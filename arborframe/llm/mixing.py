@@ -154,6 +154,6 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that are drawn."""
+    """Pipeline stage: the documents that are drawn. Rows without a doc_id are dropped."""
     kept = mix(docs).where("selected and doc_id is not null").select(F.col("doc_id").alias("_d")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("_d"), "left_semi").select(docs.columns)

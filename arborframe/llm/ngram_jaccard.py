@@ -299,7 +299,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays, once."""
+    """Pipeline stage: of each component the document with the smallest doc_id stays, once. Of rows that share a doc_id any one stays, also if their texts differ; rows without a doc_id are dropped."""
     first = link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
 

@@ -382,7 +382,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the texts lose their repeated strings; a document of which nothing is left goes."""
+    """Pipeline stage: the texts lose their repeated strings; a document of which nothing is left goes. Expects doc_ids that differ, as near_duplicates leaves them; rows without one are dropped."""
     kept = remove_repeats(docs, keep_text=True).where("kept_text <> ''").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
     cols = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return docs.drop("text", "n_chars").join(kept, "doc_id").select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])

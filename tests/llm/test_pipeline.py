@@ -6,7 +6,7 @@ import corpus_pipeline
 from arborframe.llm import mixing, registry
 from arborframe.llm._store import written
 
-from .helpers import corpus, table
+from .helpers import corpus, prose, table
 from .test_operators import brute_components, brute_quality, brute_repeats
 
 
@@ -34,6 +34,17 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in mixed.collect()}
 
 
+def test_pipeline_needs_ids(spark):
+    """As the stages' docstrings say: rows without a doc_id are dropped, and one row of a shared doc_id stays."""
+    rows = [(None, prose(50, 1), "en", "a"), (1, prose(50, 2), "en", "a"), (2, prose(50, 3), "en", "a"), (2, prose(50, 4), "en", "a")]
+    docs = written(table(spark, rows).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) as n_chars"))
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(r.doc_id for r in stages["quality"](spark, docs, "").collect()) == [1, 2, 2]
+    assert sorted(r.doc_id for r in stages["near_duplicates"](spark, docs, "").collect()) == [1, 2]
+    assert sorted({r.doc_id for r in stages["repeated_passages"](spark, docs, "").collect()}) == [1, 2]
+    assert all(r.doc_id is not None for r in stages["mixture"](spark, docs, "").collect())
+
+
 def test_pipeline_empty(spark):
     docs = table(spark, []).selectExpr("doc_id", "text", "lang", "source", "cast(0 as long) as n_chars")
     for name, stage in corpus_pipeline.STAGES:
