@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._bytes import buffer, chunks, column
+from ._bytes import buffer, chunks, column, lean
 from ._grams import distinct, fold, grams, letter_words
-from .toxicity import held_out
+from .toxicity import TRAIN_BYTES, held_out, sample
 
 TRAIN_ROWS = 1500
 BUCKETS = 1 << 16
@@ -130,11 +130,12 @@ def _predict(model: Model):
     return run
 
 
-def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, mixture) for each row of docs (doc_id, text, lang; further columns don't matter).
 
     score: the predicted language's proportion; mixture: the selected languages with theirs. Learns from text and lang of
-    rows with a lang whose crc32(doc_id) mod 5 isn't 0: of each language the train_rows rows with the least hash. A null
+    rows with a lang whose crc32(doc_id) mod 5 isn't 0: of each language the train_rows doc_ids with the least hash, one text
+    (the least) and one language (the first by name) of each, and train_bytes of text in all. A null
     text, one without a letter, and any text if nothing could be learned, is `und` with score 0. Repeated rows come back once each.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -147,9 +148,9 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     )
     place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
     few = limit.withColumn("k", F.row_number().over(place)).where(F.col("k") <= train_rows).select("doc_id", "lang")
-    got = rows.join(F.broadcast(few), ["doc_id", "lang"]).select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    got = sample(rows.join(F.broadcast(few.groupBy("doc_id").agg(F.min("lang").alias("lang"))), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")), train_bytes)
     model = train(got.column("text").to_pylist(), got.column("lang").to_pylist())
-    return rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).select("doc_id", "held_out", "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
+    return rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).select("doc_id", "held_out", "text").mapInArrow(lean(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
 
 
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ the three equal the targets; a cell's weight is its raked total over its actual
 probability min(1, c * weight), where c is such that the expected number of tokens is the budget (solved exactly). The
 draw compares the probability with a hash of the doc_id, so it doesn't depend on partitions and can be repeated.
 
-Documents are read twice and never shuffled: their rows meet the cells by a join on the three names. The raking works on
-the cells alone, on the driver up to MOST_CELLS of them and as DataFrame steps beyond.
+Documents' rows meet the cells by a join on the three names, so no doc_id is shuffled. The raking works on the cells alone,
+on the driver up to MOST_CELLS of them and as DataFrame steps beyond; both give the same weights.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import removed, written
 
 MARGINS = ("source", "lang", "topic")
 MOST_CELLS = 200_000
@@ -62,16 +62,28 @@ def rake(codes: np.ndarray, totals: np.ndarray, targets: list[np.ndarray], round
     return x
 
 
-def rake_frame(cells: DataFrame, targets: dict[str, dict], rounds: int = ROUNDS) -> DataFrame:
+def rake_frame(cells: DataFrame, targets: dict[str, dict], rounds: int = ROUNDS, within: float = 1e-9) -> DataFrame:
     """The same for cells (the margins, tokens, raked) that are too many for the driver: each step is a sum per name and a join with it."""
     spark = cells.sparkSession
     goal = cells.agg(F.sum("tokens")).first()[0] or 0
+    shares = {}
+    for m in MARGINS:  # of the names that there are
+        share = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], f"{m} string, share double")
+        share = cells.select(m).distinct().join(share, m, "left").select(m, F.coalesce("share", F.lit(0.0)).alias("share"))
+        total = share.agg(F.sum("share")).first()[0] or 1.0
+        shares[m] = written(share.withColumn("share", F.col("share") / F.lit(total)))
+    first = cells
     for _ in range(rounds):
+        off = 0.0
         for m in MARGINS:
-            share = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], f"{m} string, share double")
-            now = cells.groupBy(m).agg(F.sum("raked").alias("now")).join(share, m, "left")
-            f = now.select(m, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * goal / F.col("now")).otherwise(1.0).alias("f"))
-            cells = written(cells.join(f, m).withColumn("raked", F.col("raked") * F.col("f")).drop("f"))  # used twice by the next step
+            now = written(cells.groupBy(m).agg(F.sum("raked").alias("now")).join(shares[m], m))
+            off = max(off, now.agg(F.max(F.abs(F.col("now") - F.col("share") * goal))).first()[0] or 0.0)
+            f = now.select(m, F.when(F.col("now") > 0, F.col("share") * goal / F.col("now")).otherwise(1.0).alias("f"))
+            old, cells = cells, written(cells.join(f, m).withColumn("raked", F.col("raked") * F.col("f")).drop("f"))  # used twice by the next step
+            removed(now, *([old] if old is not first else []))
+        if off <= within * max(goal, 1):
+            break
+    removed(*shares.values())
     return cells
 
 
@@ -91,17 +103,21 @@ def scale_for(weights: np.ndarray, tokens: np.ndarray, budget: float) -> float:
     return float("inf")
 
 
-def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET, seed: int = SEED, topic: Column | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
-    """(doc_id, mark, source, lang, topic, n_tokens, weight, probability, selected) for each row of docs (doc_id, text, source, lang; further columns don't matter).
+def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET, seed: int = SEED, topic: Column | None = None, most_cells: int = MOST_CELLS, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, weight, probability, selected[, row]) for each row of docs (doc_id, text, source, lang; further columns don't matter).
 
-    targets: for each margin, name -> share (names left out: 0); by default the actual shares, tempered. Null names count
-    as ''. Where targets and data exclude each other (a share for a name without tokens) raking comes as near as it gets.
-    Cells without tokens have weight 1. Rows that repeat a doc_id are drawn together, null doc_ids too. mark: 64-bit hash of the text.
+    targets: for each margin, name -> share (names left out: 0; shares count relative to those of the names that have rows);
+    by default the actual shares, tempered. Null names count as ''. Where targets and data exclude each other (a share for
+    a name without tokens) raking comes as near as it gets. Cells without tokens have weight 1. Rows that repeat a doc_id
+    are drawn together; rows without one are drawn by their text (null: empty), equal ones together. An empty table gives an empty one.
+    row: the columns that carry names, as a struct.
     """
     spark = docs.sparkSession
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), name("source").alias("source"), name("lang").alias("lang"), (globals()["topic"]() if topic is None else topic).alias("topic"), n_tokens().alias("n_tokens")))
+    id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(id_, F.xxhash64(text)), F.lit(seed)), 11) / F.lit(float(2**53))
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    rows = written(docs.select(id_.alias("doc_id"), draw.alias("draw"), name("source").alias("source"), name("lang").alias("lang"), (globals()["topic"]() if topic is None else topic).alias("topic"), n_tokens().alias("n_tokens"), *more))
     cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     shares = targets or {}
     for m in MARGINS:
@@ -129,9 +145,8 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float =
         c = _scale_frame(weights, budget)
         weights = weights.drop("tokens")
     p = F.lit(1.0) if c == float("inf") else F.least(F.lit(1.0), F.col("weight") * F.lit(c))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(2**53))
     out = rows.join(weights, list(MARGINS)).withColumn("probability", p)
-    return out.select("doc_id", "mark", *MARGINS, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("selected"))
+    return out.select("doc_id", *MARGINS, "n_tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("selected"), *(["row"] if carry else []))
 
 
 def _scale_frame(weights: DataFrame, budget: float) -> float:
@@ -150,10 +165,10 @@ def _scale_frame(weights: DataFrame, budget: float) -> float:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that are drawn. Rows without a doc_id are dropped."""
-    kept = mix(docs).where("selected and doc_id is not null").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_d"), "left_semi").select(docs.columns)
+    """Pipeline stage: the rows that are drawn, with all their columns, whatever their names. Rows that repeat a doc_id are
+    drawn together, and rows without one by their text; null and empty texts have no tokens and are drawn like others of their cell. An empty table gives an empty one."""
+    return mix(docs, carry=docs.columns).where("selected").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -8,12 +8,16 @@ fragments count overlaps on their own and the counts are summed.
    with any other one. Documents below the threshold even so can't link (on prose, nine in ten).
 2. The others (one for each distinct set) go through the fragments again, which now return each shingle's document
    frequency. Ordered by (frequency, hash), two documents that link share a shingle in their prefixes.
-3. Documents that share prefix shingles form candidate groups, found by a star per shingle (one edge a document), never by pairs.
-4. Each group is one task, a large one many tasks of two blocks each. There pivots count overlaps with the others fragment
-   by fragment, sum them per pair and drop a pair once the rest can't reach the threshold; pairs whose documents are
-   already connected are left out, which changes no component. Only edges of a spanning forest leave a task.
-
-Nothing is broadcast or collected but the state of the component rounds (two numbers).
+3. The smallest document of each prefix shingle is its pivot. Each document is paired with the pivot that it shares most
+   prefix shingles with (one pair a document, whatever the size of its group). The order is cut into RANGES; each range
+   emits the partial overlap of a pair there, and the partial overlaps are summed per pair. Links connect documents into parts.
+4. Prefix shingles whose documents lie in several parts may hold further links. Their documents form candidate groups, found by a
+   star per shingle (one edge a document), never by pairs. Each group is one task, a large one many tasks: one for each block and
+   one for each two blocks, which compares only across. There pivots count overlaps with the others range by range, sum them per
+   pair and drop a pair once the rest can't reach the threshold; pairs whose documents are already connected are left out,
+   which changes no component. Only edges of a spanning forest leave a task.
+
+All pairs of a group of n near copies would be n^2 rows; steps 3 and 4 emit fewer than n. Nothing is broadcast or collected but the state of the component rounds (two numbers).
 """
 
 from __future__ import annotations
@@ -26,16 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, PrefixHash, buffer, chunks, column, mix, ranges, word_spans
+from ._bytes import LOWER, PrefixHash, buffer, chunks, column, lean, lean_group, mix, ranges, word_spans
 from ._graph import components
-from ._store import partitions, written
+from ._store import input_bytes, partitions, stable, written
 
 WORDS = 5
 PERCENT = 75
 #: Documents in a block of a large candidate group.
 BLOCK = 2048
-#: Fragments of the order inside a task.
-CUTS = 4
+#: Ranges of the order in which the overlaps of pairs are counted.
+RANGES = 8
+#: Bytes of input files whose shingles a fragment holds on average, at most.
+FRAGMENT = 16 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -187,6 +193,40 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h) if h else np.zeros(0, np.int64)), pa.array(np.repeat(ids, pre))], ["h", "doc_id"])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's shingles in each range of the order that has some."""
+    for batch in batches:
+        ids, n = np.asarray(column(batch, "doc_id")), np.asarray(column(batch, "n"))
+        h = [np.frombuffer(x.as_py(), np.uint64) for x in column(batch, "h")]
+        if not h:
+            continue
+        row, h = np.repeat(np.arange(len(h)), [len(x) for x in h]), np.concatenate(h)
+        key = row * RANGES + _range(h)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        part = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(h[order].view(np.int64)))
+        at = key[first] // RANGES
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at]), pa.array((key[first] % RANGES).astype(np.int32)), part], ["doc_id", "n", "part", "h"])
+
+
+def _range(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)).astype(np.int64)
+
+
+def pivot_links(sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of each document b with the pivot a that it shares most prefix shingles with, where they are one. Partial overlaps are counted in each range of the order and summed per pair."""
+    pivot = entries.groupBy("h").agg(F.min("doc_id").alias("a"))
+    shared = entries.join(pivot, "h").where("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("k"))
+    pairs = shared.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("k", F.bitwise_not("a"))).alias("a"))
+    pieces = written(sets.mapInArrow(lean(_pieces), "doc_id long, n long, part int, h array<long>"))
+    b = pairs.join(pieces.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "part", F.col("h").alias("hb")), "b")
+    both = b.join(pieces.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "part", F.col("h").alias("ha")), ["a", "part"])
+    partial = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("o"))
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    return total.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
+
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -196,35 +236,40 @@ def _postings(values: np.ndarray, rows: np.ndarray, keys: int) -> tuple[np.ndarr
 
 
 def block_links(percent: int):
-    """Of the rows in one task: edges that connect what their links connect."""
+    """Of the rows in one task: edges that connect what their links connect, beyond what `part` says is connected. Rows of two sides are compared across only."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, n, pre = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "n", "prefix"))
+        ids, n, pre, part, side = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "n", "prefix", "part", "side"))
         order = np.argsort(ids, kind="stable")
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("h")]
-        ids, n, pre, sets = ids[order], n[order], pre[order], [sets[i] for i in order]
-        m = len(ids)
+        ids, n, pre, part, side, sets = ids[order], n[order], pre[order], part[order], side[order], [sets[i] for i in order]
+        m, across = len(ids), side.any()
         size = np.array([len(s) for s in sets])
-        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        every = np.concatenate(sets)
+        _, code = np.unique(every, return_inverse=True)
         rows, at = np.repeat(np.arange(m), size), np.concatenate([[0], np.cumsum(size)])
-        keys = int(code.max()) + 1
+        keys, cut = int(code.max()) + 1, _range(every)
         docs, to = _postings(code, rows, keys)
         early = np.arange(len(code)) - at[rows] < pre[rows]
         first, first_to = _postings(code[early], rows[early], keys)
-        comp, out = np.arange(m), []
+        _, comp = np.unique(part, return_inverse=True)
+        out = []
         for x in range(m):
-            mine = code[at[x] : at[x + 1]]
+            mine, own = code[at[x] : at[x + 1]], cut[at[x] : at[x + 1]]
             p = mine[: pre[x]]
             near = np.unique(first[ranges(first_to[p], first_to[p + 1] - first_to[p])])
             near = near[(near > x) & (comp[near] != comp[x])]
+            if across:
+                near = near[side[near] != side[x]]
             if not len(near):
                 continue
             need = -(-percent * (n[x] + n[near]) // (100 + percent))
             total, left = np.zeros(len(near), np.int64), len(mine)
-            for part in np.array_split(mine, CUTS):
-                if len(part):
-                    total += np.bincount(docs[ranges(to[part], to[part + 1] - to[part])], minlength=m)[near]
-                    left -= len(part)
+            for k in range(RANGES):
+                some = mine[own == k]
+                if len(some) and len(near):
+                    total += np.bincount(docs[ranges(to[some], to[some + 1] - to[some])], minlength=m)[near]
+                    left -= len(some)
                     able = total + left >= need
                     near, need, total = near[able], need[able], total[able]
             near = near[100 * total >= percent * (n[x] + n[near] - total)]
@@ -239,8 +284,8 @@ def block_links(percent: int):
 
 
 def _through_fragments(docs: DataFrame, fragments: int, words: int, full: bool) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_to_fragments(fragments, words, full), _ROWS_SQL)
-    return rows.groupBy("part").applyInArrow(_count(full), _ROWS_SQL)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_to_fragments(fragments, words, full)), _ROWS_SQL)
+    return rows.groupBy("part").applyInArrow(lean_group(_count(full)), _ROWS_SQL)
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragments: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -253,25 +298,30 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     returned with null component_id and takes no part.
     """
     spark = docs.sparkSession
-    fragments = fragments or 2 * partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    fragments = fragments or max(2 * partitions(spark), input_bytes(docs) // FRAGMENT)
     known = docs.where("doc_id is not null")
-    stats = written(_through_fragments(known, fragments, words, False).groupBy("batch").applyInArrow(_sum_shared, "doc_id long, n long, k1 long, k2 long, shared long"))
+    stats = written(_through_fragments(known, fragments, words, False).groupBy("batch").applyInArrow(lean_group(_sum_shared), "doc_id long, n long, k1 long, k2 long, shared long"))
     linked = stats.where(f"n > 0 and 100 * shared >= {percent} * n")
     classes = written(linked.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id")))
-    wanted = known.join(classes.select(F.col("class_id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")  # the ids grow with the corpus: never broadcast
-    sets = written(_through_fragments(wanted, fragments, words, True).groupBy("batch").applyInArrow(_ordered(percent), "doc_id long, n long, prefix long, h binary"))
-    entries = sets.mapInArrow(_prefixes, "h long, doc_id long")
-    star = entries.join(entries.groupBy("h").agg(F.min("doc_id").alias("first")), "h").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    group = components(star)
+    # written, as rows are named by their place in it; the ids grow with the corpus and are never broadcast
+    wanted = written(known.join(classes.select(F.col("class_id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi"))
+    sets = written(_through_fragments(wanted, fragments, words, True).groupBy("batch").applyInArrow(lean_group(_ordered(percent)), "doc_id long, n long, prefix long, h binary"))
+    entries = sets.mapInArrow(lean(_prefixes), "h long, doc_id long")
+    links = written(pivot_links(sets, entries, percent))
+    parts = components(links)
+    placed = entries.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    several = placed.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("doc_id").alias("first")).where("x <> y")
+    group = components(placed.join(several, "h").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     blocks = group.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    placed = sets.join(group.withColumnRenamed("node", "doc_id"), "doc_id").join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = sets.join(group.withColumnRenamed("node", "doc_id"), "doc_id").join(blocks, "component").join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left")
+    dealt = dealt.withColumns({"part": F.coalesce("part", "doc_id"), "own": F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")})
     one = F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(4 * partitions(spark))).cast("string"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pair = F.concat_ws("/", F.col("component"), F.least("own", "other"), F.greatest("own", "other"))
-    columns = ["doc_id", "n", "prefix", "h"]
-    tasks = placed.where("blocks = 1").select(one.alias("task"), *columns).union(placed.where("blocks > 1").withColumn("other", other).select(pair.alias("task"), *columns))
-    edges = tasks.groupBy("task").applyInArrow(block_links(percent), "a long, b long")
+    columns = ["doc_id", "n", "prefix", "part", "h"]
+    tasks = dealt.where("blocks = 1").select(one.alias("task"), *columns, F.lit(0).alias("side")).union(dealt.where("blocks > 1").withColumn("other", other).select(pair.alias("task"), *columns, (F.col("own") > F.col("other")).cast("int").alias("side")))
+    edges = tasks.groupBy("task").applyInArrow(lean_group(block_links(percent)), "a long, b long").union(links)
     # a doc_id with several texts joins their classes
     rows = stats.join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
     member = rows.where("n > 0")
@@ -279,7 +329,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     also = member.join(several, "doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     found = components(edges.union(also)).withColumnRenamed("node", "class_id")
     out = rows.join(found, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
-    lost = docs.where("doc_id is null").mapInArrow(_sizes(words), "doc_id long, n_shingles long, component_id long, class_id long")
+    lost = docs.where("doc_id is null").mapInArrow(lean(_sizes(words)), "doc_id long, n_shingles long, component_id long, class_id long")
     return out.union(lost)
 
 
@@ -299,9 +349,24 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays, once. Of rows that share a doc_id any one stays, also if their texts differ; rows without a doc_id are dropped."""
-    first = link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """Pipeline stage: of each component the document with the smallest doc_id stays, with all its columns, whatever their names.
+
+    Rows that share a doc_id are one document, of which the row stays whose text (null: empty), then whose other
+    columns, have the least hash. Rows without a doc_id can't be told apart and all stay, as do null and empty texts, which
+    link with nothing. An empty table gives an empty one.
+    """
+    gone = link_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    names = [F.col("row")[c].alias(c) for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    left = docs.select(F.col("doc_id").cast("long").alias("id"), row).where("id is not null").join(gone.hint("shuffle_hash"), "id", "left_anti")
+    several = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("k")).where("k > 1").select("id", F.lit(True).alias("shared")))
+    out = docs.where("doc_id is null")
+    if not several.limit(1).count():
+        return out.union(left.select(*names))
+    left = left.join(several, "id", "left")
+    hashed = [F.col("row")[f.name] for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    order = F.struct(F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))), F.xxhash64(*hashed))
+    return out.union(left.where("shared is null").select(*names)).union(left.where("shared").groupBy("id").agg(F.min_by("row", order).alias("row")).select(*names))
 
 
 #: DuckDB; LINKS is shared with the pipeline.

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, SPACE, PrefixHash, buffer, chunks, column, mix, ranges
+from ._bytes import LOWER, SPACE, PrefixHash, buffer, chunks, column, lean, mix, ranges
 from ._store import written
 
 SIZE = 4096
@@ -366,7 +366,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
     each. An empty table has no pieces. The driver and each worker hold one number per source.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    tokens = written(rows.mapInArrow(_tokenise(tokenizer), _TOKENS_SQL))
+    tokens = written(rows.mapInArrow(lean(_tokenise(tokenizer)), _TOKENS_SQL))
     own = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")))
     total = own.agg(F.sum("n")).first()[0] or 0
     have = {r.source: r.n for r in own.groupBy("source").agg(F.sum("n").alias("n")).collect()}
@@ -388,7 +388,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
     line = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = own.select("source", "part", queue.alias("queue"), F.coalesce(F.sum("n").over(line), F.lit(0)).alias("base"))
     placed = tokens.join(places, ["source", "part"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("place"), "n", "ids", "source")
-    return placed.mapInArrow(_cut_pieces(schedule, len(names), runs, with_ids), _PIECES_SQL + ", ids binary" * with_ids)
+    return placed.mapInArrow(lean(_cut_pieces(schedule, len(names), runs, with_ids)), _PIECES_SQL + ", ids binary" * with_ids)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,5 +396,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents."""
+    """Pipeline stage: the pieces of all rows, in the columns that `pack` names; further columns of any name are dropped.
+
+    A row without a doc_id has pieces with a null doc_id; null and empty texts are their end id alone; repeated rows are
+    packed once each. An empty table gives an empty one."""
     return pack(docs)

@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._bytes import PrefixHash, buffer, chunks, column, mix, ranges
-from ._store import partitions, written
+from ._bytes import PrefixHash, buffer, chunks, column, lean, lean_group, mix, ranges
+from ._store import input_bytes, partitions, written
 
 LENGTH = 100
 GRAM = 24
@@ -38,6 +39,8 @@ GRAM = 24
 HOT = 20_000
 #: Bytes of text whose contexts a worker holds at once.
 SLICE = 8 << 20
+#: Bytes of input files whose contexts a fragment holds on average, at most.
+FRAGMENT = 16 << 20
 #: Strings sorted at once in a task.
 PIECE = 300_000
 
@@ -121,18 +124,22 @@ def _meet(length: int):
         kinds = dict(zip("abcdef", (np.uint64, np.uint64, np.int64, np.uint32, np.uint16, np.uint16), strict=True))
         h, c, doc, s, place, more = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(n)]) for n, t in kinds.items())
         order = np.lexsort((s, doc, c, h))
-        h, c, doc, s, place, more = h[order], c[order], doc[order], *(x[order].astype(np.int64) for x in (s, place, more))
+        h, c = h[order], c[order]
         other = np.concatenate([[True], h[1:] != h[:-1]])
         new = other.copy()
         new[1:] |= c[1:] != c[:-1]
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = np.flatnonzero(~new & ((doc != doc[lead]) | (s != s[lead])))
+        del c
         several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(other))[np.cumsum(other) - 1]
-        ask = np.flatnonzero(new & (several > 1))
-        both = np.concatenate([again, ask])
-        end = (s + more + length)[both]
-        asked = np.arange(len(both)) >= len(again)
-        return pa.table([doc[both], s[both], end, *(pa.array(x[both].view(np.int64), pa.int64(), mask=~asked) for x in (h, place, several))], schema=_FOUND)
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        again = ~new & ((doc[order] != doc[order[lead]]) | (s[order] != s[order[lead]]))
+        asked = new & (several > 1)
+        del lead, other, new
+        both = np.flatnonzero(again | asked)
+        asked, at = asked[both], order[both]
+        start = s[at].astype(np.int64)
+        end = start + more[at] + length
+        cols = (h[both].view(np.int64), place[at].astype(np.int64), several[both])
+        return pa.table([doc[at], start, end, *(pa.array(x, pa.int64(), mask=~asked) for x in cols)], schema=_FOUND)
 
     return run
 
@@ -308,7 +315,7 @@ def _sort_task(length: int):
     return run
 
 
-def _cut_out(keep_text: bool):
+def _cut_out(keep_text: bool, carry: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffer(column(batch, "text"))
@@ -338,7 +345,9 @@ def _cut_out(keep_text: bool):
             out = [column(batch, "doc_id"), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
             if keep_text:
                 out.append(pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays(out, _RESULT + ["kept_text"] * keep_text)
+            if carry:
+                out.append(column(batch, "row"))
+            yield pa.RecordBatch.from_arrays(out, _RESULT + ["kept_text"] * keep_text + ["row"] * carry)
 
     return run
 
@@ -346,34 +355,40 @@ def _cut_out(keep_text: bool):
 _RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) for each row of docs (doc_id, text; further columns don't matter).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, row]) for each row of docs (doc_id, text; further columns don't matter).
 
     Texts count as UTF-8 bytes, null as empty. Of a string of `length` bytes the occurrence with the smallest (doc_id,
     start) stays. kept_text drops characters of which only some bytes are left. Rows that repeat a doc_id and text are one
     document and come back once each; of rows that share a doc_id but not the text, the text with the smallest hash stands
-    for the document, and the others, like rows without a doc_id, come back whole and repeat nothing.
+    for the document, and the others, like rows without a doc_id, come back whole and repeat nothing. row: the columns
+    that carry names, as a struct.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    names = docs.columns
     own = docs.where("doc_id is not null")
     rest = docs.where("doc_id is null")
     several = own.select("doc_id", F.xxhash64("text").alias("x")).groupBy("doc_id").agg(F.min("x").alias("least"), F.max("x").alias("most")).where("least <> most").drop("most")
     several = written(several)
     if several.limit(1).count():
         marked = own.join(several, "doc_id", "left")
-        rest = rest.union(marked.where(F.xxhash64("text") > F.col("least")).select("doc_id", "text"))
-        own = marked.where(F.col("least").isNull() | (F.xxhash64("text") == F.col("least"))).select("doc_id", "text")
-    found = written(own.mapInArrow(_send(2 * n, length, gram), _SENT_SQL).groupBy("part").applyInArrow(_meet(length), _FOUND_SQL))
-    dealt = own.repartition(n, "doc_id")
+        rest = rest.union(marked.where(F.xxhash64("text") > F.col("least")).select(names))
+        own = marked.where(F.col("least").isNull() | (F.xxhash64("text") == F.col("least"))).select(names)
+    texts = own.select("doc_id", "text")
+    fragments = max(2 * n, input_bytes(texts) // FRAGMENT)
+    found = written(texts.mapInArrow(lean(_send(fragments, length, gram)), _SENT_SQL).groupBy("part").applyInArrow(lean_group(_meet(length)), _FOUND_SQL))
     asked = found.where("place is not null").groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "h", "place", "several")).alias("asked"))
-    fetched = dealt.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(4 * n, length, hot), _BYTES_SQL)
-    sorted_ = written(fetched.groupBy("task").applyInArrow(_sort_task(length), "doc_id long, s long, e long"))
+    fetched = texts.repartition(n, "doc_id").join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked").mapInArrow(lean(_fetch(4 * n, length, hot)), _BYTES_SQL)
+    sorted_ = written(fetched.groupBy("task").applyInArrow(lean_group(_sort_task(length)), "doc_id long, s long, e long"))
     spans = found.where("place is null").select("doc_id", "s", "e").union(sorted_).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    out = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut_out(keep_text), schema)
-    whole = rest.withColumn("spans", F.array().cast("array<struct<s:long,e:long>>")).mapInArrow(_cut_out(keep_text), schema)
+    schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text)
+    schema = T.StructType([*schema.fields, *[docs.schema[c] for c in names[2:]]])
+    cut = lean(_cut_out(keep_text, bool(carry)))
+    out = own.repartition(n, "doc_id").join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans", *names[2:]).mapInArrow(cut, schema)
+    whole = rest.withColumn("spans", F.array().cast("array<struct<s:long,e:long>>")).select("doc_id", "text", "spans", *names[2:]).mapInArrow(cut, schema)
     return out.union(whole)
 
 
@@ -382,7 +397,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the texts lose their repeated strings; a document of which nothing is left goes. Expects doc_ids that differ, as near_duplicates leaves them; rows without one are dropped."""
-    kept = remove_repeats(docs, keep_text=True).where("kept_text <> ''").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    cols = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return docs.drop("text", "n_chars").join(kept, "doc_id").select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    """Pipeline stage: the texts lose their repeated strings; a document of which nothing is left, empty and null texts included, goes.
+
+    Rows without a doc_id, and all texts but one of a doc_id that several share, stay whole. Rows that repeat doc_id and
+    text are cut alike. All other columns stay as they are, whatever their names; an empty table gives an empty one.
+    """
+    own = [c for c in docs.columns if c not in ("text", "n_chars")]
+    got = remove_repeats(docs, keep_text=True, carry=own).where("kept_text <> ''")
+    kind = dict(docs.dtypes)
+    cols = {"text": F.col("kept_text").cast(kind["text"])} | ({"n_chars": F.length("kept_text").cast(kind["n_chars"])} if "n_chars" in kind else {})
+    return got.select(*[cols[c].alias(c) if c in cols else F.col("row")[c].alias(c) for c in docs.columns])

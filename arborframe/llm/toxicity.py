@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import buffer, chunks, column, ranges
+from ._bytes import buffer, chunks, column, lean, mix, ranges
 from ._grams import distinct, fold, grams, letter_words
 
 TRAIN_ROWS = 7000
+#: Bytes of text that go to the driver for training, at most.
+TRAIN_BYTES = 64 << 20
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5, 6)
 DIM = 8
@@ -146,18 +148,33 @@ def _score(model: Model):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def sample(rows: DataFrame, most: int) -> pa.Table:
+    """Rows with a text, in the order of their doc_ids' hashes up to `most` bytes of text in all, then sorted by doc_id. A row whose text doesn't fit in what is left is passed over."""
+    size = rows.select("doc_id", F.octet_length("text").alias("size")).toArrow().to_pylist()  # as many as may be trained on
+    order = np.argsort(mix(np.array([r["doc_id"] for r in size], np.int64).view(np.uint64)), kind="stable")
+    keep, left = [], most
+    for i in order.tolist():
+        if (some := size[i]["size"] or 0) <= left:
+            keep.append(size[i]["doc_id"])
+            left -= some
+    if len(keep) < len(size):
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in keep], "doc_id long")), "doc_id")
+    return rows.toArrow().sort_by("doc_id")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text); labels: (doc_id, toxic); further columns don't matter.
 
     Rows without a doc_id are scored and never trained on; null and empty texts get the score of no subwords. Labels that
     are null, or contradict each other for one doc_id, are left out. Without labels of both classes all scores are equal.
+    Training takes train_rows doc_ids at most, one text of each (the least), and train_bytes of text in all.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).where("y = z")
     few = known.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    got = rows.join(F.broadcast(few), "doc_id").select("doc_id", "y", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    got = sample(rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")), train_bytes)
     model = train(got.column("text").combine_chunks(), np.array(got.column("y").to_pylist(), np.int64))
-    return rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).mapInArrow(lean(_score(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

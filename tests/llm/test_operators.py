@@ -346,19 +346,57 @@ def test_host_quality(spark):
         want = brute_quality(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want, i
         if s is not None:
-            by_host[s].append(want[-1])
-    n = sum(map(len, by_host.values()))
-    a, b = host_quality.beta_prior(len(by_host), n, sum(map(sum, by_host.values())), sum(sum(v) ** 2 / len(v) for v in by_host.values()))
-    bad = {s for s, v in by_host.items() if (sum(v) + a) / (len(v) + a + b) > host_quality.HOST_LIMIT}
+            by_host[s].append(brute_rules(t))
+    bad = brute_hosts(by_host)
     for i, _, _, s in rows:
         assert got[i].kept == (not got[i].base_failed and s not in bad)
     assert host_quality.judged(table(spark, [])).count() == 0
 
 
-def test_bad_host(spark):
+def brute_rules(text):
+    n, _, symbols, again, hit, _ = brute_quality(text)
+    lines = sum(bool(words(x)) for x in (text or "").split("\n"))
+    return n < 10, 100 * hit > 20 * n, 100 * symbols > 10 * n, 100 * again > 30 * lines
+
+
+def brute_hosts(by_host):
+    """Hosts that some rule rejects: failures per host, a beta prior from the moments, the posterior against the other hosts' rate."""
+    out = set()
+    for k in range(4):
+        f, n = {s: sum(x[k] for x in v) for s, v in by_host.items()}, {s: len(v) for s, v in by_host.items()}
+        total, fails = sum(n.values()), sum(f.values())
+        mean = min(max(fails / total, 1e-6), 1 - 1e-6)
+        spread = sum(f[s] ** 2 / n[s] for s in f) / total - (fails / total) ** 2 - mean * (1 - mean) * (len(f) - 1) / total
+        strength = min(max(mean * (1 - mean) / max(spread, 1e-12) - 1, 1.0), 1e6)
+        for s in f:
+            a, b = f[s] + mean * strength, n[s] - f[s] + (1 - mean) * strength
+            low = a / (a + b) - 2 * (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5
+            if total > n[s] and low > max(0.25, 3 * (fails - f[s]) / (total - n[s])):
+                out.add(s)
+    return out
+
+
+def test_bad_hosts(spark):
+    """Hosts are rejected for any of the rules, also one that rejects no document by itself, and good documents go with them."""
     rows = [(i, "bad", "en", "junk") for i in range(60)] + [(100, prose(50, 3), "en", "junk")] + [(200 + i, prose(50, i), "en", f"h{i % 4}") for i in range(60)]
-    got = {r.doc_id: r.kept for r in host_quality.judged(table(spark, rows)).collect()}
-    assert not got[100] and all(got[200 + i] for i in range(60))
+    rows += [(300 + i, prose(20, i) + " # * | & $ %", "en", "marks") for i in range(40)] + [(400 + i, f"{prose(30, 500 + i)}\nmenu\nmenu\nmenu", "en", "lines") for i in range(40)]
+    rows += [(500, prose(30, 1), "en", None), (501, prose(30, 2), "en", None), (501, prose(30, 2), "en", None)]
+    got = [(r.doc_id, r.kept, r.base_failed) for r in host_quality.judged(table(spark, rows, clash=True)).collect()]
+    assert len(got) == len(rows)
+    assert not any(kept for i, kept, _ in got if i < 200 or 300 <= i < 500)
+    assert not any(failed for i, _, failed in got if 300 <= i < 500)
+    assert all(kept for i, kept, _ in got if 200 <= i < 300 or i >= 500)
+    by_host = defaultdict(list)
+    for _, t, _, s in rows:
+        if s:
+            by_host[s].append(brute_rules(t))
+    assert brute_hosts(by_host) == {"junk", "marks", "lines"}
+
+
+def test_only_host(spark):
+    """One host has nothing to be compared with; windows with one hash are compared by their words in any order."""
+    rows = [(i, "bad" if i % 2 else prose(40, i), "en", "one") for i in range(20)]
+    assert sum(r.kept for r in host_quality.judged(table(spark, rows)).collect()) == 10
 
 
 # ---- 1
@@ -389,13 +427,48 @@ def test_mixing(spark):
 
 
 def test_raking_on_frames_agrees(spark):
-    cells = [(f"s{i}", l, "t", 10.0 + i * 3 + len(l)) for i in range(3) for l in ("en", "de", "fra")]
-    shares = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}, "lang": {"en": 0.2, "de": 0.2, "fra": 0.6}, "topic": {"t": 1.0}}
-    df = spark.createDataFrame([(*c, c[3]) for c in cells], "source string, lang string, topic string, tokens double, raked double")
-    got = {(r.source, r.lang): r.raked for r in mixing.rake_frame(df, shares, 2).collect()}
-    codes = np.array([[int(c[0][1]), ["en", "de", "fra"].index(c[1]), 0] for c in cells])
-    want = mixing.rake(codes, np.array([c[3] for c in cells]), [np.array([0.5, 0.3, 0.2]), np.array([0.2, 0.2, 0.6]), np.array([1.0])], 2)
-    assert all(math.isclose(got[c[0], c[1]], w, rel_tol=1e-9) for c, w in zip(cells, want))
+    rows = [(i, prose(10 + i % 30, i), "en" if i % 3 else "de", "ab"[i % 2]) for i in range(60)]
+    df = table(spark, rows)
+    for targets in (None, {"source": {"a": 0.3, "b": 0.5, "absent": 0.2}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"short": 0.8, "table": 0.1}}):
+        one, two = ({r.doc_id: r for r in mixing.mix(df, targets, most_cells=k).collect()} for k in (mixing.MOST_CELLS, 0))
+        assert one.keys() == two.keys()
+        for i, r in one.items():
+            assert abs(r.weight - two[i].weight) < 1e-6 and abs(r.probability - two[i].probability) < 1e-6 and r.selected == two[i].selected
+
+
+def test_mixing_by_brute_force(spark):
+    """Weights and probabilities against a plain raking over dictionaries, on the whole table."""
+    rows = [(i, prose(5 + i % 40, i), ["en", "de", "fr"][i % 7 % 3], f"s{i % 5 * (i % 2)}") for i in range(200)]
+    power = {"source": 0.7, "lang": 0.7, "topic": 0.9}
+    n = {i: len(words(t)) for i, t, *_ in rows}
+    cell = {i: (s, x, "short") for i, t, x, s in rows}
+    tokens = Counter()
+    for i, c in cell.items():
+        tokens[c] += n[i]
+    now, goal = {c: float(x) for c, x in tokens.items()}, sum(tokens.values())
+    share = []
+    for m, name in enumerate(("source", "lang", "topic")):
+        t = Counter()
+        for c, x in tokens.items():
+            t[c[m]] += x
+        up = {k: v ** power[name] for k, v in t.items()}
+        share.append({k: v / sum(up.values()) for k, v in up.items()})
+    for _ in range(300):
+        for m in range(3):
+            for k, s in share[m].items():
+                have = sum(x for c, x in now.items() if c[m] == k)
+                for c in now:
+                    if c[m] == k:
+                        now[c] *= s * goal / have
+    weight = {c: now[c] / tokens[c] for c in now}
+    lo, hi = 0.0, 100.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        kept = sum(x * min(1, mid * weight[c]) for c, x in tokens.items())
+        lo, hi = (mid, hi) if kept < 0.8 * goal else (lo, mid)
+    for r in mixing.mix(table(spark, rows, clash=True)).collect():
+        assert abs(r.weight - weight[cell[r.doc_id]]) < 1e-4
+        assert abs(r.probability - min(1, hi * weight[cell[r.doc_id]])) < 1e-4
 
 
 def test_capped_scale():

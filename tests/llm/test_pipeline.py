@@ -34,15 +34,41 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in mixed.collect()}
 
 
-def test_pipeline_needs_ids(spark):
-    """As the stages' docstrings say: rows without a doc_id are dropped, and one row of a shared doc_id stays."""
-    rows = [(None, prose(50, 1), "en", "a"), (1, prose(50, 2), "en", "a"), (2, prose(50, 3), "en", "a"), (2, prose(50, 4), "en", "a")]
-    docs = written(table(spark, rows).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) as n_chars"))
+def test_stages_on_odd_rows(spark):
+    """As the stages' docstrings say: null and shared doc_ids, repeated rows, null and empty texts, columns with names that operators use inside."""
+    a, b, c, d = (prose(60, i) for i in range(4))
+    rows = [(None, a, "en", "a"), (None, b, None, None), (1, a, "en", "a"), (2, c, "en", "a"), (2, d, "en", "a"), (3, d, "en", "b"), (4, b, "en", "b"), (4, b, "en", "b"), (5, None, "en", "b"), (6, "", "en", "b")]
+    df = table(spark, rows, clash=True)
+    for name in ("_d", "_m", "kept_text", "row", "id", "more", "text2", "draw", "asked", "bytes", "shared", "selected"):
+        df = df.withColumn(name, df.doc_id.cast("string"))
+    df = written(df.withColumn("where it was", df.source).withColumn("n_chars", df.doc_id * 0))
     stages = dict(corpus_pipeline.STAGES)
-    assert sorted(r.doc_id for r in stages["quality"](spark, docs, "").collect()) == [1, 2, 2]
-    assert sorted(r.doc_id for r in stages["near_duplicates"](spark, docs, "").collect()) == [1, 2]
-    assert sorted({r.doc_id for r in stages["repeated_passages"](spark, docs, "").collect()}) == [1, 2]
-    assert all(r.doc_id is not None for r in stages["mixture"](spark, docs, "").collect())
+    out = {name: stages[name](spark, df, "") for name in list(stages)[:4]}
+    for name, got in out.items():
+        assert got.dtypes == df.dtypes, name
+        for r in got.collect():
+            assert r["_d"] == (None if r.doc_id is None else str(r.doc_id)) and r["_x"] == r.doc_id and r["where it was"] == r.source, name
+    key = lambda name: sorted((str(r.doc_id), str(r.text)) for r in out[name].collect())
+    every = sorted((str(i), str(t)) for i, t, *_ in rows)
+    assert key("quality") == [x for x in every if x[1] not in ("None", "")]
+    near = key("near_duplicates")
+    assert len(near) == 7 and [x[0] for x in near] == ["1", "2", "4", "5", "6", "None", "None"]  # 3 links with a text of 2
+    assert near == sorted((str(r.doc_id), str(r.text)) for r in stages["near_duplicates"](spark, df.repartition(5), "").collect())
+    cut = key("repeated_passages")
+    assert {x for x in every if x[0] in ("None", "1")} - {("None", "")} <= set(cut) and not any(x[0] in ("5", "6") for x in cut) and sum(x[0] == "4" for x in cut) == 2
+    assert set(key("mixture")) <= set(every)
+    packed = stages["packing"](spark, df, "").collect()
+    assert sorted(str(r.doc_id) for r in packed if r.start == 0) == sorted(str(i) for i, *_ in rows)
+
+
+def test_run_leaves_one_table(spark, tmp_path):
+    """Stages see what the one before kept; tables in between are deleted."""
+    from arborframe.llm import _store
+
+    before = len(_store._tables)
+    table(spark).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert len(_store._tables) - before <= 4  # what the last stage reads
 
 
 def test_pipeline_empty(spark):
