@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (their arrays of 64-bit numbers fit in a core's cache); a longer document is a chunk of its own.
 CHUNK = 1 << 18
@@ -29,12 +30,22 @@ def frugal() -> None:
         pass
 
 
-def lean(run):
-    """A mapInArrow function whose worker gives its memory back at the end."""
+def lean(run, text: str | None = None, most: int = 4 << 20):
+    """A mapInArrow function whose worker gives its memory back at the end. If a column is named, batches come in parts of up to `most` bytes of it, or one longer row."""
+
+    def parts(batches):
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(column(batch, text)), 0).cast(pa.int64())
+            off = np.concatenate([[0], np.cumsum(np.asarray(size))])
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+                yield batch.slice(i, j - i)
+                i = j
 
     def wrapped(batches):
         frugal()
-        yield from run(batches)
+        yield from run(parts(batches) if text else batches)
         pa.default_memory_pool().release_unused()
 
     return wrapped
@@ -97,7 +108,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base % 2**64, 1 << max(20, int(n).bit_length()))[:n]
+    return _powers(base % 2**64, 1 << max(19, int(n).bit_length()))[:n]
 
 
 class PrefixHash:
@@ -113,6 +124,17 @@ class PrefixHash:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """PrefixHash.of for many ranges in ascending order, in runs of CHUNK bytes, so that a long text needs no more memory than a short one."""
+    out, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        a = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, a + CHUNK, "right")))
+        out[i:j] = PrefixHash(data[a : int(end[j - 1])]).of(start[i:j] - a, end[i:j] - a)
+        i = j
+    return out
+
+
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word [^\\x20\\x09-\\x0D]+ and, for each row, the number of words before it (one more than rows)."""
     n = len(data)

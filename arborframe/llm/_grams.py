@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ._bytes import PrefixHash, mix, ranges
+from ._bytes import PrefixHash, hashes, mix, ranges
 
 _ORDINARY = np.zeros(256, bool)
 _ORDINARY[97:123] = True
@@ -36,7 +36,7 @@ def letter_words(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def distinct(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words, one occurrence of each, and which one each word is."""
-    h = mix(PrefixHash(low).of(start, end) ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = mix(hashes(low, start, end) ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return np.unique(h, return_index=True, return_inverse=True)
 
 

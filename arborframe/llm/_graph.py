@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from ._store import removed, written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges in a file, about.
+EDGES = 1 << 20
+
+
+def components(edges: DataFrame, most_rounds: int = 60, files: int | None = None) -> DataFrame:
     """edges (a, b long) -> (node, component): component is the smallest node reachable, itself included. Nodes without an edge to another node don't appear.
 
     Each round has two joins of the edges with one minimum per node (which Spark aggregates before it shuffles); no node's
     neighbours are ever collected. The rounds end when the edge set no longer changes.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), files)
+    before, spread = None, -(-max(now.count(), 1) // EDGES)
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -23,7 +27,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        old, now = now, written(small.where("a <> b").distinct())
+        old, now = now, written(small.where("a <> b").distinct(), spread)
         removed(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

@@ -25,9 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: the lineage ends there, and a lost executor loses no part of it."""
+def written(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: the lineage ends there, and a lost executor loses no part of it.
+
+    files: how many files are enough for it, if its last stage may have fewer tasks (see `files_for`).
+    """
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     at = f"{shared_folder(spark)}/arborframe-{uuid.uuid4().hex}"
     _tables.append(at)
     df.write.option("compression", "zstd").parquet(at)
@@ -36,6 +40,12 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def files_for(docs: DataFrame, each: int) -> int | None:
+    """A file for every `each` bytes of the files that docs is read from, so that small inputs don't become hundreds of tiny files and large ones stay spread; None if docs comes from elsewhere."""
+    size = input_bytes(docs)
+    return -(-size // each) if size else None
+
+
 def stable(df: DataFrame) -> DataFrame:
     """df if each of its partitions is read from files, so that a task that runs again gets the same rows in the same order; else df written."""
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -160,12 +160,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
     dealt = rows.repartitionByRange(partitions(spark), order[0]).sortWithinPartitions(*order)
-    done = written(dealt.mapInArrow(lean(_stream), _SQL + ", part int, first boolean, text string"))
+    done = written(dealt.mapInArrow(lean(_stream, "text"), _SQL + ", part int, first boolean, text string"))
     first = done.where("first").select("part", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
     parts = sorted(r.part for r in first.select("part").collect())  # as many as partitions at most
     follow = spark.createDataFrame([(a, b) for a, b in zip(parts, parts[1:] + parts[:1], strict=True)], "part int, next int")
     last = done.where("not first").select("doc_id", "text", "fingerprint", "part").join(follow, "part").join(first.withColumnRenamed("part", "next"), "next")
-    return done.where("first is null").select(_COLS).union(last.mapInArrow(lean(_edges), _SQL))
+    return done.where("first is null").select(_COLS).union(last.mapInArrow(lean(_edges, "text"), _SQL))
 
 
 def op4_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import files_for, written
 
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
@@ -87,7 +87,7 @@ def rule_texts() -> dict[str, str]:
 def host_rates(rows: DataFrame, factor: float = HOST_FACTOR, least: float = HOST_LEAST, sure: float = HOST_SURE) -> DataFrame:
     """(host, n, for each rule failed_, rate_ and rejected_, rejected) of rows (host and a column for each rule); rows without a host are left out, and an only host is never rejected."""
     hosts = rows.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(f"failed_{r}") for r in RULES])
-    hosts = written(hosts)
+    hosts = written(hosts, files_for(rows, 256 << 20))
     sums = [x for r in RULES for x in (F.sum(f"failed_{r}").alias(f"f_{r}"), F.sum(F.col(f"failed_{r}") * F.col(f"failed_{r}") / F.col("n")).alias(f"q_{r}"))]
     t = hosts.agg(F.count("*").alias("k"), F.sum("n").alias("n"), *sums).first()
     out = hosts
@@ -119,7 +119,7 @@ def judged(docs: DataFrame, **limits: float) -> DataFrame:
     A null text has no words and so fails. A row without a source has no host: its own rules decide. Repeated rows, also of
     a null doc_id, come back once each. An empty table gives an empty one.
     """
-    rows = written(measured(docs))
+    rows = written(measured(docs), files_for(docs, 16 << 20))
     bad = host_rates(rows, **limits).where("rejected").select("host", "rejected")
     out = rows.join(bad, "host", "left")
     return out.select("doc_id", *_SUMS, "base_failed", (~F.col("base_failed") & F.col("rejected").isNull()).alias("kept"), "host")
@@ -137,7 +137,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = measured(docs, whole)
-    rows = written(rows.select("host", *RULES, "base_failed", F.when(~F.col("base_failed"), F.col("more.row")).alias("row")))
+    rows = written(rows.select("host", *RULES, "base_failed", F.when(~F.col("base_failed"), F.col("more.row")).alias("row")), files_for(docs, 16 << 20))
     bad = host_rates(rows).where("rejected").select("host")
     return rows.where("not base_failed").join(bad, "host", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 

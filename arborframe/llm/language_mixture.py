@@ -150,7 +150,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = T
     few = limit.withColumn("k", F.row_number().over(place)).where(F.col("k") <= train_rows).select("doc_id", "lang")
     got = sample(rows.join(F.broadcast(few.groupBy("doc_id").agg(F.min("lang").alias("lang"))), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")), train_bytes)
     model = train(got.column("text").to_pylist(), got.column("lang").to_pylist())
-    return rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).select("doc_id", "held_out", "text").mapInArrow(lean(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
+    return rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).select("doc_id", "held_out", "text").mapInArrow(lean(_predict(model), "text"), "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
 
 
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

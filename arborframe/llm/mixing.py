@@ -15,10 +15,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import removed, written
+from ._store import files_for, removed, written
 
 MARGINS = ("source", "lang", "topic")
 MOST_CELLS = 200_000
+#: Cells whose weights are broadcast, at most (some 100 bytes each).
+SENT_CELLS = 50_000
 ROUNDS = 50
 #: Target shares are the actual ones raised to this power (1: as they are, 0: all equal), per margin.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
@@ -117,14 +119,15 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float =
     id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(id_, F.xxhash64(text)), F.lit(seed)), 11) / F.lit(float(2**53))
     more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
-    rows = written(docs.select(id_.alias("doc_id"), draw.alias("draw"), name("source").alias("source"), name("lang").alias("lang"), (globals()["topic"]() if topic is None else topic).alias("topic"), n_tokens().alias("n_tokens"), *more))
-    cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+    rows = written(docs.select(id_.alias("doc_id"), draw.alias("draw"), name("source").alias("source"), name("lang").alias("lang"), (globals()["topic"]() if topic is None else topic).alias("topic"), n_tokens().alias("n_tokens"), *more), files_for(docs, 16 << 20))
+    cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), files_for(docs, 256 << 20))
     shares = targets or {}
     for m in MARGINS:
         if m not in shares:  # as many as names; the cells' bound holds for them too
             totals = {r[m]: r.t for r in cells.groupBy(m).agg(F.sum("tokens").alias("t")).toLocalIterator()}
             shares = shares | {m: tempered(totals, TEMPER[m])}
-    if cells.count() <= most_cells:
+    n = cells.count()
+    if n <= most_cells:
         got = cells.orderBy(*MARGINS).toPandas()
         codes, goals = [], []
         for m in MARGINS:
@@ -144,6 +147,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float =
         weights = written(r.select(*MARGINS, "tokens", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(1.0).alias("weight")))
         c = _scale_frame(weights, budget)
         weights = weights.drop("tokens")
+    weights = F.broadcast(weights) if n <= SENT_CELLS else weights
     p = F.lit(1.0) if c == float("inf") else F.least(F.lit(1.0), F.col("weight") * F.lit(c))
     out = rows.join(weights, list(MARGINS)).withColumn("probability", p)
     return out.select("doc_id", *MARGINS, "n_tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("selected"), *(["row"] if carry else []))

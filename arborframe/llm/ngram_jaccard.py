@@ -30,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, PrefixHash, buffer, chunks, column, lean, lean_group, mix, ranges, word_spans
+from ._bytes import LOWER, buffer, chunks, column, hashes, lean, lean_group, mix, ranges, word_spans
 from ._graph import components
-from ._store import input_bytes, partitions, stable, written
+from ._store import files_for, input_bytes, partitions, stable, written
 
 WORDS = 5
 PERCENT = 75
@@ -49,7 +49,7 @@ def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.
     """Each row's distinct shingle hashes in ascending order, one row after the other, and how many each row has."""
     low = LOWER[data]
     start, end, first = word_spans(low, off)
-    each = mix(PrefixHash(low).of(start, end) ^ (end - start).astype(np.uint64))
+    each = mix(hashes(low, start, end) ^ (end - start).astype(np.uint64))
     n = np.diff(first)
     k = np.where(n >= words, n - words + 1, n > 0)
     at = ranges(first[:-1], k)
@@ -214,12 +214,12 @@ def _range(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)).astype(np.int64)
 
 
-def pivot_links(sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+def pivot_links(sets: DataFrame, entries: DataFrame, percent: int, files: int | None = None) -> DataFrame:
     """(a, b): links of each document b with the pivot a that it shares most prefix shingles with, where they are one. Partial overlaps are counted in each range of the order and summed per pair."""
     pivot = entries.groupBy("h").agg(F.min("doc_id").alias("a"))
     shared = entries.join(pivot, "h").where("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("k"))
     pairs = shared.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("k", F.bitwise_not("a"))).alias("a"))
-    pieces = written(sets.mapInArrow(lean(_pieces), "doc_id long, n long, part int, h array<long>"))
+    pieces = written(sets.mapInArrow(lean(_pieces), "doc_id long, n long, part int, h array<long>"), files)
     b = pairs.join(pieces.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "part", F.col("h").alias("hb")), "b")
     both = b.join(pieces.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "part", F.col("h").alias("ha")), ["a", "part"])
     partial = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("o"))
@@ -300,19 +300,20 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     spark = docs.sparkSession
     docs = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     fragments = fragments or max(2 * partitions(spark), input_bytes(docs) // FRAGMENT)
+    few, many = files_for(docs, 128 << 20), files_for(docs, 16 << 20)
     known = docs.where("doc_id is not null")
-    stats = written(_through_fragments(known, fragments, words, False).groupBy("batch").applyInArrow(lean_group(_sum_shared), "doc_id long, n long, k1 long, k2 long, shared long"))
+    stats = written(_through_fragments(known, fragments, words, False).groupBy("batch").applyInArrow(lean_group(_sum_shared), "doc_id long, n long, k1 long, k2 long, shared long"), many)
     linked = stats.where(f"n > 0 and 100 * shared >= {percent} * n")
-    classes = written(linked.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id")))
+    classes = written(linked.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id")), few)
     # written, as rows are named by their place in it; the ids grow with the corpus and are never broadcast
-    wanted = written(known.join(classes.select(F.col("class_id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi"))
-    sets = written(_through_fragments(wanted, fragments, words, True).groupBy("batch").applyInArrow(lean_group(_ordered(percent)), "doc_id long, n long, prefix long, h binary"))
+    wanted = written(known.join(classes.select(F.col("class_id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi"), many)
+    sets = written(_through_fragments(wanted, fragments, words, True).groupBy("batch").applyInArrow(lean_group(_ordered(percent)), "doc_id long, n long, prefix long, h binary"), few)
     entries = sets.mapInArrow(lean(_prefixes), "h long, doc_id long")
-    links = written(pivot_links(sets, entries, percent))
-    parts = components(links)
+    links = written(pivot_links(sets, entries, percent, few), few)
+    parts = components(links, files=few)
     placed = entries.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     several = placed.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("doc_id").alias("first")).where("x <> y")
-    group = components(placed.join(several, "h").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    group = components(placed.join(several, "h").select(F.col("doc_id").alias("a"), F.col("first").alias("b")), files=few)
     blocks = group.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     dealt = sets.join(group.withColumnRenamed("node", "doc_id"), "doc_id").join(blocks, "component").join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left")
     dealt = dealt.withColumns({"part": F.coalesce("part", "doc_id"), "own": F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")})
@@ -327,7 +328,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     member = rows.where("n > 0")
     several = member.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("c")).where("b <> c").select("doc_id")
     also = member.join(several, "doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    found = components(edges.union(also)).withColumnRenamed("node", "class_id")
+    found = components(edges.union(also), files=few).withColumnRenamed("node", "class_id")
     out = rows.join(found, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
     lost = docs.where("doc_id is null").mapInArrow(lean(_sizes(words)), "doc_id long, n_shingles long, component_id long, class_id long")
     return out.union(lost)
@@ -359,7 +360,7 @@ def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     names = [F.col("row")[c].alias(c) for c in docs.columns]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     left = docs.select(F.col("doc_id").cast("long").alias("id"), row).where("id is not null").join(gone.hint("shuffle_hash"), "id", "left_anti")
-    several = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("k")).where("k > 1").select("id", F.lit(True).alias("shared")))
+    several = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("k")).where("k > 1").select("id", F.lit(True).alias("shared")), files_for(docs, 128 << 20))
     out = docs.where("doc_id is null")
     if not several.limit(1).count():
         return out.union(left.select(*names))

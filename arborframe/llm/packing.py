@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, SPACE, PrefixHash, buffer, chunks, column, lean, mix, ranges
-from ._store import written
+from ._bytes import LOWER, SPACE, buffer, chunks, column, hashes, lean, mix, ranges
+from ._store import files_for, written
 
 SIZE = 4096
 END = 2
@@ -133,7 +133,7 @@ class Encoder:
         s = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
         s = s[s < n]
         e = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
-        h = mix(PrefixHash(low).of(s, e) ^ (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = mix(hashes(low, s, e) ^ (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
         slots = self._slots(distinct, at, low, s, e)[back]
         words = np.searchsorted(s, off)
@@ -366,8 +366,10 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
     each. An empty table has no pieces. The driver and each worker hold one number per source.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    tokens = written(rows.mapInArrow(lean(_tokenise(tokenizer)), _TOKENS_SQL))
-    own = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")))
+    if files := files_for(docs, 16 << 20):
+        rows = rows.coalesce(files)  # before ids are made: each task is a part
+    tokens = written(rows.mapInArrow(lean(_tokenise(tokenizer), "text"), _TOKENS_SQL))
+    own = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), files_for(docs, 256 << 20))
     total = own.agg(F.sum("n")).first()[0] or 0
     have = {r.source: r.n for r in own.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     if targets is None:

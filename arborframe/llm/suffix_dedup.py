@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import PrefixHash, buffer, chunks, column, lean, lean_group, mix, ranges
-from ._store import input_bytes, partitions, written
+from ._bytes import CHUNK, PrefixHash, buffer, chunks, column, lean, lean_group, mix, ranges
+from ._store import files_for, input_bytes, partitions, written
 
 LENGTH = 100
 GRAM = 24
@@ -75,6 +75,16 @@ def contexts(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple
     return g[anchor], c, row, first - off[row], place, more
 
 
+def _contexts(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same in parts of a long text. A context that a cut parts is two: equal strings in it have one anchor still, and are found by their bytes."""
+    if len(off) > 2 or len(data) <= 2 * CHUNK:
+        yield contexts(data, off, length, gram)
+        return
+    for i in range(0, len(data) - length + 1, CHUNK):
+        h, c, row, s, place, more = contexts(data[i : i + CHUNK + length - 1], np.array([0, min(len(data) - i, CHUNK + length - 1)]), length, gram)
+        yield h, c, row, s + i, place, more
+
+
 _SENT = pa.schema([("part", pa.string()), *((c, pa.binary()) for c in "abcdef")])
 _SENT_SQL = "part string, a binary, b binary, c binary, d binary, e binary, f binary"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("several", pa.int64())])
@@ -93,7 +103,7 @@ def _send(fragments: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, (ids, data, off) in enumerate(_slices(batches)):
-            parts = [(i, contexts(d, o, length, gram)) for i, _, d, o in chunks(data, off)]
+            parts = [(i, x) for i, _, d, o in chunks(data, off) for x in _contexts(d, o, length, gram)]
             h, c, row, s, place, more = (np.concatenate([p[k] for _, p in parts]) if k != 2 else np.concatenate([p[2] + i for i, p in parts]) for k in range(6))
             doc = ids[row]
             order = np.lexsort((s, doc, c, h))
@@ -372,21 +382,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     own = docs.where("doc_id is not null")
     rest = docs.where("doc_id is null")
     several = own.select("doc_id", F.xxhash64("text").alias("x")).groupBy("doc_id").agg(F.min("x").alias("least"), F.max("x").alias("most")).where("least <> most").drop("most")
-    several = written(several)
+    few, many = files_for(docs, 128 << 20), files_for(docs, 16 << 20)
+    several = written(several, few)
     if several.limit(1).count():
         marked = own.join(several, "doc_id", "left")
         rest = rest.union(marked.where(F.xxhash64("text") > F.col("least")).select(names))
         own = marked.where(F.col("least").isNull() | (F.xxhash64("text") == F.col("least"))).select(names)
     texts = own.select("doc_id", "text")
     fragments = max(2 * n, input_bytes(texts) // FRAGMENT)
-    found = written(texts.mapInArrow(lean(_send(fragments, length, gram)), _SENT_SQL).groupBy("part").applyInArrow(lean_group(_meet(length)), _FOUND_SQL))
+    found = written(texts.mapInArrow(lean(_send(fragments, length, gram)), _SENT_SQL).groupBy("part").applyInArrow(lean_group(_meet(length)), _FOUND_SQL), many)
     asked = found.where("place is not null").groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "h", "place", "several")).alias("asked"))
-    fetched = texts.repartition(n, "doc_id").join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked").mapInArrow(lean(_fetch(4 * n, length, hot)), _BYTES_SQL)
-    sorted_ = written(fetched.groupBy("task").applyInArrow(lean_group(_sort_task(length)), "doc_id long, s long, e long"))
+    fetched = texts.repartition(n, "doc_id").join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked").mapInArrow(lean(_fetch(4 * n, length, hot), "text"), _BYTES_SQL)
+    sorted_ = written(fetched.groupBy("task").applyInArrow(lean_group(_sort_task(length)), "doc_id long, s long, e long"), many)
     spans = found.where("place is null").select("doc_id", "s", "e").union(sorted_).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text)
     schema = T.StructType([*schema.fields, *[docs.schema[c] for c in names[2:]]])
-    cut = lean(_cut_out(keep_text, bool(carry)))
+    cut = lean(_cut_out(keep_text, bool(carry)), "text")
     out = own.repartition(n, "doc_id").join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans", *names[2:]).mapInArrow(cut, schema)
     whole = rest.withColumn("spans", F.array().cast("array<struct<s:long,e:long>>")).select("doc_id", "text", "spans", *names[2:]).mapInArrow(cut, schema)
     return out.union(whole)

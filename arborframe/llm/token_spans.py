@@ -150,7 +150,7 @@ def section_tokens(docs: DataFrame, rule: str = RULE, separator: str = "\n", voc
     if rule not in RULES:
         raise ValueError(f"rule {rule!r} isn't one of {RULES}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(_count(vocabulary, separator.encode(), rule)), "doc_id long, section long, start long, end long, n_tokens double, n_crossing long")
+    return rows.mapInArrow(lean(_count(vocabulary, separator.encode(), rule), "text"), "doc_id long, section long, start long, end long, n_tokens double, n_crossing long")
 
 
 def op6_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

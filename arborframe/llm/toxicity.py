@@ -174,7 +174,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     few = known.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     got = sample(rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")), train_bytes)
     model = train(got.column("text").combine_chunks(), np.array(got.column("y").to_pylist(), np.int64))
-    return rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).mapInArrow(lean(_score(model)), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).mapInArrow(lean(_score(model), "text"), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
