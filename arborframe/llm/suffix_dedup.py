@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import CHUNK, PrefixHash, buffer, chunks, column, lean, lean_group, mix, ranges
+from ._bytes import BASES, CHUNK, PrefixHash, buffer, chunks, column, lean, lean_group, mix, ranges
 from ._store import files_for, input_bytes, partitions, written
 
 LENGTH = 100
@@ -72,7 +72,7 @@ def contexts(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple
     place, more = anchor - first, last - first
     c = mix(PrefixHash(data, 1).of(first, last + length) ^ mix((place << 32 | more).astype(np.uint64)))
     row = np.searchsorted(off, first, "right") - 1
-    return g[anchor], c, row, first - off[row], place, more
+    return mix(g[anchor] + np.uint64(BASES[0])), c, row, first - off[row], place, more  # the least of many hashes is small: mixed again, it spreads over the fragments
 
 
 def _contexts(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:

@@ -110,6 +110,25 @@ def test_suffix_dedup_edges(spark):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts over twice the bytes that are worked on at once."""
+    import random
+
+    r = random.Random(5)
+    a = "".join(r.choices("abcdefgh ", k=700_000))
+    rows = [(1, a, None, None), (2, "x" * 37 + a[100:400_000] + a[600_000:] + a[:50_000], None, None)]
+    want = brute_repeats([(i, t) for i, t, *_ in rows])
+    for r in suffix_dedup.remove_repeats(table(spark, rows)).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id][:4]
+
+
+def test_fragments_are_even():
+    data = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    h = suffix_dedup.contexts(data, np.array([0, len(data)]), 100, 24)[0]
+    per = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64)
+    assert per.max() < 2 * per.mean()
+
+
 def test_suffix_sort_orders_and_verifies():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 400).astype(np.uint8)
