@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .objectives import settled
+
 EPSILON = 1e-15
 HIGHER = {"auc", "average_precision", "r2", "auc_mu", "ndcg", "map"}
 NAMES = {
@@ -98,15 +100,15 @@ def r2(p: Column, y: Column, w: Column | None = None) -> Column:
     return F.when(tss > 0, 1.0 - rss / tss).when(rss > 0, 0.0).otherwise(1.0)
 
 
-def _ties(df: DataFrame, score: str, label: str, weight: str | None) -> DataFrame:
+def _ties(df: DataFrame, score: str, label: str, weight: str | None) -> tuple[DataFrame, DataFrame]:
     w = F.lit(1.0) if weight is None else F.col(weight)
     groups = df.groupBy(F.col(score).alias("_s")).agg(F.sum(F.when(F.col(label) > 0, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(label) > 0, 0.0).otherwise(w)).alias("neg"))
     return running_above(groups)
 
 
-def running_above(groups: DataFrame) -> DataFrame:
+def running_above(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """groups (_s, pos, neg), one per distinct score, with the sums of those that score higher. The sums run inside ranges
-    of the score and then over the ranges' totals, so no task sees all scores."""
+    of the score and then over the ranges' totals, so no task sees all scores. Second: what is cached for it."""
     spark = groups.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = groups.repartitionByRange(n, F.col("_s").desc()).withColumn("_p", F.spark_partition_id()).persist()
@@ -115,20 +117,22 @@ def running_above(groups: DataFrame) -> DataFrame:
     base = totals.select("_p", F.coalesce(F.sum("tp").over(before), F.lit(0.0)).alias("bp"), F.coalesce(F.sum("tn").over(before), F.lit(0.0)).alias("bn"))
     inside = Window.partitionBy("_p").orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)
     run = dealt.select("*", F.coalesce(F.sum("pos").over(inside), F.lit(0.0)).alias("ip"), F.coalesce(F.sum("neg").over(inside), F.lit(0.0)).alias("in_"))
-    return run.join(F.broadcast(base), "_p").select("_s", "pos", "neg", (F.col("ip") + F.col("bp")).alias("pos_above"), (F.col("in_") + F.col("bn")).alias("neg_above"))
+    return run.join(F.broadcast(base), "_p").select("_s", "pos", "neg", (F.col("ip") + F.col("bp")).alias("pos_above"), (F.col("in_") + F.col("bn")).alias("neg_above")), dealt
 
 
 def auc(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
     """(value): area under the ROC curve; 1 if there is one class only."""
-    t = _ties(df, score, label, weight).agg(F.sum(F.col("neg") * (F.col("pos") / 2 + F.col("pos_above"))).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return t.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("a") / (F.col("p") * F.col("n"))).otherwise(1.0).alias("value"))
+    ties, cached = _ties(df, score, label, weight)
+    t = ties.agg(F.sum(F.col("neg") * (F.col("pos") / 2 + F.col("pos_above"))).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return settled(t.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("a") / (F.col("p") * F.col("n"))).otherwise(1.0).alias("value")), cached)
 
 
 def average_precision(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
     """(value): over groups of equal score, positives times the precision down to the group; 1 if there is no positive or no negative."""
     up = F.col("pos") + F.col("pos_above")
-    t = _ties(df, score, label, weight).agg(F.sum(F.col("pos") * up / F.greatest(up + F.col("neg") + F.col("neg_above"), F.lit(1e-300))).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return t.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("a") / F.col("p")).otherwise(1.0).alias("value"))
+    ties, cached = _ties(df, score, label, weight)
+    t = ties.agg(F.sum(F.col("pos") * up / F.greatest(up + F.col("neg") + F.col("neg_above"), F.lit(1e-300))).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return settled(t.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("a") / F.col("p")).otherwise(1.0).alias("value")), cached)
 
 
 def multi_logloss(probabilities: Column, y: Column, w: Column | None = None) -> Column:
@@ -143,8 +147,12 @@ def multi_error(probabilities: Column, y: Column, w: Column | None = None, top_k
     return F.avg(wrong) if w is None else F.sum(wrong * w) / F.sum(w)
 
 
-def auc_mu(df: DataFrame, scores: str, label: str, classes: int, weight: str | None = None, matrix: list[list[float]] | None = None) -> DataFrame:
+def auc_mu(df: DataFrame, scores: str, label: str, classes: int, weight: str | None = None, matrix: list[list[float]] | list[float] | None = None) -> DataFrame:
     """(value): mean over pairs of classes of the AUC of the scores projected on the pair's partition vector."""
+    if matrix and not isinstance(matrix[0], (list, tuple)):  # row after row
+        if len(matrix) != classes * classes:
+            raise ValueError("auc_mu_weights must have classes * classes values")
+        matrix = [list(matrix[i * classes : (i + 1) * classes]) for i in range(classes)]
     a = matrix or [[0.0 if i == j else 1.0 for j in range(classes)] for i in range(classes)]
     parts = []
     for i in range(classes):
@@ -166,14 +174,17 @@ def ranked(df: DataFrame, query: str, score: str, label: str, order: str) -> Dat
     return df.select("*", (F.row_number().over(q.orderBy(F.col(score).desc(), order)) - 1).alias("rank"), (F.row_number().over(q.orderBy(F.col(label).desc(), order)) - 1).alias("ideal"))
 
 
-def label_gain(label: Column) -> Column:
+def label_gain(label: Column, gains: list[float] | None = None) -> Column:
+    """2^label - 1, or the given gain of each label."""
+    if gains:
+        return F.element_at(F.array(*[F.lit(float(g)) for g in gains]), label.cast("int") + 1)
     return F.pow(F.lit(2.0), label) - 1.0
 
 
-def ndcg(df: DataFrame, query: str, score: str, label: str, order: str, ks: tuple[int, ...] = (1, 2, 3, 4, 5), weight: str | None = None) -> DataFrame:
+def ndcg(df: DataFrame, query: str, score: str, label: str, order: str, ks: tuple[int, ...] = (1, 2, 3, 4, 5), weight: str | None = None, gains: list[float] | None = None) -> DataFrame:
     """(k, value): mean over queries (weighted by the mean row weight of a query) of DCG / best DCG; 1 where nothing is relevant."""
     r = ranked(df, query, score, label, order)
-    part = lambda place, k: F.sum(F.when(F.col(place) < k, label_gain(F.col(label)) / F.log2(F.col(place) + 2.0)).otherwise(0.0))
+    part = lambda place, k: F.sum(F.when(F.col(place) < k, label_gain(F.col(label), gains) / F.log2(F.col(place) + 2.0)).otherwise(0.0))
     per = r.groupBy(query).agg(*(part("rank", k).alias(f"d{k}") for k in ks), *(part("ideal", k).alias(f"m{k}") for k in ks), (F.lit(1.0) if weight is None else F.avg(weight)).alias("w"))
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.when(F.col(f"m{k}") > 0, F.col(f"d{k}") / F.col(f"m{k}")).otherwise(1.0).alias("v")) for k in ks)))
     return per.select("w", rows.alias("x")).groupBy(F.col("x.k").alias("k")).agg((F.sum(F.col("x.v") * F.col("w")) / F.sum("w")).alias("value"))

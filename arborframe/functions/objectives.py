@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-15
@@ -180,10 +180,8 @@ def start_score(name: str, label: Column, weight: Column | None = None, **params
         return average(label, weight)
     if name in ("poisson", "gamma", "tweedie"):
         return F.ln(average(label, weight))
-    if name == "regression_l1":
-        return F.percentile(label, 0.5)
-    if name == "quantile":
-        return F.percentile(label, params.get("alpha", 0.9))
+    if name in ("regression_l1", "quantile", "mape"):
+        raise ValueError(f"{name}: starts from a percentile, see start_value")
     if name in ("binary", "cross_entropy"):
         x = average((label > 0).cast("double"), weight) if name == "binary" else average(label, weight)
         p = F.least(F.greatest(x, F.lit(EPSILON)), F.lit(1.0 - EPSILON))
@@ -193,6 +191,21 @@ def start_score(name: str, label: Column, weight: Column | None = None, **params
     return F.lit(0.0)
 
 
+def start_value(df: DataFrame, name: str, label: Column, weight: Column | None = None, order: Column | None = None, **params) -> float | None:
+    """The constant score to start from. Losses that start from a percentile find it in ranges of the labels; order settles ties of weighted ones."""
+    name = canonical(name)
+    if name not in ("regression_l1", "quantile", "mape"):
+        return df.agg(start_score(name, label, weight, **params).alias("x")).first().x
+    alpha = params.get("alpha", 0.9) if name == "quantile" else 0.5
+    if name == "mape":
+        weight = mape_weight(label, weight)
+    if weight is None:
+        return percentile(df.select(label.cast("double").alias("v")), "v", alpha).first().result
+    rows = df.select(label.cast("double").alias("v"), weight.cast("double").alias("w"), (F.monotonically_increasing_id() if order is None else order).alias("o"))
+    r = weighted_percentile(rows, "v", "w", alpha, order="o").first()
+    return None if r is None else r.result
+
+
 def class_start_scores(df: DataFrame, label: str, classes: int, weight: str | None = None) -> list[float]:
     """ln of each class's share, at least EPSILON."""
     w = F.lit(1.0) if weight is None else F.col(weight)
@@ -202,23 +215,56 @@ def class_start_scores(df: DataFrame, label: str, classes: int, weight: str | No
     return [math.log(max(EPSILON, (r[f"c{k}"] or 0.0) / r.t)) for k in range(classes)]
 
 
+def settled(df: DataFrame, *cached: DataFrame) -> DataFrame:
+    """The few rows of df, made now, so that what it was made from can leave the cache."""
+    rows, schema = df.collect(), df.schema
+    for x in cached:
+        x.unpersist()
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _running(groups: DataFrame, by: list[str], value: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """groups (by..., value, size, ...), one per distinct value, with _b: the sizes of the lesser values of the same `by`, and _t: of all. Sums
+    run inside ranges of (by, value) and then over the ranges' totals, so that no task sees all values of a group. Second: what is cached, as both use the same ranges."""
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = groups.repartitionByRange(n, *by, value).withColumn("_p", F.spark_partition_id()).persist()
+    totals = dealt.groupBy(*by, "_p").agg(F.sum(size).alias("_s"))  # a row for each range and group in it
+    line = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    base = totals.select(*by, "_p", F.coalesce(F.sum("_s").over(line.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_s").over(line).alias("_t"))
+    inside = Window.partitionBy("_p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    run = dealt.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return run.join(base, [*by, "_p"]).withColumn("_b", F.col("_before") + F.col("_in")).drop("_in", "_before", "_p"), dealt
+
+
+def percentile(df: DataFrame, value: str, alpha: float, by: list[str] | None = None) -> DataFrame:
+    """(by..., result): the value at place alpha * (n - 1) of the n sorted values, between two of them in proportion. Nulls and NaN have no place."""
+    by = by or []
+    groups = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    at = F.lit(float(alpha)) * (F.col("_t") - 1)
+    has = lambda place: (F.col("_b") <= place) & (place < F.col("_b") + F.col("_n"))
+    run, cached = _running(groups, by, value, "_n")
+    run = run.withColumn("_at", at)
+    near = run.groupBy(*by).agg(F.max(F.when(has(F.floor("_at")), F.col(value))).alias("_lo"), F.max(F.when(has(F.ceil("_at")), F.col(value))).alias("_hi"), F.max("_at").alias("_at"))
+    return settled(near.where("_at is not null").select(*by, (F.col("_lo") + (F.col("_at") - F.floor("_at")) * (F.col("_hi") - F.col("_lo"))).alias("result")), cached)
+
+
 def weighted_percentile(df: DataFrame, value: str, weight: str, alpha: float, by: list[str] | None = None, order: str = "row_id") -> DataFrame:
     """(by..., result): the value where the running weight passes alpha times the total; between it and the one before it,
-    interpolated if the weight steps by 1 or more. A null or NaN value has no place."""
-    from pyspark.sql import Window
-
+    interpolated if the weight steps by 1 or more. A null or NaN value has no place. Rows of one value count in the order of `order`."""
     by = by or []
     rows = df.where(~F.isnan(value) & F.col(value).isNotNull())
-    line = Window.partitionBy(*by).orderBy(value, order)
-    run = rows.select(*by, value, order, F.sum(weight).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("_c"))
-    total = run.groupBy(*by).agg(F.max("_c").alias("_t"), F.max(value).alias("_last"))
-    joined = run.withColumn("_cb", F.lag("_c").over(line)).withColumn("_vb", F.lag(value).over(line)).withColumn("_n", F.row_number().over(line))
-    joined = joined.join(total, by) if by else joined.crossJoin(F.broadcast(total))
-    hit = joined.where(F.col("_c") > alpha * F.col("_t"))
-    got = hit.groupBy(*by).agg(F.min_by(F.struct("_c", "_cb", "_vb", F.col(value).alias("_v"), "_t", "_n"), F.col("_n")).alias("x"))
-    step = F.col("x._c") - F.col("x._cb")
-    mid = F.col("x._vb") + (alpha * F.col("x._t") - F.col("x._cb")) / step * (F.col("x._v") - F.col("x._vb"))
-    return got.select(*by, F.when(F.col("x._cb").isNull(), F.col("x._v")).when(step >= 1.0, mid).otherwise(F.col("x._vb")).alias("result"))
+    groups = rows.groupBy(*by, value).agg(F.sum(weight).alias("_w"), F.min_by(weight, order).alias("_first"))
+    run, cached = _running(groups, by, value, "_w")
+    goal = F.lit(float(alpha)) * F.col("_t")
+    x = run.groupBy(*by).agg(
+        F.min(F.when(F.col("_b") + F.col("_w") > goal, F.struct(value, "_b", "_first"))).alias("hit"), F.max(F.when(F.col("_b") + F.col("_w") <= goal, F.col(value))).alias("_vb"),
+        F.max(value).alias("_last"), F.max("_t").alias("_t"),
+    )
+    v, c, step, goal = F.col("hit")[value], F.col("hit._b"), F.col("hit._first"), F.lit(float(alpha)) * F.col("_t")
+    inside = F.col("_vb").isNull() | (goal >= c + step)  # the first of all, or a later row of one value
+    mid = F.col("_vb") + (goal - c) / step * (v - F.col("_vb"))
+    out = F.when(F.col("hit").isNull(), F.col("_last")).when(inside, v).when(step >= 1.0, mid).otherwise(F.col("_vb"))
+    return settled(x.where("_last is not null").select(*by, out.alias("result")), cached)
 
 
 def transform(name: str, score: Column, **params) -> Column:

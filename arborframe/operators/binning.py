@@ -85,47 +85,62 @@ def _next_up(x: float) -> float:
     return math.nextafter(x, math.inf)
 
 
+def _between(values: np.ndarray, ends: np.ndarray) -> list[float]:
+    """Bounds half way between each value in ends (indices) and the next one, just above; the last is infinity. A bound that isn't above the one before it is left out."""
+    if not len(ends):
+        return [math.inf]
+    half = np.nextafter((values[ends] + values[ends + 1]) / 2.0, math.inf)
+    above = np.maximum.accumulate(np.concatenate([[-math.inf], half[:-1]]))
+    return [*half[half > above].tolist(), math.inf]
+
+
 def greedy_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, total: int, min_data_in_bin: int) -> list[float]:
-    """Upper bounds of at most max_bin bins of about equal counts; the last is infinity. values: distinct, ascending."""
-    n = len(values)
-    if not n or max_bin < 1:
-        return [math.inf] if max_bin >= 1 else []
-    out: list[float] = []
-    mid = lambda i: _next_up((float(values[i]) + float(values[i + 1])) / 2.0)
+    """Upper bounds of at most max_bin bins of about equal counts; the last is infinity. values: distinct, ascending.
+
+    With no more values than bins each value has its own, joined with the next ones until min_data_in_bin rows are in it. Else
+    a bin takes values until it reaches the mean of what the bins to come must share. A value that alone reaches the
+    overall mean ends its bin, and a bin that is half full ends before it.
+    """
+    values, n = np.asarray(values, np.float64), len(values)
+    if max_bin < 1 or not n:
+        return [math.inf] * (max_bin >= 1)
+    upto = np.cumsum(counts, dtype=np.int64)  # rows up to and with each value
+    reach = lambda need, done: int(np.searchsorted(upto, done + need, "left"))  # noqa: E731  the first value with `need` rows beyond `done`
+    ends: list[int] = []
     if n <= max_bin:
-        have = 0
-        for i in range(n - 1):
-            have += int(counts[i])
-            if have >= min_data_in_bin:
-                b = mid(i)
-                if not out or b > out[-1]:
-                    out.append(b)
-                    have = 0
-        return [*out, math.inf]
+        done, last = 0, -math.inf
+        while (i := reach(max(min_data_in_bin, 1), done)) < n - 1:
+            half = math.nextafter((values[i] + values[i + 1]) / 2.0, math.inf)
+            while half <= last and i < n - 2:  # no number lies between: the bin goes on
+                i += 1
+                half = math.nextafter((values[i] + values[i + 1]) / 2.0, math.inf)
+            if half <= last:
+                break
+            ends.append(i)
+            done, last = int(upto[i]), half
+        return _between(values, np.array(ends, np.int64))
     if min_data_in_bin > 0:
         max_bin = max(1, min(max_bin, total // min_data_in_bin))
-    mean = total / max_bin
-    big = counts >= mean
-    rest_bins, rest = max_bin - int(big.sum()), total - int(counts[big].sum())
-    mean = rest / rest_bins if rest_bins else math.inf
-    have, ends = 0, []
-    for i in range(n - 1):
-        if not big[i]:
-            rest -= int(counts[i])
-        have += int(counts[i])
-        if big[i] or have >= mean or (big[i + 1] and have >= max(1.0, mean * 0.5)):
-            ends.append(i)
-            if len(ends) >= max_bin - 1:
-                break
-            have = 0
-            if not big[i]:
-                rest_bins -= 1
-                mean = rest / rest_bins if rest_bins > 0 else math.inf
-    for i in ends:
-        b = mid(i)
-        if not out or b > out[-1]:
-            out.append(b)
-    return [*out, math.inf]
+    heavy = np.flatnonzero(counts >= total / max_bin)
+    light = upto - np.cumsum(np.where(counts >= total / max_bin, counts, 0))  # rows of light values up to each
+    stops = np.append(heavy, n)
+    all_light, bins = int(total - counts[heavy].sum()), max_bin - len(heavy)
+    mean = all_light / bins if bins else math.inf
+    at = done = 0
+    while len(ends) < max_bin - 1 and at < n - 1:
+        stop = int(stops[np.searchsorted(stops, at)])  # the next heavy value
+        full = reach(mean, done) if mean < math.inf else n
+        i = min(max(full, at), stop)
+        if i >= stop and stop - 1 >= at and upto[stop - 1] - done >= max(1.0, mean * 0.5):
+            i = stop - 1  # half full: the heavy value has a bin to itself
+        if i >= n - 1:
+            break
+        ends.append(i)
+        at, done = i + 1, int(upto[i])
+        if i != stop:
+            bins -= 1
+            mean = (all_light - int(light[i])) / bins if bins > 0 else math.inf
+    return _between(values, np.array(ends, np.int64))
 
 
 def zero_split_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, total: int, min_data_in_bin: int) -> list[float]:
@@ -145,29 +160,21 @@ def zero_split_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, tota
 
 
 def forced_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, total: int, min_data_in_bin: int, forced: list[float]) -> list[float]:
-    """Bounds around zero and the forced ones come first; the free bins are shared by the counts between them."""
-    fixed: list[float] = []
-    if (values < -ZERO).any():
-        fixed.append(-ZERO)
-    if (values > ZERO).any():
-        fixed.append(ZERO)
-    for b in forced:
-        if len(fixed) + 1 < max_bin and abs(b) > ZERO:
-            fixed.append(float(b))
-    fixed = sorted(set(fixed)) + [math.inf]
+    """Bounds around zero and the forced ones come first; the free bins are shared by the counts between them, rounded, and what is left over goes to the last part."""
+    around = [b for b, there in ((-ZERO, (values < -ZERO).any()), (ZERO, (values > ZERO).any())) if there]
+    own = [float(b) for b in forced if abs(b) > ZERO][: max(0, max_bin - 1 - len(around))]
+    fixed = np.array([*sorted({*around, *own}), math.inf])
+    edge = np.concatenate([[0], np.searchsorted(values, fixed, "left")])
+    rows = np.diff(np.concatenate([[0], np.cumsum(counts)])[edge])
     free = max_bin - len(fixed)
-    out, at, lower = [], 0, 0
-    for i, bound in enumerate(fixed):
-        upper = int(np.searchsorted(values, bound, "left"))
-        n = int(counts[lower:upper].sum())
-        share = min(free - at, int(n * free / max(total, 1) + 0.5)) if i + 1 < len(fixed) else free - at
-        if share > 0 and upper > lower:
-            more = greedy_bounds(values[lower:upper], counts[lower:upper], share + 1, n, min_data_in_bin)[:-1]
-            out += more
-            at += len(more)
-        out.append(bound)
-        lower = upper
-    return sorted(set(out))
+    room = np.floor(rows * free / max(total, 1) + 0.5).astype(np.int64)
+    room[-1] = free
+    more: list[float] = []
+    for a, b, n, some in zip(edge[:-1], edge[1:], rows, room, strict=True):
+        some = min(int(some), free - len(more))
+        if some > 0 and b > a:
+            more += greedy_bounds(values[a:b], counts[a:b], some + 1, int(n), min_data_in_bin)[:-1]
+    return sorted({*more, *fixed.tolist()})
 
 
 def find_mapper(
@@ -267,10 +274,26 @@ def _frequent(m: BinMapper, in_bin: np.ndarray, total: int) -> None:
 _FOUND = "mapper string"
 
 
+def value_counts(rows: DataFrame) -> DataFrame:
+    """(feature, v, c): rows of each distinct value of each column f0, f1, ...; zeros, which are what is left of all rows, are left out. Spark sums inside each partition before it shuffles."""
+    cells = F.posexplode(F.array(*[f"f{i}" for i in range(len(rows.columns))])).alias("feature", "v")
+    return rows.select(cells).where(F.isnan("v") | (F.abs("v") > ZERO)).groupBy("feature", "v").agg(F.count("*").alias("c"))
+
+
+def bin_counts(df: DataFrame, m: BinMapper, c: Column) -> DataFrame:
+    """(bin, n) of a column."""
+    return df.groupBy(m.column(c).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def most_frequent(counts: DataFrame) -> DataFrame:
+    """The row of (bin, n) with the largest n, of equal ones the smallest bin."""
+    return counts.agg(F.max_by(F.struct("bin", "n"), F.struct("n", -F.col("bin"))).alias("x")).select("x.bin", "x.n")
+
+
 def _sampled(rows: DataFrame, rate: float, seed: int) -> DataFrame:
-    """A share `rate` of the rows as distinct rows with their number c. Of n equal rows n * rate are drawn, rounded up or down by a hash with odds that give each row the same chance, so the draw depends on no partition."""
-    u = F.shiftrightunsigned(F.xxhash64(*rows.columns, F.lit(seed)), 11) / F.lit(float(2**53))
-    return rows.groupBy(*rows.columns).agg(F.count("*").alias("c")).withColumn("c", F.floor(F.col("c") * F.lit(rate) + u)).where("c > 0")
+    """A share `rate` of the rows, drawn by a hash of a row's place in the table: equal rows are drawn independently, and nothing is shuffled."""
+    u = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), 11) / F.lit(float(2**53))
+    return rows.withColumn("u", u).where(F.col("u") < rate).drop("u")
 
 
 def find_mappers(df: DataFrame, features: list[str], categorical: set[str] = frozenset(), n: int | None = None, sample: int | None = 200_000, params: dict | None = None) -> list[BinMapper]:
@@ -279,8 +302,8 @@ def find_mappers(df: DataFrame, features: list[str], categorical: set[str] = fro
     n = df.count() if n is None else n
     cols = [F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(float("nan"))).alias(f"f{i}") for i, f in enumerate(features)]
     rows, drawn = df.select(*cols), sample is not None and n > sample
-    rows = _sampled(rows, sample / n, p.get("data_random_seed", 1)).persist() if drawn else rows.withColumn("c", F.lit(1).cast("long"))
-    total = (rows.agg(F.sum("c")).first()[0] or 0) if drawn else n
+    rows = _sampled(rows, sample / n, p.get("data_random_seed", 1)).persist() if drawn else rows
+    total = rows.count() if drawn else n
     least = int(p.get("min_data_in_leaf", 20) * total / n) if n else 0
     by_feature, forced = p.get("max_bin_by_feature"), p.get("forced_bins") or {}
     kinds = [f in categorical for f in features]
@@ -293,8 +316,7 @@ def find_mappers(df: DataFrame, features: list[str], categorical: set[str] = fro
         )
         return pa.table({"mapper": [json.dumps(asdict(m))]})
 
-    long = rows.select(F.posexplode(F.array(*[f"f{i}" for i in range(len(features))])).alias("feature", "v"), "c").where(F.isnan("v") | (F.abs("v") > ZERO)).groupBy("feature", "v").agg(F.sum("c").alias("c"))
-    got = {m.feature: m for m in (BinMapper(**json.loads(r.mapper)) for r in long.groupBy("feature").applyInArrow(find, _FOUND).collect())}
+    got = {m.feature: m for m in (BinMapper(**json.loads(r.mapper)) for r in value_counts(rows).groupBy("feature").applyInArrow(find, _FOUND).collect())}
     if drawn:
         rows.unpersist()
     for i, f in enumerate(features):

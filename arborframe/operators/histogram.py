@@ -41,6 +41,13 @@ def subtract(parent: DataFrame, smaller: DataFrame) -> DataFrame:
     return out.where("n > 0")
 
 
+def with_bin(hist: DataFrame, total: DataFrame, bin_: int) -> DataFrame:
+    """hist (feature, bin, g, h, n), in which one bin of each feature was left out, with that bin: the totals less all others."""
+    rest = hist.groupBy("feature").agg(*(F.sum(c).alias(f"o{c}") for c in "ghn"))
+    lost = rest.join(F.broadcast(total)).select("feature", F.lit(bin_).alias("bin"), *((F.col(c) - F.col(f"o{c}")).alias(c) for c in "ghn"))  # the totals are one row
+    return hist.select("feature", "bin", *"ghn").union(lost)
+
+
 def best_threshold(hist: DataFrame, l1: float = 0.0, l2: float = 0.0, min_data: int = 1, min_hessian: float = 0.0, missing_bin: str | None = None, monotone: int = 0) -> DataFrame:
     """Per feature the best numeric split of hist (feature, bin, g, h, n [, missing_bin: the feature's bin of missing values]):
     (feature, bin, default_left, gain, left_n). Missing values are tried on either side; first the left, which wins ties;

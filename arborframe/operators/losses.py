@@ -125,20 +125,20 @@ def lambdarank(s: np.ndarray, y: np.ndarray, p: dict) -> tuple[np.ndarray, np.nd
 
 
 def xendcg(s: np.ndarray, y: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One query; u: uniform numbers."""
+    """One query; u: uniform numbers. The gradient is a sum of three terms: the softmax less the relevance shares 2^y - u, and
+    twice what the term before it, taken per unit of the others' share, moves through the other rows."""
     n = len(s)
-    if n <= 1:
+    if n < 2:
         return np.zeros(n), np.zeros(n)
-    rho = softmax(s)
-    phi = 2.0 ** y.astype(np.int64) - u
-    total = max(EPSILON, float(phi.sum()))
-    first = -phi / total + rho
-    params = first / (1.0 - rho)
-    a = params.sum()
-    second = rho * (a - params)
-    p2 = second / (1.0 - rho)
-    third = rho * (p2.sum() - p2)
-    return first + second + third, rho * (1.0 - rho)
+    share = softmax(s)
+    relevance = 2.0 ** y.astype(np.int64) - u
+    term = share - relevance / max(EPSILON, float(relevance.sum()))
+    g = term.copy()
+    for _ in range(2):
+        moved = term / (1.0 - share)
+        term = share * (moved.sum() - moved)
+        g += term
+    return g, share * (1.0 - share)
 
 
 def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -195,23 +195,3 @@ def output(name: str, s: np.ndarray, p: dict) -> np.ndarray:
     if p.get("reg_sqrt") and name in ("regression", "regression_l1", "huber", "fair", "quantile", "mape"):
         return sgn(s) * s * s
     return s
-
-
-def percentile(v: np.ndarray, alpha: float) -> float:
-    return float(np.percentile(v, 100 * alpha)) if len(v) else 0.0
-
-
-def weighted_percentile(v: np.ndarray, w: np.ndarray, alpha: float) -> float:
-    if not len(v):
-        return 0.0
-    if len(v) == 1:
-        return float(v[0])
-    order = np.argsort(v, kind="stable")
-    v, c = v[order], np.cumsum(w[order].astype(np.float64))
-    t = alpha * c[-1]
-    i = min(int(np.searchsorted(c, t, "right")), len(v) - 1)
-    if i in (0, len(v) - 1):
-        return float(v[i])
-    if c[i] - c[i - 1] >= 1.0:
-        return float(v[i - 1] + (t - c[i - 1]) / (c[i] - c[i - 1]) * (v[i] - v[i - 1]))
-    return float(v[i - 1])

@@ -59,6 +59,15 @@ def position_sums(df: DataFrame, position: str, g: str, h: str) -> DataFrame:
     return df.groupBy(position).agg(F.sum(g).alias("g"), F.sum(h).alias("h"), F.count("*").alias("n"))
 
 
+def query_weights(df: DataFrame, query: str, weight: str) -> DataFrame:
+    """(query, w, n): a query's weight is the mean of its rows'."""
+    return df.groupBy(query).agg(F.avg(weight).alias("w"), F.count("*").alias("n"))
+
+
+def label_counts(df: DataFrame, query: str, label: str) -> DataFrame:
+    return df.groupBy(query, label).agg(F.count("*").alias("n"))
+
+
 def query_boundaries(df: DataFrame, query: str, order: str) -> DataFrame:
     """Runs of equal consecutive ids, in the order of `order`: (run, query, first, n). Runs are numbered inside ranges of the
     order and then over the ranges, so no task sees all rows."""

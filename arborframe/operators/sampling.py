@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.objectives import percentile
+
 #: Fixed values of the generator.
 A, C, M = 214013, 2531011, 1 << 32
 #: Rows that share a generator when bagging.
@@ -88,7 +90,8 @@ def bagging_mask(row_id: Column, seed: int, rows: int, fraction: float, bag: int
 
 def goss(df: DataFrame, size: Column, order: str, top_rate: float, other_rate: float, seed: int) -> DataFrame:
     """df with (sampled, factor): the rows of the top_rate largest sizes with factor 1; of the others a hash sample, scaled up."""
-    t = df.agg(F.percentile(size, 1.0 - top_rate).alias("t")).first().t
+    t = percentile(df.select(size.cast("double").alias("size")), "size", 1.0 - top_rate).first()
+    t = t.result if t is not None else 0.0
     top = size >= F.lit(t)
     rate = other_rate / (1.0 - top_rate) if top_rate < 1 else 0.0
     u = F.shiftrightunsigned(F.xxhash64(order, F.lit(seed)), 11) / F.lit(float(2**53))

@@ -131,7 +131,7 @@ class Rows:
         self.pos = np.frombuffer(row["pos"], np.int64) if row["pos"] is not None else None
         self.x = np.frombuffer(row["raw"], np.float64).reshape(self.n, -1) if row["raw"] is not None else None
         self.base = np.frombuffer(row["s"], np.float64).reshape(job.classes, self.n)
-        self.ids = self.block * np.int64(BLOCK * 64) + np.arange(self.n)
+        self.ids = np.int64((self.block * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63) + np.arange(self.n)  # blocks of any number of partitions keep apart
 
     def scores(self) -> np.ndarray:
         s = self.base.copy()
@@ -202,31 +202,35 @@ def histograms(blocks: DataFrame, job: Job, wanted: list[tuple[int, Tree, list[i
     size = f * b * 3 * 8 * len(keys)
 
     def run(batches):
-        total = {key: np.zeros((f, b, 3), np.int64) for key in keys}
+        total = np.zeros((len(keys), f, b, 3), np.int64)
         any_ = False
         gb, hb = 2.0 ** job.bits[0], 2.0 ** job.bits[1]
         for rows in _opened(job, batches):
             any_ = True
             g, h, keep = rows.sampled(*rows.gradients())
             g, h = quantised(job, g, h, rows.ids)
+            base = 0
             for k, tree, leaves in wanted:
-                leaf = rows.leaves(tree) if tree.feature else np.zeros(rows.n, np.int32)
+                slot, own = None, None if keep is None else np.flatnonzero(keep)
+                if tree.feature:  # the place of each row's leaf among those wanted
+                    place = np.full(tree.leaves, -1, np.int64)
+                    place[leaves] = np.arange(len(leaves))
+                    slot = place[rows.leaves(tree)]
+                    own = np.flatnonzero(slot >= 0 if keep is None else (slot >= 0) & keep)
+                    slot = slot[own] * b
                 gi, hi = np.rint(g[k] * gb), np.rint(h[k] * hb)
-                for x in leaves:
-                    mask = leaf == x if tree.feature else None
-                    if keep is not None:
-                        mask = keep if mask is None else mask & keep
-                    own = None if mask is None else np.flatnonzero(mask)
-                    go, ho = (gi, hi) if own is None else (gi[own], hi[own])
-                    t = total[k, x]
-                    for i in range(f):
-                        c = rows.bins[i] if own is None else rows.bins[i][own]
-                        t[i, :, 0] += np.bincount(c, go, b).astype(np.int64)
-                        t[i, :, 1] += np.bincount(c, ho, b).astype(np.int64)
-                        t[i, :, 2] += np.bincount(c, minlength=b)
+                gi, hi = (gi, hi) if own is None else (gi[own], hi[own])
+                t, n = total[base : base + len(leaves)], len(leaves) * b
+                for i in range(f):  # all leaves in one count
+                    c = rows.bins[i] if own is None else rows.bins[i][own]
+                    c = c if slot is None else slot + c
+                    t[:, i, :, 0] += np.bincount(c, gi, n).astype(np.int64).reshape(-1, b)
+                    t[:, i, :, 1] += np.bincount(c, hi, n).astype(np.int64).reshape(-1, b)
+                    t[:, i, :, 2] += np.bincount(c, minlength=n).reshape(-1, b)
+                base += len(leaves)
         if any_:
-            for (k, x), v in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["k", "leaf", "v"])
+            ks, xs = zip(*keys, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(xs, pa.int32()), pa.array([v.tobytes() for v in total], pa.binary())], ["k", "leaf", "v"])
 
     out = blocks.mapInArrow(run, "k int, leaf int, v binary")
     if size * parts > DIRECT:
@@ -238,9 +242,9 @@ def histograms(blocks: DataFrame, job: Job, wanted: list[tuple[int, Tree, list[i
         groups = max(2, int(parts**0.5))
         out = out.withColumn("p", F.pmod(F.xxhash64("v"), F.lit(groups))).groupBy("p", "k", "leaf").applyInArrow(add, "k int, leaf int, v binary")
     got: dict[tuple[int, int], np.ndarray] = {}
-    for r in out.toArrow().to_pylist():
-        v = np.frombuffer(r["v"], np.int64).reshape(f, b, 3)
-        key = (r["k"], r["leaf"])
+    for r in out.collect():
+        v = np.frombuffer(r.v, np.int64).reshape(f, b, 3)
+        key = (r.k, r.leaf)
         got[key] = got[key] + v if key in got else v
     return {key: got.get(key, np.zeros((f, b, 3), np.int64)) for key in keys}
 
@@ -258,7 +262,7 @@ def summary(blocks: DataFrame, job: Job) -> dict:
             gs, hs = gs + g.sum(axis=1, dtype=np.float64), hs + h.sum(axis=1, dtype=np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in (g0, h0, gs, hs))], ["n", "g", "h", "gs", "hs"])
 
-    r = blocks.mapInArrow(run, "n long, g array<double>, h array<double>, gs array<double>, hs array<double>").toArrow().to_pylist()
+    r = blocks.mapInArrow(run, "n long, g array<double>, h array<double>, gs array<double>, hs array<double>").collect()
     stack = lambda c: np.array([x[c] for x in r]).reshape(len(r), job.classes)
     return {"n": sum(x["n"] for x in r), "g": float(stack("g").max(initial=0)), "h": float(stack("h").max(initial=0)), "gs": stack("gs").sum(axis=0), "hs": stack("hs").sum(axis=0)}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from typing import Any
 
 from ..functions import objectives
@@ -40,11 +41,23 @@ DEFAULTS: dict[str, Any] = {
     # no effect on results
     "num_threads": 0, "force_col_wise": False, "force_row_wise": False, "deterministic": False, "enable_bundle": True, "is_enable_sparse": True, "verbosity": 1,
 }
-ALIASES = {
-    "eta": "learning_rate", "shrinkage_rate": "learning_rate", "num_leaf": "num_leaves", "num_boost_round": "num_iterations", "n_estimators": "num_iterations", "reg_lambda": "lambda_l2", "reg_alpha": "lambda_l1",
-    "min_child_samples": "min_data_in_leaf", "min_child_weight": "min_sum_hessian_in_leaf", "min_split_gain": "min_gain_to_split", "subsample": "bagging_fraction", "subsample_freq": "bagging_freq", "colsample_bytree": "feature_fraction",
-    "boosting_type": "boosting", "random_state": "seed", "subsample_for_bin": "bin_construct_sample_cnt", "n_jobs": "num_threads", "mc_method": "monotone_constraints_method", "verbose": "verbosity", "categorical_column": "categorical_feature",
+#: The other names of each parameter.
+_NAMES = {
+    "objective": "objective_type app application loss", "boosting": "boosting_type boost", "num_iterations": "num_iteration n_iter num_tree num_trees num_round num_rounds nrounds num_boost_round n_estimators max_iter",
+    "learning_rate": "shrinkage_rate eta", "num_leaves": "num_leaf max_leaves max_leaf max_leaf_nodes", "num_threads": "num_thread nthread nthreads n_jobs", "seed": "random_seed random_state",
+    "min_data_in_leaf": "min_data_per_leaf min_data min_child_samples min_samples_leaf", "min_sum_hessian_in_leaf": "min_sum_hessian_per_leaf min_sum_hessian min_hessian min_child_weight",
+    "bagging_fraction": "sub_row subsample bagging", "pos_bagging_fraction": "pos_sub_row pos_subsample pos_bagging", "neg_bagging_fraction": "neg_sub_row neg_subsample neg_bagging", "bagging_freq": "subsample_freq", "bagging_seed": "bagging_fraction_seed",
+    "feature_fraction": "sub_feature colsample_bytree", "feature_fraction_bynode": "sub_feature_bynode colsample_bynode", "extra_trees": "extra_tree", "early_stopping_round": "early_stopping_rounds early_stopping n_iter_no_change",
+    "max_delta_step": "max_tree_output max_leaf_output", "lambda_l1": "reg_alpha l1_regularization", "lambda_l2": "reg_lambda lambda l2_regularization", "min_gain_to_split": "min_split_gain", "drop_rate": "rate_drop",
+    "monotone_constraints": "mc monotone_constraint monotonic_cst", "monotone_constraints_method": "monotone_constraining_method mc_method", "monotone_penalty": "monotone_splits_penalty ms_penalty mc_penalty",
+    "feature_contri": "feature_contrib fc fp feature_penalty", "forcedsplits_filename": "fs forced_splits_filename forced_splits_file forced_splits", "verbosity": "verbose", "max_bin": "max_bins",
+    "bin_construct_sample_cnt": "subsample_for_bin", "data_random_seed": "data_seed", "is_enable_sparse": "is_sparse enable_sparse sparse", "enable_bundle": "is_enable_bundle bundle", "two_round": "two_round_loading use_two_round_loading",
+    "header": "has_header", "label_column": "label", "weight_column": "weight", "group_column": "group group_id query_column query query_id", "ignore_column": "ignore_feature blacklist",
+    "categorical_feature": "cat_feature categorical_column cat_column categorical_features", "linear_tree": "linear_trees", "predict_raw_score": "is_predict_raw_score predict_rawscore raw_score",
+    "predict_leaf_index": "is_predict_leaf_index leaf_index", "num_class": "num_classes", "is_unbalance": "unbalance unbalanced_sets", "metric": "metrics metric_types", "is_provide_training_metric": "training_metric is_training_metric train_metric",
+    "eval_at": "ndcg_eval_at ndcg_at map_eval_at map_at",
 }
+ALIASES = {alias: name for name, others in _NAMES.items() for alias in others.split()}
 DATASET = ("max_bin", "max_bin_by_feature", "min_data_in_bin", "bin_construct_sample_cnt", "use_missing", "zero_as_missing", "feature_pre_filter", "forcedbins_filename", "data_random_seed", "categorical_feature", "linear_tree")
 _RANGES = {
     "num_leaves": (2, 131072), "learning_rate": (0.0, None), "min_data_in_leaf": (0, None), "min_sum_hessian_in_leaf": (0.0, None), "lambda_l1": (0.0, None), "lambda_l2": (0.0, None), "min_gain_to_split": (0.0, None),
@@ -52,6 +65,8 @@ _RANGES = {
     "drop_rate": (0.0, 1.0), "skip_drop": (0.0, 1.0), "max_bin": (2, 65535), "min_data_in_bin": (1, None), "path_smooth": (0.0, None), "cat_smooth": (0.0, None), "cat_l2": (0.0, None), "max_cat_threshold": (1, None),
     "sigmoid": (1e-300, None), "alpha": (0.0, None), "fair_c": (0.0, None), "poisson_max_delta_step": (0.0, None), "tweedie_variance_power": (1.0, 2.0), "num_class": (1, None), "refit_decay_rate": (0.0, 1.0), "monotone_penalty": (0.0, None),
 }
+#: Names that estimators and datasets keep among the parameters.
+_OWN = ("forced_bins", "class_weight", "positive_weight", "negative_weight", "importance_type")
 _UNSUPPORTED = ("machines", "num_machines", "local_listen_port", "device_type", "gpu_platform_id")
 
 
@@ -90,6 +105,8 @@ def resolve(params: dict[str, Any] | None) -> dict[str, Any]:
         if name in _UNSUPPORTED:
             raise ValueError(f"{name} is not supported: Spark distributes the work")
         if name not in DEFAULTS:
+            if name not in _OWN:
+                warnings.warn(f"unknown parameter {name!r}", stacklevel=2)
             out[name] = value
             continue
         out[name] = value if value is None or callable(value) else _typed(name, value, DEFAULTS[name])
@@ -108,6 +125,8 @@ def resolve(params: dict[str, Any] | None) -> dict[str, Any]:
         raise ValueError("num_class must be 1 for this objective")
     if out["boosting"] == "rf" and not ((out["bagging_freq"] > 0 and 0 < out["bagging_fraction"] < 1) or 0 < out["feature_fraction"] < 1):
         raise ValueError("random forests need bagging or feature_fraction below 1")
+    if out["monotone_constraints_method"] != "basic" and out["monotone_constraints"]:
+        warnings.warn(f"monotone_constraints_method {out['monotone_constraints_method']!r}: the basic method is used", stacklevel=2)
     if out["is_unbalance"] and out["scale_pos_weight"] != 1.0:
         raise ValueError("is_unbalance and scale_pos_weight exclude each other")
     if out["data_sample_strategy"] == "goss" and out["top_rate"] + out["other_rate"] > 1:

@@ -112,6 +112,9 @@ class Dataset:
         if self.group:  # whole queries in one partition, next to each other
             rows = rows.repartition("query").sortWithinPartitions("query")
         packed = rows.mapInArrow(B.pack(self.used, roles, classes, len(self.features) if self.linear else 0), B.SQL)
+        cores = self.data.sparkSession.sparkContext.defaultParallelism
+        if packed.rdd.getNumPartitions() < cores:  # few large files: blocks (compact, and named by where they were made) are dealt to all cores
+            packed = packed.repartition(cores)
         self.blocks = packed.persist(StorageLevel.MEMORY_AND_DISK)
         self.classes = classes
         return self
@@ -342,13 +345,8 @@ class Booster:
             if self.objective == "multiclassova":
                 s = [min(max(math.exp(x), 1e-15), 1 - 1e-15) for x in start]
                 start = [math.log(x / (1 - x)) / p["sigmoid"] for x in s]
-        elif self.objective in ("mape",) or (w is not None and self.objective in ("regression_l1", "quantile")):
-            ww = objectives.mape_weight(y, w) if self.objective == "mape" else w
-            rows = d.data.select(y.alias("v"), ww.cast("double").alias("w"), F.monotonically_increasing_id().alias("o"))
-            r = weighted_percentile_of(rows, 0.5 if self.objective != "quantile" else p["alpha"])
-            start = [r if r is not None else 0.0]
         else:
-            r = d.data.agg(objectives.start_score(self.objective, y, w, **self.loss_params).alias("x")).first().x
+            r = objectives.start_value(d.data, self.objective, y, w, **self.loss_params)
             start = [float(r) if r is not None else 0.0]
         self.constant = start
         for s in [self.state, *(v[2] for v in self.valid)]:
@@ -404,10 +402,7 @@ class Booster:
         grown = [self._grow(job, k, it) for k in range(self.classes)]
         stump = all(t.leaves == 1 for t in grown)
         if stump and self.trees:
-            if dropped:
-                for k, t in dropped:
-                    pass
-            self._finished = True
+            self._finished = True  # dropped trees were taken out of this iteration's gradients alone: nothing is to be put back
             return True
         rate = 1.0 if rf else p["learning_rate"]
         self._renew(job, grown)
@@ -469,9 +464,8 @@ class Booster:
             order, done = self._replay(info, kids, p["num_leaves"])
             if done:
                 break
-            frontier = [i for i in order if i not in kids]
             want, plan = [], []
-            for i in frontier:
+            for i in order:
                 s = info[i]["best"]
                 leaf = leaf_of[i]
                 right = spec.split(leaf, s, by[s.feature])
@@ -550,28 +544,26 @@ class Booster:
 
     @staticmethod
     def _replay(info, kids, num_leaves) -> tuple[list[int], bool]:
-        """Leaves that would be split next, best first, and whether the tree is finished with what is known."""
-        heap = [(-info[0]["best"].gain, 0)] if 0 in info and info[0]["best"] is not None else []
-        left = num_leaves - 1
+        """Leaves whose children are wanted next, and whether the tree is finished with what is known.
+
+        Best-first growth is replayed over what is known. A leaf with unknown children is wanted; the replay goes on without
+        them, so that a pass answers for all leaves that may still be split, not for the next one alone.
+        """
         forced = info.get("forced", [])
-        for i in forced:
-            left -= 1
-        if forced:
-            heap = []
-            for i in forced:
-                for c in kids[i]:
-                    if c not in forced and info[c]["best"] is not None:
-                        heapq.heappush(heap, (-info[c]["best"].gain, c))
+        start = [c for i in forced for c in kids[i] if c not in forced] if forced else [0] if 0 in info else []
+        heap = [(-info[c]["best"].gain, c) for c in start if info[c]["best"] is not None]
+        heapq.heapify(heap)
+        left, want = num_leaves - 1 - len(forced), []
         while heap and left > 0:
-            _, i = heap[0]
-            if i not in kids:
-                return [j for _, j in heapq.nsmallest(left, heap) if j not in kids], False
-            heapq.heappop(heap)
+            _, i = heapq.heappop(heap)
             left -= 1
+            if i not in kids:
+                want.append(i)
+                continue
             for c in kids[i]:
                 if info[c]["best"] is not None:
                     heapq.heappush(heap, (-info[c]["best"].gain, c))
-        return [], True
+        return want, not want
 
     @staticmethod
     def _final(tree: Tree, info, kids, num_leaves, by) -> Tree:
@@ -667,7 +659,7 @@ class Booster:
         if name == "mape" or self.train_set.weight:
             got = objectives.weighted_percentile(rows.withColumn("row_id", F.monotonically_increasing_id()), "r", "w", alpha, ["k", "leaf"]).collect()
         else:
-            got = rows.groupBy("k", "leaf").agg(F.percentile("r", alpha).alias("result")).collect()
+            got = objectives.percentile(rows, "r", alpha, ["k", "leaf"]).collect()
         for r in got:
             grown[r.k].value[r.leaf] = float(r.result)
 
@@ -847,7 +839,7 @@ class Booster:
                 out.append(EvalResult(name, m, float(metrics.auc_mu(rows, "score", "label", self.classes, wcol, p["auc_mu_weights"]).first().value), True))
             elif m in ("ndcg", "map"):
                 ks = tuple(p["eval_at"])
-                r = (metrics.ndcg if m == "ndcg" else metrics.mean_average_precision)(flat, "query", "s", "label", "row", ks, wcol).collect()
+                r = (metrics.ndcg if m == "ndcg" else metrics.mean_average_precision)(flat, "query", "s", "label", "row", ks, wcol, **({"gains": p["label_gain"]} if m == "ndcg" and p["label_gain"] else {})).collect()
                 by = {x.k: x.value for x in r}
                 out += [EvalResult(name, f"{m}@{k}", float(by[k]), True) for k in ks if k in by]
             else:
@@ -943,7 +935,7 @@ class Booster:
         """data with a column more: a double, or an array for several classes, leaves or contributions."""
         from . import predict as P
 
-        return P.predict(self, data, start_iteration, num_iteration, raw_score, pred_leaf, pred_contrib, validate_features, prediction, sparse_contrib, **kwargs)
+        return P.predict(self, data, start_iteration, num_iteration, raw_score, pred_leaf, pred_contrib, prediction=prediction, validate_features=validate_features, sparse_contrib=sparse_contrib, **kwargs)
 
     def get_leaf_output(self, tree_id: int, leaf_id: int) -> float:
         return self.trees[tree_id].value[leaf_id]
@@ -1020,8 +1012,7 @@ class Booster:
             s = B.leaf_sums(d.blocks, job, t, k)
             for j in range(t.leaves):
                 g, h, n = s[j]
-                out = float(splits.leaf_output(g, h + splits.EPS, splits.Rules(l1=p["lambda_l1"], l2=p["lambda_l2"], max_delta_step=p["max_delta_step"]))) if n else 0.0
-                t.value[j] = decay * t.value[j] + (1 - decay) * out * t.shrinkage
+                t.value[j] = refitted(t.value[j], g, h, n, t.shrinkage, decay, splits.Rules(l1=p["lambda_l1"], l2=p["lambda_l2"], max_delta_step=p["max_delta_step"]))
                 t.count[j] = int(n)
             done.append((k, t))
         d.blocks.unpersist()
@@ -1049,9 +1040,10 @@ class _RawJob(B.Job):
         return rows
 
 
-def weighted_percentile_of(rows: DataFrame, alpha: float) -> float | None:
-    r = objectives.weighted_percentile(rows, "v", "w", alpha, [], "o").first()
-    return None if r is None else r.result
+def refitted(old: float, g: float, h: float, rows: int, shrinkage: float, decay: float, rules: splits.Rules) -> float:
+    """A leaf's value after new rows with these sums came to it."""
+    out = float(splits.leaf_output(g, h + splits.EPS, rules)) if rows else 0.0
+    return decay * old + (1 - decay) * out * shrinkage
 
 
 def _scaled(t: Tree, f: float) -> Tree:
@@ -1179,9 +1171,10 @@ def cv(params: dict, train_set: Dataset, num_boost_round: int = 100, folds=None,
     if isinstance(folds, str):
         df = df.withColumn("_fold", F.col(folds).cast("int"))
         nfold = df.agg(F.max("_fold")).first()[0] + 1
+    elif folds is not None:
+        raise TypeError("folds: the name of a column with fold numbers is expected; rows of a DataFrame have no positions")
     else:
-        cols = [F.col(f"`{c}`") for c in df.columns]
-        h = F.xxhash64(F.col(f"`{train_set.group}`"), F.lit(seed)) if train_set.group else F.xxhash64(*cols, F.lit(seed))
+        h = F.xxhash64(F.col(f"`{train_set.group}`") if train_set.group else F.monotonically_increasing_id(), F.lit(seed))
         if stratified and not train_set.group and resolved["objective"] in ("binary", "multiclass", "multiclassova"):
             from pyspark.sql import Window
 

@@ -27,17 +27,23 @@ def _raw(booster, trees, names):
     return out
 
 
-def _check(booster, data: DataFrame, validate: bool) -> None:
+def _check(booster, data: DataFrame) -> None:
     missing = [f for f in booster.features if f not in data.columns]
-    if missing and validate:
-        raise ValueError(f"columns {missing} are missing")
     if missing:
         raise ValueError(f"the model needs columns {missing[:5]}")
 
 
-def predict(booster, data: DataFrame, start_iteration=0, num_iteration=None, raw_score=False, pred_leaf=False, pred_contrib=False, validate_features=False, prediction="prediction", sparse_contrib=False, compiled: bool | None = None, **kwargs) -> DataFrame:
+def predict(booster, data: DataFrame, *args, prediction="prediction", validate_features=False, **kwargs) -> DataFrame:
+    """data with the prediction as a further column; see `_predict`. With predict_disable_shape_check a column that isn't there counts as 0."""
+    given = [c for c in data.columns if c != prediction]
+    if validate_features or not {**booster.params, **kwargs}.get("predict_disable_shape_check"):
+        _check(booster, data)
+    data = data.withColumns({f: F.lit(0.0) for f in booster.features if f not in data.columns})
+    return _predict(booster, data, *args, prediction=prediction, **kwargs).select(*[F.col(f"`{c}`") for c in given], prediction)
+
+
+def _predict(booster, data: DataFrame, start_iteration=0, num_iteration=None, raw_score=False, pred_leaf=False, pred_contrib=False, prediction="prediction", sparse_contrib=False, compiled: bool | None = None, **kwargs) -> DataFrame:
     """Contributions beat leaves, leaves beat raw scores. Null and NaN are missing values."""
-    _check(booster, data, validate_features)
     p = {**booster.params, **kwargs}
     trees = booster._window(start_iteration, num_iteration)
     names, classes, objective = booster.features, booster.classes, booster.objective

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics as M
 from .functions import objectives as O
-from .operators import binning, histogram, ranking, routing, sampling
+from .operators import binning, histogram, ranking, routing, sampling, splits
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,7 +93,7 @@ for _n, (_o, _t, _w, _sql) in {
     "mean": ("regression", "y", True, "sum(y * w) / sum(w)"), "median": ("regression_l1", "y", False, "quantile_cont(y, 0.5)"), "quantile": ("quantile", "y", False, "quantile_cont(y, 0.9)"),
     "logit": ("binary", "b", True, "ln((sum(b * w) / sum(w)) / (1e0 - sum(b * w) / sum(w)))"), "logmean": ("poisson", "y", True, "ln(sum(y * w) / sum(w))"), "logexpm1": ("cross_entropy_lambda", "u", False, "ln(exp(avg(u)) - 1e0)"),
 }.items():
-    query(f"init_{_n}", f"with {P_SQL} select round({_sql}, 6) as value from p")(lambda spark, d, o=_o, t=_t, w=_w: rows(spark, d).agg(r6(O.start_score(o, F.col(t), F.col("w") if w else None)).alias("value")))
+    query(f"init_{_n}", f"with {P_SQL} select round({_sql}, 6) as value from p")(lambda spark, d, o=_o, t=_t, w=_w: spark.createDataFrame([(round(O.start_value(rows(spark, d), o, F.col(t), F.col("w") if w else None), 6),)], "value double"))
 
 
 @query("init_class_shares", f"with {P_SQL} select k as class, round(ln(count(*) / (select count(*)::double from p)), 6) as value from p group by k")
@@ -105,7 +106,7 @@ def init_class_shares(spark, d):
 l as (select *, lag(c) over (order by n) as cb, lag(v) over (order by n) as vb, max(c) over () as t from r), h as (select * from l where c > 0.5e0 * t order by n limit 1)
 select round(case when cb is null then v when c - cb >= 1e0 then vb + (0.5e0 * t - cb) / (c - cb) * (v - vb) else vb end, 6) as value from h""")
 def init_weighted_median(spark, d):
-    return O.weighted_percentile(rows(spark, d), "y", "w", 0.5, order="id").select(r6(F.col("result")).alias("value"))
+    return spark.createDataFrame([(round(O.start_value(rows(spark, d), "regression_l1", F.col("y"), F.col("w"), F.col("id")), 6),)], "value double")
 
 
 @query("output_transforms", f"with {P_SQL} select id, round(exp(s), 6) as e, round(1e0 / (1e0 + exp(-s)), 6) as sig, round(ln(1e0 + exp(s)), 6) as softplus, round(s * s, 6) as sq from p")
@@ -198,18 +199,17 @@ def value_to_bin(spark, d):
 
 @query("bin_counts", f"select {_B} as bin, count(*) as n from (select *, nullif(l_discount, 0e0) as v from lineitem) group by all")
 def bin_counts(spark, d):
-    return lines(spark, d).groupBy(MAPPER.column(F.col("v")).alias("bin")).agg(F.count("*").alias("n"))
+    return binning.bin_counts(lines(spark, d), MAPPER, F.col("v"))
 
 
 @query("most_freq_bin", f"with c as (select {_B} as bin, count(*) as n from (select *, nullif(l_discount, 0e0) as v from lineitem) group by all) select bin, n from c order by n desc, bin limit 1")
 def most_freq_bin(spark, d):
-    c = bin_counts(spark, d)
-    return c.agg(F.max_by(F.struct("bin", "n"), F.struct("n", -F.col("bin"))).alias("x")).select("x.bin", "x.n")
+    return binning.most_frequent(bin_counts(spark, d))
 
 
 @query("distinct_value_counts", "select l_quantity as value, count(*) as n from lineitem group by all")
 def distinct_value_counts(spark, d):
-    return lines(spark, d).groupBy(F.col("l_quantity").alias("value")).agg(F.count("*").alias("n"))
+    return binning.value_counts(lines(spark, d).select(F.col("l_quantity").cast("double").alias("f0"))).select(F.col("v").alias("value"), F.col("c").alias("n"))
 
 
 @query("bin_bounds_few_values", "with v as (select distinct l_quantity as x from lineitem), n as (select x, lead(x) over (order by x) as y from v) select round((x + y) / 2, 6) as bound from n where y is not null union all select 1e-35")
@@ -220,8 +220,10 @@ def bin_bounds_few_values(spark, d):
 
 @query("categorical_bins", "with c as (select cast(l_suppkey % 30 as int) as cat, count(*) as n from lineitem group by all) select cat, n, row_number() over (order by n desc, cat) as bin from c")
 def categorical_bins(spark, d):
-    c = lines(spark, d).groupBy((F.col("l_suppkey") % 30).cast("int").alias("cat")).agg(F.count("*").alias("n"))
-    return c.select("cat", "n", F.row_number().over(Window.orderBy(F.col("n").desc(), "cat")).cast("long").alias("bin"))  # one row per category
+    t = lines(spark, d).select((F.col("l_suppkey") % 30).cast("double").alias("cat"))
+    m = binning.find_mappers(t, ["cat"], {"cat"}, sample=None)[0]
+    bins = spark.createDataFrame([(c, i + 1) for i, c in enumerate(m.cats)], "cat int, bin long")
+    return binning.bin_counts(t, m, F.col("cat")).withColumn("bin", F.col("bin").cast("long")).join(bins, "bin").select("cat", "n", "bin")
 
 
 @query("trivial_filter", "with c as (select 'l_linenumber' as f, l_linenumber::double as v from lineitem union all select 'constant', 3e0 from lineitem union all select 'rare', case when l_orderkey = 0 then 1e0 else 0e0 end from lineitem), n as (select f, v, count(*) as n from c group by all), r as (select f, sum(n) over (partition by f order by v) as l, sum(n) over (partition by f) as t from n) select f as feature, max(case when l >= 20 and t - l >= 20 then 1 else 0 end) = 0 as trivial from r group by f")
@@ -267,9 +269,7 @@ def hist_subtract(spark, d):
 @query("hist_most_freq_fixup", f"with {HIST_SQL} select feature, bin, g, n from t where feature = 0 and bin = 1")
 def hist_most_freq_fixup(spark, d):
     t = hrows(spark, d)
-    others = histogram.histogram(t.where("b0 <> 1"), ["b0"], "g", "hs").agg(F.sum("g").alias("og"), F.sum("n").alias("on"))
-    total = histogram.totals(t, "g", "hs")
-    return total.crossJoin(F.broadcast(others)).select(F.lit(0).alias("feature"), F.lit(1).alias("bin"), (F.col("g") - F.col("og")).alias("g"), (F.col("n") - F.col("on")).alias("n"))  # one row each
+    return histogram.with_bin(histogram.histogram(t.where("b0 <> 1"), ["b0"], "g", "hs"), histogram.totals(t, "g", "hs"), 1).where("bin = 1").select("feature", "bin", "g", "n")
 
 
 def _split_sql(l1=0.0, l2=0.0, min_data=1, missing="-1", monotone=0, source=HIST_SQL):
@@ -299,27 +299,30 @@ CAT_SQL = f"{H_SQL}, t as (select case l_returnflag when 'A' then 1 when 'N' the
 @query("best_split_cat_onehot", f"with {CAT_SQL}, v as (select bin, g::double * g / h + (tg - g)::double * (tg - g) / (th - h) - tg::double * tg / th as gain, n from w) select bin, round(gain, 3) as gain, cast(n as bigint) as left_n from v order by gain desc, bin limit 1")
 def best_split_cat_onehot(spark, d):
     c = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    t = hrows(spark, d).groupBy(c.alias("bin")).agg(F.sum("g").cast("double").alias("g"), F.sum("hs").alias("h"), F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0))  # one row per category
-    t = t.select("*", F.sum("g").over(w).alias("tg"), F.sum("h").over(w).alias("th"))
-    gain = F.col("g") * F.col("g") / F.col("h") + (F.col("tg") - F.col("g")) * (F.col("tg") - F.col("g")) / (F.col("th") - F.col("h")) - F.col("tg") * F.col("tg") / F.col("th")
-    return t.select("bin", F.round(gain, 3).alias("gain"), F.col("n").alias("left_n")).agg(F.max_by(F.struct("bin", "gain", "left_n"), F.struct("gain", -F.col("bin"))).alias("x")).select("x.*")
+    x = _cat_split(hrows(spark, d).withColumn("c", c), 3)
+    return spark.createDataFrame([(x.cat_bins[0], round(float(x.gain), 3), x.left_n)], "bin int, gain double, left_n long")
+
+
+def _cat_split(t: DataFrame, cats: int) -> splits.Split:
+    """What training's search finds in the histogram of the category c (1, 2, ...)."""
+    hist = np.zeros((cats + 1, 3))
+    for r in histogram.histogram(t, ["c"], "g", "hs").collect():
+        hist[r.bin] = r.g, r.h, r.n
+    m = binning.BinMapper(0, "c", True, cats=list(range(cats)), num_bin=cats + 1, trivial=False)
+    g, h, n = hist.sum(axis=0)
+    return splits.categorical_split(m, hist[:, :2], g, h, int(n), splits.Rules(), 0.0, g * g / h)
 
 
 @query("best_split_cat_sorted", f"""with {H_SQL}, t as (select cast(l_suppkey % 12 as int) + 1 as bin, cast(sum(g) as double) as g, cast(sum(hs) as double) as h, count(*) as n from h group by all),
-o as (select *, row_number() over (order by g / (h + 10e0), bin) as i, sum(g) over () as tg, sum(h) over () as th, sum(n) over () as tn from t),
-c as (select i, sum(g) over (order by i) as lg, sum(h) over (order by i) as lh, cast(sum(n) over (order by i) as bigint) as ln, tg, th, tn from o)
-select i as prefix, ln as left_n, round(lg * lg / (lh + 10e0) + (tg - lg) * (tg - lg) / (th - lh + 10e0) - tg * tg / th, 3) as gain from c where i <= 6 order by gain desc, i limit 1""")
+o as (select *, row_number() over (order by g / (h + 10e0), bin) as up, row_number() over (order by g / (h + 10e0) desc, bin desc) as down, sum(g) over () as tg, sum(h) over () as th, sum(n) over () as tn from t),
+b as (select true as ascending, up as i, * from o union all select false, down, * from o),
+c as (select ascending, i, sum(g) over w as lg, sum(h) over w as lh, cast(sum(n) over w as bigint) as ln, tg, th, tn from b window w as (partition by ascending order by i))
+select cast(i as int) as categories, ln as left_n, round(lg * lg / (lh + 10e0) + (tg - lg) * (tg - lg) / (th - lh + 10e0) - tg * tg / th, 3) as gain from c where i <= (select (count(*) + 1) // 2 from t) order by gain desc, ascending desc, i limit 1""")
 def best_split_cat_sorted(spark, d):
     t = spark.read.parquet(f"{d}/lineitem.parquet")
     g = histogram.fixed_point(F.lit(32000.0) - F.col("l_extendedprice"), 10)
-    t = t.groupBy(((F.col("l_suppkey") % 12).cast("int") + 1).alias("bin")).agg(F.sum(g).cast("double").alias("g"), (F.count("*") * 1024).cast("double").alias("h"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("g") / (F.col("h") + 10.0), "bin")  # one row per category
-    run, every = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
-    c = t.select(F.row_number().over(order).cast("long").alias("prefix"), *(F.sum(x).over(run).alias(f"l{x}") for x in "ghn"), *(F.sum(x).over(every).alias(f"t{x}") for x in "gh"))
-    rg, rh = F.col("tg") - F.col("lg"), F.col("th") - F.col("lh")
-    gain = F.col("lg") * F.col("lg") / (F.col("lh") + 10.0) + rg * rg / (rh + 10.0) - F.col("tg") * F.col("tg") / F.col("th")
-    return c.where("prefix <= 6").select("prefix", F.col("ln").alias("left_n"), F.round(gain, 3).alias("gain")).agg(F.max_by(F.struct("prefix", "left_n", "gain"), F.struct("gain", -F.col("prefix"))).alias("x")).select("x.*")
+    x = _cat_split(t.select(((F.col("l_suppkey") % 12).cast("int") + 1).alias("c"), g.alias("g"), F.lit(1024).cast("long").alias("hs")), 12)
+    return spark.createDataFrame([(len(x.cat_bins), x.left_n, round(float(x.gain), 3))], "categories int, left_n long, gain double")
 
 
 # ---- routing
@@ -371,13 +374,20 @@ def balanced_bagging(spark, d):
 @query("goss_top", f"with {P_SQL}, x as (select id, abs(s - y) as size from p), t as (select quantile_cont(size, 0.8) as t from x) select id from x, t where size >= t")
 def goss_top(spark, d):
     t = rows(spark, d).withColumn("size", F.abs(F.col("s") - F.col("y")))
-    return sampling.goss(t, F.col("size"), "id", 0.2, 0.1, 3).where("factor = 1.0 and sampled").where(F.col("size") >= F.lit(t.agg(F.percentile("size", 0.8)).first()[0])).select("id")
+    return sampling.goss(t, F.col("size"), "id", 0.2, 0.1, 3).where("factor = 1.0 and sampled").select("id")
 
 
 query("goss_sample")(lambda spark, d: sampling.goss(rows(spark, d), F.abs(F.col("s") - F.col("y")), "id", 0.2, 0.1, 3).where("sampled").select("id", "factor"))
 query("folds", f"with {P_SQL} select cast(id % 5 as int) as fold, count(*) as n, round(sum(w), 4) as w from p group by all")(lambda spark, d: rows(spark, d).withColumn("fold", (F.col("id") % 5).cast("int")).groupBy("fold").agg(F.count("*").alias("n"), r6(F.sum("w"), 4).alias("w")))
 query("fold_hash")(lambda spark, d: sampling.folds(rows(spark, d), 5, F.col("id"), by="q").groupBy("fold").agg(F.countDistinct("q").alias("queries"), F.count("*").alias("n")))
-query("row_subset", f"with {P_SQL} select id, y from p where id in (select o_orderkey from orders where o_orderstatus = 'F')")(lambda spark, d: rows(spark, d).join(spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")), "id", "left_semi").select("id", "y"))
+
+
+@query("row_subset", f"with {P_SQL} select id, y from p where id in (select o_orderkey from orders where o_orderstatus = 'F')")
+def row_subset(spark, d):
+    from .plans.engine import Dataset
+
+    ids = spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    return Dataset(rows(spark, d), "y").subset(ids, "id").get_data().select("id", "y")
 
 
 # ---- ranking
@@ -406,8 +416,8 @@ query("stable_rank", f"with {_Q} select q, id, row_number() over (partition by q
 query("max_dcg", f"with {_Q}, r as (select *, row_number() over (partition by q order by y desc, id) - 1 as i from e) select q, round(sum((pow(2, y) - 1) / log2(i + 2e0)), 6) as max_dcg from r where i < 10 group by q")(lambda spark, d: ranking.max_dcg(events(spark, d), "q", "y", "id", 10).select("q", r6(F.col("max_dcg")).alias("max_dcg")))
 query("dcg_at_k", f"with {_Q}, r as (select *, row_number() over (partition by q order by s desc, id) - 1 as i from e) select q, round(sum((pow(2, y) - 1) / log2(i + 2e0)), 6) as dcg from r where i < 10 group by q")(lambda spark, d: ranking.dcg(events(spark, d), "q", "s", "y", "id", 10).select("q", r6(F.col("dcg")).alias("dcg")))
 query("position_bias_sums", f"with {_Q}, r as (select *, row_number() over (partition by q order by s desc, id) - 1 as pos from e) select cast(pos as bigint) as pos, round(sum(s - y), 4) as g, cast(sum(y) as bigint) as h, count(*) as n from r group by all")(lambda spark, d: ranking.position_sums(ranking.places(events(spark, d), "q", "s", "id", "pos").withColumn("pos", F.col("pos").cast("long")).withColumn("g", F.col("s") - F.col("y")), "pos", "g", "y").select("pos", r6(F.col("g"), 4).alias("g"), F.col("h").cast("long").alias("h"), "n"))
-query("query_weights", f"with {P_SQL} select q, round(avg(w), 6) as w, count(*) as n from p group by q")(lambda spark, d: rows(spark, d).groupBy("q").agg(r6(F.avg("w")).alias("w"), F.count("*").alias("n")))
-query("query_label_counts", f"with {_Q} select q, y, count(*) as n from e group by all")(lambda spark, d: events(spark, d).groupBy("q", "y").agg(F.count("*").alias("n")))
+query("query_weights", f"with {P_SQL} select q, round(avg(w), 6) as w, count(*) as n from p group by q")(lambda spark, d: ranking.query_weights(rows(spark, d), "q", "w").withColumn("w", r6(F.col("w"))))
+query("query_label_counts", f"with {_Q} select q, y, count(*) as n from e group by all")(lambda spark, d: ranking.label_counts(events(spark, d), "q", "y"))
 
 
 @query("query_boundaries", "with e as (select event_id as id, event_type as q, lag(event_type) over (order by event_id) as l from events), r as (select *, sum(case when l is null or l <> q then 1 else 0 end) over (order by id) as run from e) select cast(run as bigint) as run, min(q) as query, min(id) as first, count(*) as n from r group by run")
@@ -421,15 +431,30 @@ def query_boundaries(spark, d):
 @query("leaf_output_l1l2", f"with {H_SQL}, s as (select case when l_linestatus = 'F' then 1 else 0 end as leaf, sum(g)::double as g, sum(hs)::double as h from h group by all) select leaf, round(greatest(least(-(sign(g) * greatest(abs(g) - 1000e0, 0e0)) / (h + 500e0), 20e0), -20e0), 6) as value from s")
 def leaf_output_l1l2(spark, d):
     t = histogram.totals(hrows(spark, d), "g", "hs", "leaf")
-    g = F.col("g").cast("double")
-    out = -(F.signum(g) * F.greatest(F.abs(g) - 1000.0, F.lit(0.0))) / (F.col("h") + 500.0)
-    return t.select("leaf", r6(F.greatest(F.least(out, F.lit(20.0)), F.lit(-20.0))).alias("value"))
+    rules = splits.Rules(l1=1000.0, l2=500.0, max_delta_step=20.0)
+    return spark.createDataFrame([(r.leaf, round(float(splits.leaf_output(float(r.g), float(r.h), rules)), 6)) for r in t.collect()], "leaf int, value double")
 
 
 _LEAF = "case when w <= 1 then 0 else 1 end as leaf"
-query("leaf_renew_median", f"with {P_SQL} select {_LEAF}, round(quantile_cont(y - s, 0.5), 6) as value from p group by all")(lambda spark, d: rows(spark, d).withColumn("r", F.col("y") - F.col("s")).groupBy(F.when(F.col("w") <= 1, 0).otherwise(1).alias("leaf")).agg(r6(F.percentile("r", 0.5)).alias("value")))
-query("leaf_renew_quantile", f"with {P_SQL} select {_LEAF}, round(quantile_cont(y - s, 0.9), 6) as value from p group by all")(lambda spark, d: rows(spark, d).withColumn("r", F.col("y") - F.col("s")).groupBy(F.when(F.col("w") <= 1, 0).otherwise(1).alias("leaf")).agg(r6(F.percentile("r", 0.9)).alias("value")))
-query("refit_leaves", f"with {P_SQL} select {_LEAF}, round(0.9e0 * 0.5e0 + (1e0 - 0.9e0) * (-sum((s - y) * w) / sum(w)) * 0.1e0, 6) as value from p group by all")(lambda spark, d: rows(spark, d).groupBy(F.when(F.col("w") <= 1, 0).otherwise(1).alias("leaf")).agg(r6(F.lit(0.45) + (1 - 0.9) * (-F.sum((F.col("s") - F.col("y")) * F.col("w")) / F.sum("w")) * 0.1).alias("value")))
+
+
+def _leaves(spark, d) -> DataFrame:
+    return rows(spark, d).withColumn("leaf", F.when(F.col("w") <= 1, 0).otherwise(1))
+
+
+for _n, _a in (("median", 0.5), ("quantile", 0.9)):
+    query(f"leaf_renew_{_n}", f"with {P_SQL} select {_LEAF}, round(quantile_cont(y - s, {_a}), 6) as value from p group by all")(lambda spark, d, a=_a: O.percentile(_leaves(spark, d).withColumn("r", F.col("y") - F.col("s")), "r", a, ["leaf"]).select("leaf", r6(F.col("result")).alias("value")))
+
+
+@query("refit_leaves", f"with {P_SQL} select {_LEAF}, round(0.9e0 * 0.5e0 + (1e0 - 0.9e0) * (-sum((s - y) * w) / sum(w)) * 0.1e0, 6) as value from p group by all")
+def refit_leaves(spark, d):
+    from .plans.engine import refitted
+
+    g, h = O.gradients("regression", F.col("s"), F.col("y"), F.col("w"))
+    sums = _leaves(spark, d).groupBy("leaf").agg(F.sum(g.cast("double")).alias("g"), F.sum(h.cast("double")).alias("h"), F.count("*").alias("n"))
+    return spark.createDataFrame([(r.leaf, round(refitted(0.5, r.g, r.h, r.n, 0.1, 0.9, splits.Rules()), 6)) for r in sums.collect()], "leaf int, value double")
+
+
 query("linear_leaf_sums", f"with {P_SQL} select {_LEAF}, round(sum(s0 * s0 * w), 4) as a00, round(sum(s0 * s1 * w), 4) as a01, round(sum(s1 * s1 * w), 4) as a11, round(sum(s0 * (s - y) * w), 4) as b0, round(sum(s1 * (s - y) * w), 4) as b1, count(*) as n from p group by all")(
     lambda spark, d: rows(spark, d).withColumn("g", (F.col("s") - F.col("y")) * F.col("w")).groupBy(F.when(F.col("w") <= 1, 0).otherwise(1).alias("leaf")).agg(r6(F.sum(F.col("s0") * F.col("s0") * F.col("w")), 4).alias("a00"), r6(F.sum(F.col("s0") * F.col("s1") * F.col("w")), 4).alias("a01"), r6(F.sum(F.col("s1") * F.col("s1") * F.col("w")), 4).alias("a11"), r6(F.sum(F.col("s0") * F.col("g")), 4).alias("b0"), r6(F.sum(F.col("s1") * F.col("g")), 4).alias("b1"), F.count("*").alias("n"))
 )
@@ -481,9 +506,22 @@ query("prediction_window", f"select {_LK}, round({_T1}::double, 6) as raw from l
 query("prediction_margin_stop", f"select {_LK}, round(case when 2 * abs({_T0}) > 0.3 then {_T0}::double else {_T0}::double + {_T1}::double end, 6) as raw from lineitem")(lambda spark, d: _predicted(spark, d, raw_score=True, pred_early_stop=True, pred_early_stop_freq=1, pred_early_stop_margin=0.3).select("l_orderkey", "l_partkey", "l_linenumber", r6(F.col("prediction")).alias("raw")))
 query("shap_sums", f"select {_LK}, round({_T0}::double + {_T1}::double, 6) as total, round(-0.25e0 / 2 + 0.125e0 / 3 + 0.5e0 / 6 + 0.0625e0 / 10 - 0.03125e0 * 0.9, 6) as expected from lineitem")(lambda spark, d: _predicted(spark, d, pred_contrib=True).select("l_orderkey", "l_partkey", "l_linenumber", r6(F.aggregate("prediction", F.lit(0.0), lambda a, x: a + x)).alias("total"), r6(F.element_at("prediction", -1)).alias("expected")))
 query("model_nodes", "select * from (values (0, '0-S0', 'l_quantity', 9e0, 60), (0, '0-S1', 'l_discount', 4e0, 30), (1, '1-S0', 'l_quantity', 2e0, 60)) t(tree_index, node_index, split_feature, split_gain, count)")(lambda spark, d: forest().trees_to_dataframe(spark).where("split_feature is not null").select("tree_index", "node_index", "split_feature", "split_gain", F.col("count").cast("int").alias("count")))
-query("model_importance", "select * from (values ('l_quantity', 2, 11e0), ('l_discount', 1, 4e0)) t(feature, splits, gain)")(lambda spark, d: forest().trees_to_dataframe(spark).where("split_gain > 0").groupBy(F.col("split_feature").alias("feature")).agg(F.count("*").cast("int").alias("splits"), F.sum("split_gain").alias("gain")))
-query("model_bounds", "select -0.25e0 - 0.03125e0 as lower, 0.5e0 + 0.0625e0 as upper")(lambda spark, d: forest().trees_to_dataframe(spark).where("split_feature is null").groupBy("tree_index").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).agg(F.sum("lo").alias("lower"), F.sum("hi").alias("upper")))
-query("threshold_histogram", "select * from (values (0, 1)) t(bucket, n)")(lambda spark, d: forest().trees_to_dataframe(spark).where("split_feature = 'l_quantity' and decision_type = '<='").groupBy(F.floor(F.col("threshold").cast("double") / 50).cast("int").alias("bucket")).agg(F.count("*").cast("int").alias("n")))
+
+
+@query("model_importance", "select * from (values ('l_quantity', 2, 11e0), ('l_discount', 1, 4e0), ('l_tax', 0, 0e0)) t(feature, splits, gain)")
+def model_importance(spark, d):
+    b = forest()
+    return spark.createDataFrame([(f, int(n), float(g)) for f, n, g in zip(b.feature_name(), b.feature_importance("split"), b.feature_importance("gain"), strict=True)], "feature string, splits int, gain double")
+
+
+query("model_bounds", "select -0.25e0 - 0.03125e0 as lower, 0.5e0 + 0.0625e0 as upper")(lambda spark, d: spark.createDataFrame([(forest().lower_bound(), forest().upper_bound())], "lower double, upper double"))
+
+
+@query("threshold_histogram", "select i as bucket, case when 0.045e0 between 0.045e0 - 0.5e0 + i / 3e0 and 0.045e0 - 0.5e0 + (i + 1) / 3e0 then 1 else 0 end as n, round(0.045e0 - 0.5e0 + (i + 1) / 3e0, 6) as edge from (values (0), (1), (2)) t(i)")
+def threshold_histogram(spark, d):
+    """Of the one numeric threshold of l_discount, over three bins."""
+    n, edges = forest().get_split_value_histogram("l_discount", bins=3)
+    return spark.createDataFrame([(i, int(k), round(float(e), 6)) for i, (k, e) in enumerate(zip(n, edges[1:], strict=True))], "bucket int, n int, edge double")
 
 
 @query("sparse_rows", "select l_orderkey as row_id, 0 as feature, count(*) as n from lineitem where l_discount > 0 group by all union all select l_orderkey, 1, count(*) from lineitem where l_tax > 0 group by all")

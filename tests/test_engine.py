@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import arborframe as A
+from arborframe.functions import metrics, objectives
 from arborframe.operators import binning, losses, splits
 from arborframe.operators.sampling import Lcg, jump
 from arborframe.sources.matrix import from_dense
@@ -121,8 +122,8 @@ def test_variants_agree_with_their_training_scores(frame, params):
 
 
 @pytest.mark.parametrize("params", [{}, {"uniform_drop": True}, {"max_drop": 2}, {"xgboost_dart_mode": True, "skip_drop": 0.3}])
-def test_dart_draws_as_the_reference(frame, params):
-    """The reference's dropping rule (boosting.rs, dart_dropping_trees and dart_normalize), written out."""
+def test_dart_draws_by_weight(frame, params):
+    """The weighted dropping rule and its weights, written out."""
     p = {"skip_drop": 0.0, "drop_rate": 0.5, "max_drop": 50, "uniform_drop": False, "xgboost_dart_mode": False, **params}
     b = A.train({"boosting": "dart", "num_leaves": 4, "learning_rate": 0.3, **p}, A.Dataset(frame, "y", feature_name=FEATS), 1, keep_training_booster=True)
     rng, weights, total, drops = Lcg(4), [], 0.0, []
@@ -290,18 +291,67 @@ def test_bins_cover_values():
             assert (np.diff(b[ok][order]) >= 0).all()
 
 
-def test_bin_sample_keeps_a_share_of_equal_rows(spark):
-    df = spark.range(6000).selectExpr("cast(id % 50 as double) as a", "cast(if(id % 3 = 0, null, id % 7) as double) as b", "id % 5 as k")
-    found = [binning.find_mappers(df.repartition(parts), ["a", "b", "k"], {"k"}, sample=2000) for parts in (1, 5)]
-    assert found[0] == found[1]
-    a, b, k = found[0]
+def test_bin_sample_keeps_values(spark):
+    """A sample of rows, not of values: few values all stay, in about their shares."""
+    df = spark.range(300_000).selectExpr("cast(id % 50 as double) as a", "cast(if(id % 3 = 0, null, id % 7) as double) as b", "id % 5 as k")
+    a, b, k = binning.find_mappers(df, ["a", "b", "k"], {"k"}, sample=20_000)
     assert len(a.bounds) == 50 and len(b.bounds) == 7 and b.missing == "nan" and sorted(k.cats) == [0, 1, 2, 3, 4]
-    drawn = binning._sampled(df.select(F.col("a").alias("f0")), 1 / 3, 1).collect()
-    assert {r.f0 for r in drawn} == set(map(float, range(50))) and all(r.c == 40 for r in drawn)
-    few = binning._sampled(spark.range(3000).select(F.col("id").cast("double").alias("f0")), 1 / 3, 1)
-    assert 900 < few.count() < 1100
+    drawn = {r.f0: r["count"] for r in binning._sampled(df.select(F.col("a").alias("f0")), 1 / 15, 1).groupBy("f0").count().collect()}
+    assert set(drawn) == set(map(float, range(50))) and all(300 < n < 500 for n in drawn.values())
     everything = binning.find_mappers(df, ["a", "b", "k"], {"k"}, sample=None)
-    assert everything == binning.find_mappers(df, ["a", "b", "k"], {"k"})
+    assert everything == binning.find_mappers(df, ["a", "b", "k"], {"k"}, sample=1_000_000) and everything[0].bounds == a.bounds
+
+
+def test_other_names_and_unknown_ones():
+    from arborframe.plans import config
+
+    with pytest.warns(UserWarning, match="no_such_parameter"):
+        p = config.resolve({"min_data": 5, "lambda": 3.0, "num_trees": 7, "sub_row": 0.5, "unbalance": True, "no_such_parameter": 1})
+    assert (p["min_data_in_leaf"], p["lambda_l2"], p["num_iterations"], p["bagging_fraction"], p["is_unbalance"]) == (5, 3.0, 7, 0.5, True)
+    with pytest.warns(UserWarning, match="basic"):
+        config.resolve({"mc": [1], "mc_method": "advanced"})
+
+
+def test_gains_and_weights_of_metrics(spark, frame):
+    df = frame.select("q", "id", F.col("f0").alias("s"), "rel", "k", F.array("y", F.col("f0"), F.col("f2")).alias("v"))
+    own = [0.0, 1.0, 3.0, 7.0]
+    plain, given = ({r.k: r.value for r in metrics.ndcg(df, "q", "s", "rel", "id", gains=g).collect()} for g in (None, own))
+    assert all(math.isclose(plain[k], given[k]) for k in plain)
+    other = {r.k: r.value for r in metrics.ndcg(df, "q", "s", "rel", "id", gains=[0.0, 0.0, 0.0, 5.0]).collect()}
+    assert other != plain
+    m = [[0.0, 1.0, 2.0], [1.0, 0.0, 1.0], [2.0, 1.0, 0.0]]
+    a, b = (metrics.auc_mu(df, "v", "k", 3, matrix=x).first().value for x in (m, sum(m, [])))
+    assert a == b
+
+
+def test_columns_that_are_not_there(frame):
+    b = fit(frame, {}, rounds=2)
+    with pytest.raises(ValueError):
+        b.predict(frame.drop("f1"))
+    got = b.predict(frame.drop("f1"), predict_disable_shape_check=True)
+    assert got.columns == [*frame.drop("f1").columns, "prediction"]
+    zero = b.predict(frame.withColumn("f1", F.lit(0.0)))
+    assert got.select("id", "prediction").exceptAll(zero.select("id", "prediction")).count() == 0
+
+
+def test_percentiles(spark):
+    rng = np.random.default_rng(2)
+    v, w, by = np.round(rng.normal(size=3000), 1), rng.uniform(0, 3, 3000), rng.integers(0, 3, 3000)
+    df = spark.createDataFrame([(float(x), float(z), int(k), i) for i, (x, z, k) in enumerate(zip(v, w, by))] + [(float("nan"), 1.0, 0, -1), (None, 1.0, 0, -2)], "v double, w double, k int, id long").repartition(3)
+    for alpha in (0.0, 0.3, 0.5, 0.9, 1.0):
+        assert math.isclose(objectives.percentile(df, "v", alpha).first().result, np.quantile(v, alpha), abs_tol=1e-12)
+        for r in objectives.percentile(df, "v", alpha, ["k"]).collect():
+            assert math.isclose(r.result, np.quantile(v[by == r.k], alpha), abs_tol=1e-12)
+    for alpha in (0.1, 0.5, 0.77):
+        for r in objectives.weighted_percentile(df, "v", "w", alpha, ["k"], "id").collect():
+            own = by == r.k
+            order = np.lexsort((np.arange(3000)[own], v[own]))
+            x, c = v[own][order], np.cumsum(w[own][order])
+            i = int(np.searchsorted(c, alpha * c[-1], "right"))
+            step = c[i] - c[i - 1]
+            want = x[i - 1] + (alpha * c[-1] - c[i - 1]) / step * (x[i] - x[i - 1]) if step >= 1 else x[i - 1]
+            assert math.isclose(r.result, want, abs_tol=1e-9)
+    assert objectives.percentile(df.where("k > 5"), "v", 0.5).count() == 0
 
 
 def test_split_matches_brute_force():
