@@ -9,8 +9,9 @@ strings always meet:
 
 1. Each string of LENGTH bytes has an anchor: the 24-byte gram in it with the least hash (the leftmost of equal ones). It
    depends on the string alone, so equal strings have equal anchors at equal places. Consecutive strings with one anchor
-   form its context. Each batch of documents sends, for the first occurrence of each (anchor, context) in it, two 64-bit
-   hashes with different bases and its place to the fragment of the anchor's hash; the later ones are repeats as a whole.
+   form its context. Each batch of documents sends, for the first occurrence of each (anchor, context) in it, the anchor's
+   hash, two 64-bit hashes of the context with different bases, and its place to the fragment of the anchor's hash; the
+   later ones are repeats as a whole.
 2. A fragment sees all contexts of its anchors. Of equal contexts all but the first are repeats. An anchor with several
    different contexts (the ends of common passages) leaves one of each to step 3; an anchor that occurs once is done.
 3. For those only, the bytes of the contexts are fetched, and their strings are suffix sorted per (anchor, place in the
@@ -36,7 +37,7 @@ from ._store import files_for, input_bytes, partitions, written
 LENGTH = 100
 GRAM = 24
 #: Contexts of one anchor beyond which its strings are dealt out by their own hashes.
-HOT = 20_000
+HOT = 4_000
 #: Bytes of text whose contexts a worker holds at once.
 SLICE = 8 << 20
 #: Bytes of input files whose contexts a fragment holds on average, at most.
@@ -56,11 +57,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Per anchor occurrence: hash of the anchor, hash of its context, row, first string's start in the row, anchor's place, strings less one."""
+    """Per anchor occurrence: hash of the anchor, hash of its context, row, first string's start in the row, anchor's place, strings less one, another hash of the context."""
     size = np.diff(off)
     at = ranges(off[:-1], np.maximum(0, size - length + 1))
     if not len(at):
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64))
     p = PrefixHash(data, 0)
     g = mix((p.sums[gram:] - p.sums[:-gram]) * p.inverse[: len(data) - gram + 1])
     low = np.uint64(2**32 - 1)
@@ -72,7 +73,7 @@ def contexts(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple
     place, more = anchor - first, last - first
     c = mix(PrefixHash(data, 1).of(first, last + length) ^ mix((place << 32 | more).astype(np.uint64)))
     row = np.searchsorted(off, first, "right") - 1
-    return mix(g[anchor] + np.uint64(BASES[0])), c, row, first - off[row], place, more  # the least of many hashes is small: mixed again, it spreads over the fragments
+    return mix(g[anchor] + np.uint64(BASES[0])), c, row, first - off[row], place, more, mix(p.of(first, last + length))  # the least of many hashes is small: mixed again, it spreads over the fragments
 
 
 def _contexts(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -81,12 +82,12 @@ def _contexts(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> Iter
         yield contexts(data, off, length, gram)
         return
     for i in range(0, len(data) - length + 1, CHUNK):
-        h, c, row, s, place, more = contexts(data[i : i + CHUNK + length - 1], np.array([0, min(len(data) - i, CHUNK + length - 1)]), length, gram)
-        yield h, c, row, s + i, place, more
+        h, c, row, s, place, more, c2 = contexts(data[i : i + CHUNK + length - 1], np.array([0, min(len(data) - i, CHUNK + length - 1)]), length, gram)
+        yield h, c, row, s + i, place, more, c2
 
 
-_SENT = pa.schema([("part", pa.string()), *((c, pa.binary()) for c in "abcdef")])
-_SENT_SQL = "part string, a binary, b binary, c binary, d binary, e binary, f binary"
+_SENT = pa.schema([("part", pa.string()), *((c, pa.binary()) for c in "abcdefg")])
+_SENT_SQL = "part string, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("several", pa.int64())])
 _FOUND_SQL = "doc_id long, s long, e long, h long, place long, several long"
 
@@ -104,20 +105,20 @@ def _send(fragments: int, length: int, gram: int):
         task = TaskContext.get().partitionId()
         for number, (ids, data, off) in enumerate(_slices(batches)):
             parts = [(i, x) for i, _, d, o in chunks(data, off) for x in _contexts(d, o, length, gram)]
-            h, c, row, s, place, more = (np.concatenate([p[k] for _, p in parts]) if k != 2 else np.concatenate([p[2] + i for i, p in parts]) for k in range(6))
+            h, c, row, s, place, more, c2 = (np.concatenate([p[k] for _, p in parts]) if k != 2 else np.concatenate([p[2] + i for i, p in parts]) for k in range(7))
             doc = ids[row]
-            order = np.lexsort((s, doc, c, h))
-            h, c, doc, s, place, more = (x[order] for x in (h, c, doc, s, place, more))
+            order = np.lexsort((s, doc, c2, c, h))
+            h, c, doc, s, place, more, c2 = (x[order] for x in (h, c, doc, s, place, more, c2))
             new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+            new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             again = ~new & ((doc != doc[lead]) | (s != s[lead]))
             out = []
             if again.any():
-                out.append((f"own {task} {number}", None, None, doc[again].tobytes(), s[again].tobytes(), (s + more + length)[again].tobytes(), None))
+                out.append((f"own {task} {number}", None, None, doc[again].tobytes(), s[again].tobytes(), (s + more + length)[again].tobytes(), None, None))
             frag = (h[new] >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
             cut = np.searchsorted(frag, np.arange(fragments + 1))
-            cols = (h[new], c[new], doc[new].astype(np.int64), s[new].astype(np.uint32), place[new].astype(np.uint16), more[new].astype(np.uint16))
+            cols = (h[new], c[new], doc[new].astype(np.int64), s[new].astype(np.uint32), place[new].astype(np.uint16), more[new].astype(np.uint16), c2[new])
             out += [(str(f), *(x[i:j].tobytes() for x in cols)) for f, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _SENT.types, strict=True)], schema=_SENT)
@@ -131,14 +132,14 @@ def _meet(length: int):
             doc, s, e = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in "cde")
             none = pa.nulls(len(doc), pa.int64())
             return pa.table([doc, s, e, none, none, none], schema=_FOUND)
-        kinds = dict(zip("abcdef", (np.uint64, np.uint64, np.int64, np.uint32, np.uint16, np.uint16), strict=True))
-        h, c, doc, s, place, more = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(n)]) for n, t in kinds.items())
-        order = np.lexsort((s, doc, c, h))
-        h, c = h[order], c[order]
+        kinds = dict(zip("abcdefg", (np.uint64, np.uint64, np.int64, np.uint32, np.uint16, np.uint16, np.uint64), strict=True))
+        h, c, doc, s, place, more, c2 = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(n)]) for n, t in kinds.items())
+        order = np.lexsort((s, doc, c2, c, h))
+        h, c, c2 = h[order], c[order], c2[order]
         other = np.concatenate([[True], h[1:] != h[:-1]])
         new = other.copy()
-        new[1:] |= c[1:] != c[:-1]
-        del c
+        new[1:] |= (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
+        del c, c2
         several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(other))[np.cumsum(other) - 1]
         lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         again = ~new & ((doc[order] != doc[order[lead]]) | (s[order] != s[order[lead]]))

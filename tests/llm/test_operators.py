@@ -261,6 +261,41 @@ def test_ctph(spark):
     assert ctph.fingerprints(table(spark, [(1, "a", "en", "s")] * 3 + [(None, "b", "en", "s")])).count() == 4
 
 
+def test_fingerprint_byte_by_byte():
+    """The same hash rolled over a text one byte at a time, in plain integers."""
+    from arborframe.llm._bytes import BASES
+
+    full, letters = 2**64, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def spread(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % full
+        return x ^ x >> 31
+
+    def poly(raw):
+        return sum((b + 1) * pow(BASES[0], i, full) for i, b in enumerate(raw)) % full
+
+    def plain(raw):
+        if not raw:
+            return "3::"
+        rolled = [(spread(poly(raw[max(0, i - 6) : i + 1])) >> 32) + 1 for i in range(len(raw))]
+        k = 0
+        while sum(t % (3 << k) == 0 for t in rolled) > 63:
+            k += 1
+
+        def signature(k):
+            cuts = [i + 1 for i, t in enumerate(rolled) if t % (3 << k) == 0]
+            parts = [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)]) if b > a]
+            return "".join(letters[spread(poly(x)) >> 58] for x in parts)
+
+        return f"{3 << k}:{signature(k)}:{signature(k + 1)}"
+
+    for text in ("", "a", "short text", prose(30, 1), prose(200, 2), "é漢🙂" * 40, "ab" * 300):
+        assert ctph.fingerprint(text.encode()) == plain(text.encode()), text[:20]
+
+
 def test_edit_distance():
     import random
 
