@@ -8,7 +8,8 @@ fragments count overlaps on their own and the counts are summed.
    with any other one. Documents below the threshold even so can't link (on prose, nine in ten).
 2. The others (one for each distinct set) go through the fragments again, which now return each shingle's document
    frequency. Ordered by (frequency, hash), two documents that link share a shingle in their prefixes.
-3. The smallest document of each prefix shingle is its pivot. Each document is paired with the pivot that it shares most
+3. Of the documents of a prefix shingle the one whose prefix shingles have the most documents in all is its pivot (the text
+   that near copies were made from has more of them than any copy). Each document is paired with the pivot that it shares most
    prefix shingles with (one pair a document, whatever the size of its group). The order is cut into RANGES; each range
    emits the partial overlap of a pair there, and the partial overlaps are summed per pair. Links connect documents into parts.
 4. Prefix shingles whose documents lie in several parts may hold further links. Their documents form candidate groups, found by a
@@ -216,7 +217,9 @@ def _range(h: np.ndarray) -> np.ndarray:
 
 def pivot_links(sets: DataFrame, entries: DataFrame, percent: int, files: int | None = None) -> DataFrame:
     """(a, b): links of each document b with the pivot a that it shares most prefix shingles with, where they are one. Partial overlaps are counted in each range of the order and summed per pair."""
-    pivot = entries.groupBy("h").agg(F.min("doc_id").alias("a"))
+    common = entries.groupBy("h").agg(F.count("*").alias("c"))
+    weight = entries.join(common, "h").groupBy("doc_id").agg(F.sum("c").alias("w"))
+    pivot = entries.join(weight, "doc_id").groupBy("h").agg(F.max_by("doc_id", F.struct("w", F.bitwise_not("doc_id"))).alias("a"))
     shared = entries.join(pivot, "h").where("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("k"))
     pairs = shared.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("k", F.bitwise_not("a"))).alias("a"))
     pieces = written(sets.mapInArrow(lean(_pieces), "doc_id long, n long, part int, h array<long>"), files)
