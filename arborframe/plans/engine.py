@@ -39,9 +39,11 @@ class EvalResult(NamedTuple):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """The folder that spark.checkpoint.dir names. Where none is set, a temporary one on a single machine; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="arborframe-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -110,7 +112,8 @@ class Dataset:
         init = F.array(*[num(c) for c in init]) if isinstance(init, list) else F.col(f"`{init}`").cast("array<double>") if init and dict(self.data.dtypes)[init].startswith("array") else F.array(num(init))
         rows = self.data.select(*cols, num(self.label).alias("label"), num(self.weight).alias("weight"), init.alias("init"), (F.xxhash64(F.col(f"`{self.group}`")) if self.group else F.lit(0).cast("long")).alias("query"), (F.col(f"`{self.position}`").cast("long") if self.position else F.lit(0).cast("long")).alias("position"))
         if self.group:  # whole queries in one partition, next to each other
-            rows = rows.repartition("query").sortWithinPartitions("query")
+            # in the order that they came in, whichever order the shuffle brings them in: a lost block is made again alike
+            rows = rows.withColumn("_o", F.monotonically_increasing_id()).repartition("query").sortWithinPartitions("query", "_o").drop("_o")
         packed = rows.mapInArrow(B.pack(self.used, roles, classes, len(self.features) if self.linear else 0), B.SQL)
         cores = self.data.sparkSession.sparkContext.defaultParallelism
         if packed.rdd.getNumPartitions() < cores:  # few large files: blocks (compact, and named by where they were made) are dealt to all cores
