@@ -303,7 +303,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     spark = docs.sparkSession
     docs = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     fragments = fragments or max(2 * partitions(spark), input_bytes(docs) // FRAGMENT)
-    few, many = files_for(docs, 128 << 20), files_for(docs, 16 << 20)
+    few, many = files_for(docs, 128 << 20), files_for(docs, 4 << 20)
     known = docs.where("doc_id is not null")
     stats = written(_through_fragments(known, fragments, words, False).groupBy("batch").applyInArrow(lean_group(_sum_shared), "doc_id long, n long, k1 long, k2 long, shared long"), many)
     linked = stats.where(f"n > 0 and 100 * shared >= {percent} * n")

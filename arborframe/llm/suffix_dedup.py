@@ -383,7 +383,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     own = docs.where("doc_id is not null")
     rest = docs.where("doc_id is null")
     several = own.select("doc_id", F.xxhash64("text").alias("x")).groupBy("doc_id").agg(F.min("x").alias("least"), F.max("x").alias("most")).where("least <> most").drop("most")
-    few, many = files_for(docs, 128 << 20), files_for(docs, 16 << 20)
+    few, many = files_for(docs, 128 << 20), files_for(docs, 4 << 20)
     several = written(several, few)
     if several.limit(1).count():
         marked = own.join(several, "doc_id", "left")

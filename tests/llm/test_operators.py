@@ -345,6 +345,45 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_filter_of_many_rules(spark):
+    """Thousands of rules and patterns against each of them tried on each url, by plain comparisons; repeated rows and null page_ids."""
+    import random
+
+    r = random.Random(11)
+    names, tops, dirs = [f"h{i}" for i in range(60)], ["com", "net", "org"], ["a", "ads", "en", "shop", "x1", "img", ""]
+    path = lambda: "/".join(r.choice(dirs) for _ in range(r.randint(0, 3)))
+    rules = {f"{r.choice(names)}.{r.choice(tops)}/{path()}": r.choice(["block", "allow"]) for _ in range(2500)}
+    patterns = {f"*/{r.choice(dirs[:-1])}/{r.choice(dirs[:-1])}{r.choice(['/*', '*', '/' + r.choice(dirs) + '/*'])}": r.choice(["block", "allow"]) for _ in range(120)}
+    rows = [(i, f"http://{r.choice(['', 'www.', 'm.'])}h{r.randint(0, 240)}.{r.choice(tops)}/{path()}{r.choice(['', '?q=1', '#t', '/end.html'])}") for i in range(700)]
+    rows += [rows[3], rows[3], (None, rows[5][1]), (None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+
+    def fits(pattern, text):
+        first, *rest = pattern.split("*")
+        at = len(first)
+        if not text.startswith(first):
+            return False
+        for part in rest[:-1]:
+            if (at := text.find(part, at)) < 0:
+                return False
+            at += len(part)
+        return text.endswith(rest[-1]) and len(text) - len(rest[-1]) >= at
+
+    def best(found):
+        return max(found, key=lambda x: (len(x[0]), len(x[0].partition("/")[0]), x[1] == "block", x[0]), default=(None, None))
+
+    want = []
+    for i, url in rows:
+        host, path_ = url_filter.parts(url)
+        own = [(x, a) for x, a in rules.items() if (host == (h := x.partition("/")[0]) or host.endswith("." + h)) and path_.startswith("/" + x.partition("/")[2])] if host else []
+        any_ = [(x, a) for x, a in patterns.items() if fits(x, host + path_)] if host else []
+        rule, pattern = best(own), best(any_)
+        want.append((str(i), host, path_, str(rule[0]), rule[1] or pattern[1] or "allow", str(pattern[0])))
+    got = url_filter.judge_urls(df, rules=list(rules.items()), patterns=list(patterns.items())).collect()
+    assert sorted((str(x.page_id), x.host, x.path, str(x.rule), x.verdict, str(x.pattern)) for x in got) == sorted(want)
+    assert sum(x[3] != "None" for x in want) > 200 and sum(x[3] == "None" and x[5] != "None" for x in want) > 20
+
+
 # ---- 6
 
 
