@@ -104,6 +104,7 @@ def to_wide(long: DataFrame, key: str, features: int) -> DataFrame:
 
 
 def sampled_columns(df: DataFrame, columns: list[str], fraction: float, seed: int = 1) -> DataFrame:
-    """(feature, value) of the cells that aren't zero in a hash sample of the rows."""
-    rows = df.where(F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11) / F.lit(float(2**53)) < fraction)
-    return to_long(rows.withColumn("_k", F.lit(0)), "_k", columns).drop("_k")
+    """(feature, value) of the cells that aren't zero in a sample of the rows, drawn by a hash of their places: equal rows are drawn independently."""
+    rows = df.select(*columns, F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).alias("_k"))
+    rows = rows.where(F.shiftrightunsigned("_k", 11) / F.lit(float(2**53)) < fraction)
+    return to_long(rows, "_k", columns).drop("_k")

@@ -82,3 +82,10 @@ def test_predict_file_and_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "scored"))
     assert got.count() == 400 and got.where(F.col("prediction").isNull()).count() == 0
+
+
+def test_sampled_columns_keep_values(spark):
+    df = spark.range(20_000).selectExpr("cast(id % 10 as double) as a", "cast(id % 2 as double) as b")
+    got = {(r.feature, r.value): r["count"] for r in matrix.sampled_columns(df, ["a", "b"], 0.1).groupBy("feature", "value").count().collect()}
+    assert set(got) == {(0, float(v)) for v in range(1, 10)} | {(1, 1.0)}
+    assert all(130 < got[0, float(v)] < 280 for v in range(1, 10))
