@@ -11,11 +11,14 @@ strings always meet:
    depends on the string alone, so equal strings have equal anchors at equal places. Consecutive strings with one anchor
    form its context. Each batch of documents sends, for the first occurrence of each (anchor, context) in it, the anchor's
    hash, two 64-bit hashes of the context with different bases, and its place to the fragment of the anchor's hash; the
-   later ones are repeats as a whole.
-2. A fragment sees all contexts of its anchors. Of equal contexts all but the first are repeats. An anchor with several
-   different contexts (the ends of common passages) leaves one of each to step 3; an anchor that occurs once is done.
+   later ones are repeats as a whole. An anchor with many different contexts in one batch is wide in its task from then
+   on: its contexts go to fragments of their own hashes, and the anchor's fragment is told.
+2. A fragment sees all contexts of its anchors, but for wide ones. Of equal contexts all but the first are repeats. An
+   anchor with several different contexts (the ends of common passages) leaves one of each to step 3; an anchor that
+   occurs once is done.
 3. For those only, the bytes of the contexts are fetched, and their strings are suffix sorted per (anchor, place in the
-   context). An anchor with very many contexts is dealt out further by the hash of each string.
+   context). A wide anchor, or one with very many contexts, is dealt out by the hash of each string instead, and each
+   batch sends the first of equal strings only; the others are repeats.
 4. The repeats are joined with the documents; their union is cut out.
 """
 
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +42,9 @@ LENGTH = 100
 GRAM = 24
 #: Contexts of one anchor beyond which its strings are dealt out by their own hashes.
 HOT = 4_000
+#: Different contexts of one anchor in one batch of SLICE bytes that make it wide; an anchor below that in every batch
+#: leaves its fragment fewer than SPREAD rows of some 40 bytes for each SLICE of input, 0.02 % of it.
+SPREAD = 32
 #: Bytes of text whose contexts a worker holds at once.
 SLICE = 8 << 20
 #: Bytes of input files whose contexts a fragment holds on average, at most.
@@ -86,8 +93,9 @@ def _contexts(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> Iter
         yield h, c, row, s + i, place, more, c2
 
 
-_SENT = pa.schema([("part", pa.string()), *((c, pa.binary()) for c in "abcdefg")])
-_SENT_SQL = "part string, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+#: a..g: columns of contexts; m: the anchors of the part that are wide.
+_SENT = pa.schema([("part", pa.string()), *((c, pa.binary()) for c in "abcdefgm")])
+_SENT_SQL = "part string, a binary, b binary, c binary, d binary, e binary, f binary, g binary, m binary"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("several", pa.int64())])
 _FOUND_SQL = "doc_id long, s long, e long, h long, place long, several long"
 
@@ -100,9 +108,13 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield ids[i:j], data, off
 
 
-def _send(fragments: int, length: int, gram: int):
+def _send(fragments: int, length: int, gram: int, spread: int):
+    def dealt(key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
+        wide = np.zeros(0, np.uint64)
         for number, (ids, data, off) in enumerate(_slices(batches)):
             parts = [(i, x) for i, _, d, o in chunks(data, off) for x in _contexts(d, o, length, gram)]
             h, c, row, s, place, more, c2 = (np.concatenate([p[k] for _, p in parts]) if k != 2 else np.concatenate([p[2] + i for i, p in parts]) for k in range(7))
@@ -115,25 +127,42 @@ def _send(fragments: int, length: int, gram: int):
             again = ~new & ((doc != doc[lead]) | (s != s[lead]))
             out = []
             if again.any():
-                out.append((f"own {task} {number}", None, None, doc[again].tobytes(), s[again].tobytes(), (s + more + length)[again].tobytes(), None, None))
-            frag = (h[new] >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
-            cut = np.searchsorted(frag, np.arange(fragments + 1))
+                out.append((f"own {task} {number}", None, None, doc[again].tobytes(), s[again].tobytes(), (s + more + length)[again].tobytes(), None, None, None))
             cols = (h[new], c[new], doc[new].astype(np.int64), s[new].astype(np.uint32), place[new].astype(np.uint16), more[new].astype(np.uint16), c2[new])
-            out += [(str(f), *(x[i:j].tobytes() for x in cols)) for f, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            anchors, count = np.unique(cols[0], return_counts=True)
+            fresh = np.setdiff1d(anchors[count >= spread], wide)
+            wide = np.union1d(wide, fresh)
+            apart = np.isin(cols[0], wide)
+            told = dealt(fresh)
+            for name, mine, key in (("", ~apart, 0), ("wide ", apart, 1)):
+                rows = np.flatnonzero(mine)
+                frag = dealt(cols[key][rows])
+                if key:
+                    o = np.argsort(frag, kind="stable")
+                    rows, frag = rows[o], frag[o]
+                own = [x[rows] for x in cols]
+                cut, mark = np.searchsorted(frag, np.arange(fragments + 1)), np.searchsorted(told, np.arange(fragments + 1))
+                for f in np.unique(np.concatenate([frag, told] if not key else [frag])).tolist():
+                    marks = fresh[mark[f] : mark[f + 1]] if not key else fresh[:0]
+                    out.append((f"{name}{f}", *(x[cut[f] : cut[f + 1]].tobytes() for x in own), marks.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _SENT.types, strict=True)], schema=_SENT)
 
     return run
 
 
-def _meet(length: int):
+def _meet(length: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
-        if table.column("part")[0].as_py().startswith("own"):
+        part = table.column("part")[0].as_py()
+        if part.startswith("own"):
             doc, s, e = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in "cde")
             none = pa.nulls(len(doc), pa.int64())
             return pa.table([doc, s, e, none, none, none], schema=_FOUND)
         kinds = dict(zip("abcdefg", (np.uint64, np.uint64, np.int64, np.uint32, np.uint16, np.uint16, np.uint64), strict=True))
         h, c, doc, s, place, more, c2 = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(n)]) for n, t in kinds.items())
+        marks = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("m")])
+        if not len(h):
+            return _FOUND.empty_table()
         order = np.lexsort((s, doc, c2, c, h))
         h, c, c2 = h[order], c[order], c2[order]
         other = np.concatenate([[True], h[1:] != h[:-1]])
@@ -141,6 +170,7 @@ def _meet(length: int):
         new[1:] |= (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
         del c, c2
         several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(other))[np.cumsum(other) - 1]
+        several[np.isin(h, marks) if part[:4] != "wide" else slice(None)] = hot + 1
         lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         again = ~new & ((doc[order] != doc[order[lead]]) | (s[order] != s[order[lead]]))
         asked = new & (several > 1)
@@ -155,8 +185,9 @@ def _meet(length: int):
     return run
 
 
-_BYTES = pa.schema([("task", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
-_BYTES_SQL = "task long, h long, doc_id long, s long, place long, bytes binary"
+#: Without bytes: a repeat that is known already.
+_BYTES = pa.schema([("task", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
+_BYTES_SQL = "task long, h long, doc_id long, s long, e long, place long, bytes binary"
 
 
 def _lists(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -167,6 +198,33 @@ def _lists(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> tuple[n
     return np.repeat(np.arange(len(col)), count), [np.asarray(flat.field(f)) for f in fields]
 
 
+def _again(data: np.ndarray, pos: np.ndarray, keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Which strings have the keys and the bytes of an earlier one, the first of those with its keys."""
+    order = np.lexsort((start, doc, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    at = np.flatnonzero((doc[order] != doc[lead]) | (start[order] != start[lead]))
+    out, span = np.zeros(len(order), bool), np.arange(length)
+    for x in np.array_split(at, len(at) // 50_000 + 1):
+        out[order[x]] = (data[pos[order[x]][:, None] + span] == data[pos[lead[x]][:, None] + span]).all(axis=1)
+    return out
+
+
+def _runs(doc: np.ndarray, s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of the runs of strings of `length` bytes that start at consecutive bytes."""
+    o = np.lexsort((s, doc))
+    doc, s = doc[o], s[o]
+    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (s[1:] > s[:-1] + 1)]))
+    return doc[cut], s[cut], s[np.append(cut[1:], len(s)) - 1] + length
+
+
+def _known(doc: np.ndarray, s: np.ndarray, length: int, tasks: int) -> pa.RecordBatch:
+    doc, s, e = _runs(doc, s, length)
+    zero = pa.array(np.zeros(len(doc), np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(doc % tasks), zero, pa.array(doc), pa.array(s), pa.array(e), zero, pa.nulls(len(doc), pa.binary())], schema=_BYTES)
+
+
 def _fetch(tasks: int, length: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,11 +238,16 @@ def _fetch(tasks: int, length: int, hot: int):
                 shift = ranges(np.zeros(len(k), np.int64), k)
                 r, s2, h2, p2 = (np.repeat(x[wide], k) for x in (row, s, h, place))
                 s2, p2 = s2 + shift, p2 - shift
-                own = np.zeros(len(s2), np.int64)
+                key = np.zeros(len(s2), np.uint64)
                 for i, _, d, o in chunks(data, off):
                     mine = np.flatnonzero((r >= i) & (r < i + len(o) - 1))
                     a = o[r[mine] - i] + s2[mine]
-                    own[mine] = (mix(PrefixHash(d, 1).of(a, a + length) ^ (h2[mine] + p2[mine]).view(np.uint64)) >> np.uint64(2)).astype(np.int64) % tasks
+                    key[mine] = mix(PrefixHash(d, 1).of(a, a + length) ^ (h2[mine] + p2[mine]).view(np.uint64))
+                again = _again(data, off[r] + s2, (key, h2, p2), ids[r], s2, length)
+                if again.any():
+                    yield _known(ids[r[again]], s2[again], length, tasks)
+                    r, s2, h2, p2, key = (x[~again] for x in (r, s2, h2, p2, key))
+                own = (key >> np.uint64(2)).astype(np.int64) % tasks
                 keep = ~wide
                 row, s, e, h, place, task = (np.concatenate(x) for x in ((row[keep], r), (s[keep], s2), (e[keep], s2 + length), (h[keep], h2), (place[keep], p2), (task[keep], own)))
             for i in range(0, len(s), 100_000):
@@ -193,7 +256,7 @@ def _fetch(tasks: int, length: int, hot: int):
                 raw = data[ranges(off[row[x]] + s[x], size)]
                 to = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 text = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(task[x]), pa.array(h[x]), pa.array(ids[row[x]]), pa.array(s[x]), pa.array(place[x]), text], schema=_BYTES)
+                yield pa.RecordBatch.from_arrays([pa.array(task[x]), pa.array(h[x]), pa.array(ids[row[x]]), pa.array(s[x]), pa.array(e[x]), pa.array(place[x]), text], schema=_BYTES)
 
     return run
 
@@ -294,6 +357,9 @@ _SPANS = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64())
 
 def _sort_task(length: int):
     def run(table: pa.Table) -> pa.Table:
+        known = table.filter(pc.is_null(table.column("bytes")))
+        table = table.filter(pc.is_valid(table.column("bytes")))
+        out = [tuple(np.asarray(known.column(c).combine_chunks()) for c in ("doc_id", "s", "e"))] if len(known) else []
         h, doc, s, place = (np.asarray(table.column(c).combine_chunks()) for c in ("h", "doc_id", "s", "place"))
         text = table.column("bytes").combine_chunks()
         data, off = buffer(text)
@@ -302,8 +368,7 @@ def _sort_task(length: int):
         ho = h[order]
         piece = np.cumsum(count) // PIECE
         piece = np.maximum.accumulate(np.where(np.concatenate([[True], ho[1:] != ho[:-1]]), piece, 0))
-        out = []
-        for rows in np.split(order, np.flatnonzero(np.diff(piece)) + 1):
+        for rows in np.split(order, np.flatnonzero(np.diff(piece)) + 1) if len(order) else []:
             size = np.diff(off)[rows]
             own = data[ranges(off[rows], size)]
             to = np.cumsum(size) - size
@@ -315,12 +380,8 @@ def _sort_task(length: int):
             pos, hh, dd, ss, pp = (x[o] for x in (pos, hh, dd, ss, pp))
             new = np.concatenate([[True], (hh[1:] != hh[:-1]) | (pp[1:] != pp[:-1])])
             hit = repeats(own, pos, np.cumsum(new), dd, ss, length)
-            dd, ss = dd[hit], ss[hit]
-            o = np.lexsort((ss, dd))
-            dd, ss = dd[o], ss[o]
-            if len(dd):
-                cut = np.flatnonzero(np.concatenate([[True], (dd[1:] != dd[:-1]) | (ss[1:] > ss[:-1] + 1)]))
-                out.append((dd[cut], ss[cut], ss[np.append(cut[1:], len(ss)) - 1] + length))
+            if hit.any():
+                out.append(_runs(dd[hit], ss[hit], length))
         return pa.table([np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)], schema=_SPANS)
 
     return run
@@ -366,7 +427,7 @@ def _cut_out(keep_text: bool, carry: bool = False):
 _RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, spread: int = SPREAD, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, row]) for each row of docs (doc_id, text; further columns don't matter).
 
     Texts count as UTF-8 bytes, null as empty. Of a string of `length` bytes the occurrence with the smallest (doc_id,
@@ -391,9 +452,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         own = marked.where(F.col("least").isNull() | (F.xxhash64("text") == F.col("least"))).select(names)
     texts = own.select("doc_id", "text")
     fragments = max(2 * n, input_bytes(texts) // FRAGMENT)
-    found = written(texts.mapInArrow(lean(_send(fragments, length, gram)), _SENT_SQL).groupBy("part").applyInArrow(lean_group(_meet(length)), _FOUND_SQL), many)
+    found = written(texts.mapInArrow(lean(_send(fragments, length, gram, spread)), _SENT_SQL).groupBy("part").applyInArrow(lean_group(_meet(length, hot)), _FOUND_SQL), many)
     asked = found.where("place is not null").groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "h", "place", "several")).alias("asked"))
-    fetched = texts.repartition(n, "doc_id").join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked").mapInArrow(lean(_fetch(4 * n, length, hot), "text"), _BYTES_SQL)
+    fetched = texts.repartition(n, "doc_id").join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked").mapInArrow(lean(_fetch(max(4 * n, 2 * fragments), length, hot), "text"), _BYTES_SQL)
     sorted_ = written(fetched.groupBy("task").applyInArrow(lean_group(_sort_task(length)), "doc_id long, s long, e long"), many)
     spans = found.where("place is null").select("doc_id", "s", "e").union(sorted_).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text)

@@ -94,7 +94,7 @@ def brute_repeats(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("kw", [{}, {"hot": 1}])
+@pytest.mark.parametrize("kw", [{}, {"hot": 1}, {"spread": 1}, {"spread": 3}])
 def test_suffix_dedup(spark, kw):
     want = brute_repeats(corpus())
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table(spark, clash=True), **kw).collect()}
@@ -110,6 +110,18 @@ def test_suffix_dedup_edges(spark):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("spread", [4, 32])
+def test_a_passage_that_all_documents_continue_differently(spark, spread):
+    """Partitions with many, few and no contexts of the anchors at the passage's ends; rows that repeat."""
+    passage = prose(25, 11)
+    rows = [(i, f"{passage} {prose(25, 500 + i)}" if i < 60 else prose(25, 500 + i) + " " + passage, "en", "s") for i in range(90)]
+    rows += [(200, None, None, None), rows[3], rows[70]]
+    few = table(spark, rows[:5], partitions=1).union(table(spark, rows[5:62], partitions=1)).union(table(spark, rows[62:], partitions=2))
+    want = brute_repeats(rows[:-2])
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.remove_repeats(few, spread=spread).collect()]
+    assert len(got) == len(rows) and dict(got) == want and all(want[i] == x for i, x in got)
+
+
 def test_suffix_dedup_of_long_texts(spark):
     """Texts over twice the bytes that are worked on at once."""
     import random
