@@ -5,7 +5,9 @@ fragments count overlaps on their own and the counts are summed.
 
 1. Every document's distinct 5-word shingles, as 64-bit hashes, go to the fragment of their hash range. A fragment counts
    how many of a document's shingles some other document has; the sums over all fragments bound the document's overlap
-   with any other one. Documents below the threshold even so can't link (on prose, nine in ten).
+   with any other one. Documents below the threshold even so can't link (on prose, nine in ten). A batch of documents
+   sends a shingle that several of them have once, with their number, so that a shingle of a third of all documents is
+   one entry for each batch.
 2. The others (one for each distinct set) go through the fragments again, which now return each shingle's document
    frequency. Ordered by (frequency, hash), two documents that link share a shingle in their prefixes.
 3. Of the documents of a prefix shingle the one whose prefix shingles have the most documents in all is its pivot (the text
@@ -81,12 +83,13 @@ def _set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_ROWS = pa.schema([("part", pa.string()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-_ROWS_SQL = "part string, batch long, a binary, b binary, c binary, d binary"
+_ROWS = pa.schema([("part", pa.string()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), *((c, pa.binary()) for c in "cdef")])
+_ROWS_SQL = "part string, batch long, a binary, b binary, c binary, d binary, e binary, f binary"
 
 
 def _to_fragments(fragments: int, words: int, full: bool):
-    """Rows of one batch: one for each fragment (row numbers, hashes) and one of the batch itself (ids, set sizes, set keys).
+    """Rows of one batch: one for each fragment (row numbers and hashes that one document has; hashes that several have, and their numbers) and
+    one of the batch itself (ids, set sizes, set keys, and the entries of the hashes that several have, or how many each row has of them).
 
     A batch is named by its partition and its number there, which are the same when a lost task runs again.
     """
@@ -101,22 +104,29 @@ def _to_fragments(fragments: int, words: int, full: bool):
             h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
             n = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
             k1, k2 = _set_keys(h, n)
-            out = [(f"batch {name}", name, ids.astype(np.int64).tobytes(), n.tobytes(), k1.tobytes(), k2.tobytes())]
             row = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-            frag = ((h >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(frag.astype(np.uint16) if fragments < 65536 else frag, kind="stable")
-            cut = np.searchsorted(frag[order], np.arange(fragments + 1))
-            row, h = row[order].astype(np.uint16 if len(n) < 65536 else np.uint32), h[order]
-            h = h if full else h.astype(np.uint32)
+            order = np.argsort(h, kind="stable")
+            row, h = row[order], h[order]
+            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            count = np.diff(np.append(edge, len(h))).astype(np.uint32)
+            twice = np.repeat(count > 1, count)
+            mine = (row[twice].tobytes(), h[twice].tobytes()) if full else (np.bincount(row[twice], minlength=len(n)).astype(np.int64).tobytes(), None)
+            out = [(f"batch {name}", name, ids.astype(np.int64).tobytes(), n.tobytes(), k1.tobytes(), k2.tobytes(), *mine)]
+            known, count = h[edge[count > 1]], count[count > 1]
+            row, h = row[~twice].astype(np.uint16 if len(n) < 65536 else np.uint32), h[~twice]
+            cut, at = (np.searchsorted((x >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32), np.arange(fragments + 1, dtype=np.uint64)) for x in (h, known))
+            h, known = (h, known) if full else (h.astype(np.uint32), known.astype(np.uint32))
             wide = bytes([row.dtype.itemsize])
-            out += [(f"{f}", name, row[s:e].tobytes(), h[s:e].tobytes(), wide, None) for f, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
+            for f in np.flatnonzero((cut[1:] > cut[:-1]) | (at[1:] > at[:-1])).tolist():
+                x, y = slice(cut[f], cut[f + 1]), slice(at[f], at[f + 1])
+                out.append((str(f), name, row[x].tobytes(), h[x].tobytes(), wide, known[y].tobytes(), count[y].tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
 
     return run
 
 
 def _count(full: bool):
-    """In one fragment: how many rows have each hash. Returns, by batch, the entries that two rows or more have."""
+    """In one fragment: how many rows have each hash. Returns, by batch, the entries that two rows or more have, and (full) the frequencies of the hashes that several rows of the batch have."""
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py().startswith("batch"):
@@ -124,25 +134,27 @@ def _count(full: bool):
         rows = table.to_pylist()
         rows.sort(key=lambda r: r["batch"])
         kind = np.uint64 if full else np.uint32
-        h = np.concatenate([np.frombuffer(r["b"], kind) for r in rows])
+        h = np.concatenate([np.frombuffer(r[c], kind) for c in "bd" for r in rows])
+        own = sum(len(r["b"]) for r in rows) // h.itemsize
+        w = np.concatenate([np.ones(own, np.uint32), *(np.frombuffer(r["e"], np.uint32) for r in rows)])
         order = np.argsort(h, kind="stable")
         s = h[order]
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         df = np.empty(len(h), np.uint32)
-        df[order] = np.repeat(np.diff(np.append(edge, len(s))), np.diff(np.append(edge, len(s)))).astype(np.uint32)
-        out, at = [], 0
+        df[order] = np.repeat(np.minimum(np.add.reduceat(w[order], edge, dtype=np.uint64), 2**32 - 1).astype(np.uint32), np.diff(np.append(edge, len(s))))
+        out, at, to = [], 0, own
         for r in rows:
-            row = np.frombuffer(r["a"], np.uint16 if r["c"] == b"\x02" else np.uint32)
-            mine = slice(at, at + len(row))
-            at += len(row)
+            row, known = np.frombuffer(r["a"], np.uint16 if r["c"] == b"\x02" else np.uint32), len(r["e"]) // 4
+            mine, theirs = slice(at, at + len(row)), slice(to, to + known)
+            at, to = at + len(row), to + known
             more = df[mine] > 1
-            if more.any():
-                x = row[more].astype(np.uint32)
-                if full:
-                    out.append((r["part"], r["batch"], x.tobytes(), h[mine][more].tobytes(), df[mine][more].tobytes(), None))
-                else:
-                    x, c = np.unique(x, return_counts=True)
-                    out.append((r["part"], r["batch"], x.tobytes(), c.astype(np.uint32).tobytes(), None, None))
+            x = row[more].astype(np.uint32)
+            if full:
+                if more.any() or known:
+                    out.append((r["part"], r["batch"], x.tobytes(), h[mine][more].tobytes(), df[mine][more].tobytes(), r["d"], df[theirs].tobytes(), None))
+            elif more.any():
+                x, c = np.unique(x, return_counts=True)
+                out.append((r["part"], r["batch"], x.tobytes(), c.astype(np.uint32).tobytes(), None, None, None, None))
         return pa.Table.from_pylist([dict(zip(_ROWS.names, x, strict=True)) for x in out], schema=_ROWS)
 
     return run
@@ -154,7 +166,7 @@ _STATS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()
 def _sum_shared(table: pa.Table) -> pa.Table:
     own = [r for r in table.to_pylist() if r["part"].startswith("batch")][0]
     n = np.frombuffer(own["b"], np.int64)
-    shared = np.zeros(len(n), np.int64)
+    shared = np.frombuffer(own["e"], np.int64).copy()
     for r in table.to_pylist():
         if r is not own and not r["part"].startswith("batch"):
             shared[np.frombuffer(r["a"], np.uint32)] += np.frombuffer(r["b"], np.uint32)
@@ -176,6 +188,11 @@ def _ordered(percent: int):
         if not parts:
             return empty
         row, h, df = (np.concatenate([np.frombuffer(r[c], t) for r in parts]) for c, t in (("a", np.uint32), ("b", np.uint64), ("c", np.uint32)))
+        known, many = (np.concatenate([np.frombuffer(r[c], t) for r in parts]) for c, t in (("d", np.uint64), ("e", np.uint32)))
+        mine = np.frombuffer(own["f"], np.uint64)
+        at = np.argsort(known)
+        at = at[np.searchsorted(known, mine, sorter=at)] if len(mine) else at[:0]
+        row, h, df = np.concatenate([row, np.frombuffer(own["e"], np.uint32)]), np.concatenate([h, mine]), np.concatenate([df, many[at]])
         order = np.lexsort((h, df, row))
         row, h = row[order], h[order]
         cut = np.searchsorted(row, np.arange(len(n) + 1))

@@ -71,6 +71,18 @@ def test_many_near_copies(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_shingles_that_most_documents_have(spark, partitions):
+    """A phrase in all documents, twice in some; batches in which many, one or no document has it."""
+    phrase = "this line stands in every document of the table"
+    rows = [(i, f"{prose(30, i)} {phrase} {prose(20 + i % 5, i % 4)} {phrase if i % 3 else ''}", "en", "s") for i in range(50)]
+    rows += [(100 + i, f"{prose(30, i)} {phrase} {prose(20 + i % 5, i % 4)} {phrase if i % 3 else ''} more", "en", "s") for i in range(0, 50, 7)]
+    rows += [(200, phrase, "en", "s"), (201, None, None, None), (202, phrase, "en", "s")]
+    want = brute_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.link_components(table(spark, rows, partitions=partitions)).collect()}
+    assert got == want and any(k != c for k, (_, c) in want.items())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (200, 200)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
