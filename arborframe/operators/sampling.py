@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,22 @@ class Lcg:
         return sorted(chosen)
 
 
+class Mersenne:
+    """The 32-bit Mersenne Twister, seeded with one number, and its uniform doubles of 64 random bits (low word first)."""
+
+    def __init__(self, seed: int):
+        self.bits = np.random.MT19937()
+        self.bits._legacy_seeding(seed % M)
+
+    def words(self, n: int) -> np.ndarray:
+        return self.bits.random_raw(n)
+
+    def uniform(self, n: int) -> np.ndarray:
+        """n doubles in [0, 1)."""
+        low, high = self.words(2 * n).astype(np.float64).reshape(n, 2).T
+        return np.minimum((low + high * M) / float(M) ** 2, np.nextafter(1.0, 0.0))
+
+
 def jump(k: int) -> tuple[int, int]:
     """(a, c) with x_k = (a * x_0 + c) mod 2^32 for the state after k steps."""
     a, c = 1, 0

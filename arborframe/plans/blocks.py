@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import losses
 from ..operators.binning import BinMapper
+from ..operators.sampling import Mersenne
 from ..operators.tree import Tree
 
 BLOCK = 1 << 15
@@ -190,8 +191,10 @@ def quantised(job: Job, g: np.ndarray, h: np.ndarray, ids: np.ndarray) -> tuple[
         return g, h
     gs, hs = q
     if job.params.get("stochastic_rounding", True):
-        u = losses.uniform(ids, 99991 + job.iteration)
-        return ((np.trunc(g / gs + np.where(g >= 0, u, -u))) * gs).astype(np.float32), ((np.floor(h / hs + u)) * hs).astype(np.float32)
+        # a generator for each block, named by its first row, and iteration: the same draws in each pass and when a block is made again
+        first = int(losses.uniform(ids[:1], 99991 + job.iteration)[0] * 2**32) if len(ids) else 0
+        u, v = Mersenne(first).uniform(2 * len(ids)).reshape(2, -1)
+        return ((np.trunc(g / gs + np.where(g >= 0, u, -u))) * gs).astype(np.float32), ((np.floor(h / hs + v)) * hs).astype(np.float32)
     return (np.rint(g / gs) * gs).astype(np.float32), (np.rint(h / hs) * hs).astype(np.float32)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import arborframe as A
 from arborframe.functions import metrics, objectives
 from arborframe.operators import binning, losses, splits
-from arborframe.operators.sampling import Lcg, jump
+from arborframe.operators.sampling import Lcg, Mersenne, jump
 from arborframe.sources.matrix import from_dense
 
 N = 1500
@@ -77,6 +77,13 @@ def test_shapley_values_sum_to_the_prediction(frame):
         assert math.isclose(sum(r.c), r.prediction, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_mersenne_twister():
+    assert Mersenne(5489).words(10_000)[-1] == 4123659995  # the number that the C++ standard names
+    a, b = Mersenne(7).words(2000).astype(object), Mersenne(7).uniform(1000)
+    assert [float((low + high * 2**32) / 2**64) for low, high in zip(a[::2], a[1::2], strict=True)] == pytest.approx(list(b), abs=1e-15)
+    assert 0.0 <= b.min() and b.max() < 1.0 and abs(b.mean() - 0.5) < 0.03
+
+
 @pytest.mark.parametrize("objective,label", [("binary", "b"), ("regression_l1", "y"), ("huber", "y"), ("fair", "y"), ("quantile", "y"), ("cross_entropy", "b"), ("mape", "y")])
 def test_objectives_improve(frame, objective, label):
     hist = {}
