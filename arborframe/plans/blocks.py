@@ -68,15 +68,16 @@ def pack(mappers: list[BinMapper], roles: dict, classes: int, raw: bool):
         rows = 0
         for batch in batches:
             while batch.num_rows:
-                room = BLOCK - rows
+                room = max(BLOCK - rows, 0)
                 if batch.num_rows < room:
                     held.append(batch)
                     rows += batch.num_rows
                     break
                 cut = room
-                if roles.get("group"):  # to the end of the query
+                if roles.get("group"):  # to the end of the query, which may have begun in an earlier batch
                     ids = np.asarray(batch.column(batch.schema.get_field_index("query")))
-                    more = np.flatnonzero(ids[cut:] != ids[cut - 1])
+                    last = held[-1].column(held[-1].schema.get_field_index("query"))[-1].as_py() if held else ids[0]
+                    more = np.flatnonzero(ids[cut:] != np.append(last, ids[:-1])[cut:])
                     if not len(more):
                         held.append(batch)
                         rows += batch.num_rows

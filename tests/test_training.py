@@ -260,3 +260,23 @@ def test_linear_trees(data):
         out[own] = RATE * (a @ coef)
     assert any(f for _, f, _ in second.linear)
     assert np.allclose(got, s + out, atol=1e-4)
+
+
+@pytest.mark.parametrize("sizes", [[70000, 5, 60000, 3000], [32768, 40000, 7, 32761, 10]])
+def test_queries_longer_than_a_block(spark, sizes):
+    """Each query is in one block and next to its other rows, also one that goes on over several batches."""
+    from pyspark.sql import functions as F
+
+    from arborframe.plans import blocks as B
+
+    q = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(q)
+    x = np.arange(n) % 50 + 1.0
+    df = from_dense(spark, x[:, None], ["f0"], q=q, rel=(x > 20).astype(float) + (x > 40)).coalesce(1)
+    d = A.Dataset(df, "rel", group="q", feature_name=["f0"]).construct()
+    got = [len(r.q) // 8 - 1 for r in d.blocks.select("q").collect()]
+    lengths = sorted(int(k) for r in d.blocks.select("q").collect() for k in np.diff(np.frombuffer(r.q, np.int64)))
+    assert lengths == sorted(sizes) and sum(got) == len(sizes)
+    assert d.blocks.agg(F.sum("n")).first()[0] == n and B.BLOCK == 32768
+    b = A.train({"objective": "lambdarank", "num_leaves": 3}, d, 2)
+    assert b.predict(df).where("prediction is not null").count() == n
