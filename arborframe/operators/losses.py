@@ -84,13 +84,29 @@ def label_gains(p: dict) -> np.ndarray:
     return np.array(own, np.float64) if own else 2.0 ** np.arange(31) - 1.0
 
 
+def _pairs(s, gain, y, disc, s2, gain2, y2, disc2, best: float, spread: bool, k: float):
+    """Of one row and others behind it: lambda as it goes to the one row, its size and the hessian."""
+    up = y > y2
+    ds = np.where(up, s - s2, s2 - s)
+    delta = np.abs(gain - gain2) * np.abs(disc - disc2) / best
+    if spread:
+        delta = delta / (0.01 + np.abs(ds))
+    q = 1.0 / (1.0 + np.exp(np.clip(k * ds, -50, 50)))
+    lam, hes = k * delta * q, k * k * delta * q * (1.0 - q)
+    return np.where(up, -lam, lam), lam, hes
+
+
+def _discount(place):
+    return 1.0 / np.log2(2.0 + place)
+
+
 def lambdarank(s: np.ndarray, y: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
     """One query. Pairs of different labels of which the better ranked one is above the truncation level."""
     n = len(s)
     g, h = np.zeros(n), np.zeros(n)
     gain = label_gains(p)[y.astype(np.int64)]
     cut = p.get("lambdarank_truncation_level", 30)
-    disc = 1.0 / np.log2(2.0 + np.arange(n))
+    disc = _discount(np.arange(n))
     best = float((np.sort(gain)[::-1][:cut] * disc[:cut]).sum())
     if best <= 0 or n < 2:
         return g, h
@@ -104,14 +120,7 @@ def lambdarank(s: np.ndarray, y: np.ndarray, p: dict) -> tuple[np.ndarray, np.nd
         j = j[yo[j] != yo[i]]
         if not len(j):
             continue
-        up = yo[i] > yo[j]
-        ds = np.where(up, so[i] - so[j], so[j] - so[i])
-        delta = np.abs(go[i] - go[j]) * np.abs(disc[i] - disc[j]) / best
-        if spread:
-            delta = delta / (0.01 + np.abs(ds))
-        q = 1.0 / (1.0 + np.exp(np.clip(k * ds, -50, 50)))
-        lam, hes = k * delta * q, k * k * delta * q * (1.0 - q)
-        side = np.where(up, -lam, lam)  # of i
+        side, lam, hes = _pairs(so[i], go[i], yo[i], disc[i], so[j], go[j], yo[j], disc[j], best, spread, k)
         gs[i] += side.sum()
         gs[j] -= side
         hs[i] += hes.sum()
@@ -124,6 +133,36 @@ def lambdarank(s: np.ndarray, y: np.ndarray, p: dict) -> tuple[np.ndarray, np.nd
     return g, h
 
 
+def lambdarank_part(s: np.ndarray, y: np.ndarray, rank: np.ndarray, head: dict, p: dict):
+    """Some rows of a query, with their places in it, against the query's first rows (head: their s and y in order, best, spread).
+
+    With the sums over all parts (head: g, h, total): the rows' gradients and hessians. Without: what these rows give to those sums.
+    """
+    g, h = np.zeros(len(s)), np.zeros(len(s))
+    gains = label_gains(p)
+    gain, disc = gains[y.astype(np.int64)], _discount(rank)
+    cut = len(head["s"])
+    gs, hs, total = np.zeros(cut), np.zeros(cut), 0.0
+    for i in range(cut if head["best"] > 0 else 0):
+        j = np.flatnonzero((rank > i) & (y != head["y"][i]))
+        if not len(j):
+            continue
+        side, lam, hes = _pairs(head["s"][i], gains[int(head["y"][i])], head["y"][i], _discount(i), s[j], gain[j], y[j], disc[j], head["best"], head["spread"], p.get("sigmoid", 1.0))
+        gs[i], hs[i] = side.sum(), hes.sum()
+        g[j] -= side
+        h[j] += hes
+        total += 2.0 * lam.sum()
+    if "total" not in head:
+        return gs, hs, total
+    first = rank < cut
+    g[first] += head["g"][rank[first]]
+    h[first] += head["h"][rank[first]]
+    if p.get("lambdarank_norm", True) and head["total"] > 0:
+        f = np.log2(1.0 + head["total"]) / head["total"]
+        g, h = g * f, h * f
+    return g, h
+
+
 def xendcg(s: np.ndarray, y: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One query; u: uniform numbers. The gradient is a sum of three terms: the softmax less the relevance shares 2^y - u, and
     twice what the term before it, taken per unit of the others' share, moves through the other rows."""
@@ -141,6 +180,23 @@ def xendcg(s: np.ndarray, y: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.
     return g, share * (1.0 - share)
 
 
+def xendcg_part(s: np.ndarray, y: np.ndarray, u: np.ndarray, sums: list[float]):
+    """Some rows of a query. sums: over the whole query, as many as are known of the greatest score, the exponentials, the relevances and twice what
+    is moved. With all five the rows' gradients and hessians; else what these rows give to the next ones."""
+    if not sums:
+        return [float(s.max())]
+    share, relevance = np.exp(s - sums[0]), 2.0 ** y.astype(np.int64) - u
+    if len(sums) == 1:
+        return [float(share.sum()), float(relevance.sum())]
+    share = share / sums[1]
+    term = share - relevance / max(EPSILON, sums[2])
+    g = term.copy()
+    for moved in sums[3:]:
+        term = share * (moved - term / (1.0 - share))
+        g += term
+    return [float((term / (1.0 - share)).sum())] if len(sums) < 5 else (g, share * (1.0 - share))
+
+
 def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
     """A number in [0, 1) for each row id, whatever the partitions."""
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1342543DE82EF95 % 2**64)
@@ -152,13 +208,18 @@ def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)) / float(2**53)
 
 
+def draw(p: dict, iteration: int) -> int:
+    """The seed of an iteration's uniform numbers."""
+    return p.get("objective_seed", 5) + 7919 * iteration
+
+
 def gradients(name: str, s: np.ndarray, y: np.ndarray, w: np.ndarray | None, p: dict, bounds: np.ndarray | None, ids: np.ndarray, iteration: int, bias: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """s: classes x rows. Returns float32 gradients and hessians of the same shape. bounds: query boundaries; bias: per row, added to the scores of ranking losses."""
     name = canonical(name)
     if name in ("lambdarank", "rank_xendcg"):
         g, h = np.zeros(s.shape[1]), np.zeros(s.shape[1])
         t = s[0] if bias is None else s[0] + bias
-        u = uniform(ids, p.get("objective_seed", 5) + 7919 * iteration)
+        u = uniform(ids, draw(p, iteration))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             g[a:b], h[a:b] = lambdarank(t[a:b], y[a:b], p) if name == "lambdarank" else xendcg(t[a:b], y[a:b], u[a:b])
         if w is not None:

@@ -3,18 +3,23 @@
 A training job is one pass of mapInArrow over the cached blocks. Each partition adds its blocks' histograms, as integers,
 into one array per (class, leaf); where all of them together are small they go to the driver as they are, else they are summed by
 an aggregation first. Gradients, bagging and leaf membership are worked out again in each pass from the scores and the
-trees since: cheaper than writing them, and there is no state that a lost executor could lose.
+trees since: cheaper than writing them, and there is no state that a lost executor could lose. Ranking losses are the exception:
+their gradients, which cost more than a pass, are worked out once an iteration and cached with the bins (`graded`).
+
+A query is in one block, unless it has over WIDE rows: then its rows are dealt out in blocks that have no other query's, and its gradients
+come from the places of its rows, found by a sort over all tasks, and from sums over its blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..operators import losses
 from ..operators.binning import BinMapper
@@ -24,13 +29,20 @@ from ..operators.tree import Tree
 BLOCK = 1 << 15
 #: Bytes of partial histograms that may go to the driver unsummed.
 DIRECT = 64 << 20
-SQL = "block long, n int, bins binary, y binary, w binary, s binary, q binary, pos binary, raw binary"
-_NAMES = ["block", "n", "bins", "y", "w", "s", "q", "pos", "raw"]
-
-
-def pack(mappers: list[BinMapper], roles: dict, classes: int, raw: bool):
-    """Rows (f0, f1, ..., label, weight, init, query, position) to blocks. Rows of a query must be consecutive; a block has whole queries."""
+#: A query of more rows is dealt out.
+WIDE = 8 * BLOCK
+#: wide: the id of the query of which the block has some rows (else null); rank: their places in it; g, h: gradients, where they are kept.
+SQL = "block long, n int, bins binary, y binary, w binary, s binary, q binary, pos binary, raw binary, wide long, rank binary, g binary, h binary"
+_NAMES = ["block", "n", "bins", "y", "w", "s", "q", "pos", "raw", "wide", "rank", "g", "h"]
+_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 7, pa.int64(), *[pa.binary()] * 3]
+RANKING = ("lambdarank", "rank_xendcg")
+
+
+def pack(mappers: list[BinMapper], roles: dict, classes: int, raw: int, dealt: bool = False):
+    """Rows (f0, f1, ..., label, weight, init, query, position) to blocks. Rows of a query must be consecutive; a block has whole queries or, if
+    they are dealt out, those rows of one query that have the block's number as their last column, piece."""
     wide = any(m.num_bin > 256 for m in mappers)
+    cell = max(8 * classes, len(mappers) * (2 if wide else 1), 8 * raw)  # bytes that a row adds to a block's largest array
 
     def flush(parts: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
@@ -58,38 +70,38 @@ def pack(mappers: list[BinMapper], roles: dict, classes: int, raw: bool):
             out.append(x.tobytes())
         else:
             out.append(None)
-        return pa.RecordBatch.from_arrays([pa.array([v], ty) for v, ty in zip(out, [pa.int64(), pa.int32(), *[pa.binary()] * 7], strict=True)], _NAMES)
+        out += [int(ids[0]) if dealt else None, None, None, None]
+        return pa.RecordBatch.from_arrays([pa.array([v], ty) for v, ty in zip(out, _TYPES, strict=True)], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, number = TaskContext.get().partitionId() << 32, 0
+        by = "piece" if dealt else "query"
+        name = lambda: held[0].column(held[0].schema.get_field_index(by))[0].as_py() if dealt else base + number
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
             while batch.num_rows:
-                room = max(BLOCK - rows, 0)
-                if batch.num_rows < room:
+                cut = max(BLOCK - rows, 0)
+                if roles.get("group"):  # to the end of the query, which may have begun in an earlier batch
+                    ids = np.asarray(batch.column(batch.schema.get_field_index(by)))
+                    last = held[-1].column(held[-1].schema.get_field_index(by))[-1].as_py() if held else ids[0]
+                    cut = 0 if dealt else cut
+                    ends = np.flatnonzero(ids[cut:] != np.append(last, ids[:-1])[cut:])
+                    cut = cut + int(ends[0]) if len(ends) else batch.num_rows + 1
+                if batch.num_rows < cut:
                     held.append(batch)
                     rows += batch.num_rows
+                    if rows * cell >= 1 << 31:
+                        raise ValueError("a query has too many rows for one block, which a custom objective needs")
                     break
-                cut = room
-                if roles.get("group"):  # to the end of the query, which may have begun in an earlier batch
-                    ids = np.asarray(batch.column(batch.schema.get_field_index("query")))
-                    last = held[-1].column(held[-1].schema.get_field_index("query"))[-1].as_py() if held else ids[0]
-                    more = np.flatnonzero(ids[cut:] != np.append(last, ids[:-1])[cut:])
-                    if not len(more):
-                        held.append(batch)
-                        rows += batch.num_rows
-                        if rows > 64 * BLOCK:
-                            raise ValueError("a query has too many rows")
-                        break
-                    cut += int(more[0])
-                held.append(batch[:cut])
-                yield flush(held, base + number)
+                if cut:
+                    held.append(batch[:cut])
+                yield flush(held, name())
                 held, rows, number, batch = [], 0, number + 1, batch[cut:]
         if rows:
-            yield flush(held, base + number)
+            yield flush(held, name())
 
     return run
 
@@ -110,6 +122,7 @@ class Job:
     fobj: object = None
     bias: dict | None = None  # position -> score bias
     fixed: list[float] | None = None  # scores at which gradients are taken (random forest)
+    heads: dict | None = None  # query that is dealt out -> what its blocks must know of it
 
     def __post_init__(self):
         self.at = {m.feature: i for i, m in enumerate(self.mappers)}
@@ -132,7 +145,10 @@ class Rows:
         self.q = np.frombuffer(row["q"], np.int64) if row["q"] is not None else None
         self.pos = np.frombuffer(row["pos"], np.int64) if row["pos"] is not None else None
         self.x = np.frombuffer(row["raw"], np.float64).reshape(self.n, -1) if row["raw"] is not None else None
-        self.base = np.frombuffer(row["s"], np.float64).reshape(job.classes, self.n)
+        self.base = np.frombuffer(row["s"], np.float64).reshape(job.classes, self.n) if row["s"] is not None else None
+        self.wide = row["wide"]
+        self.rank = np.frombuffer(row["rank"], np.int64) if row["rank"] is not None else None
+        self.kept = tuple(np.frombuffer(row[c], np.float32).reshape(job.classes, self.n) for c in "gh") if row["g"] is not None else None
         self.ids = np.int64((self.block * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63) + np.arange(self.n)  # blocks of any number of partitions keep apart
 
     def scores(self) -> np.ndarray:
@@ -146,17 +162,50 @@ class Rows:
     def leaves(self, tree: Tree) -> np.ndarray:
         return tree.leaf_of_bins(self.bins, self.job.by_feature, self.job.at)
 
+    def current(self) -> np.ndarray:
+        """The scores at which gradients are taken."""
+        j = self.job
+        return np.repeat(np.array(j.fixed)[:, None], self.n, axis=1) if j.fixed is not None else self.scores()
+
+    def bias(self) -> np.ndarray | None:
+        j = self.job
+        return None if j.bias is None or self.pos is None else np.array([j.bias.get(int(p), 0.0) for p in self.pos])
+
+    def queries(self) -> np.ndarray:
+        """A number for each query: its first row's, or its id if it is dealt out."""
+        return self.ids[self.q[:-1]] if self.wide is None else np.array([self.wide])
+
     def gradients(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.kept is not None:
+            return self.kept
         j = self.job
-        s = np.repeat(np.array(j.fixed)[:, None], self.n, axis=1) if j.fixed is not None else self.scores()
+        if self.wide is not None and j.fobj is not None:
+            raise ValueError("a custom objective needs whole queries: construct the Dataset with objective='custom' in its params")
+        if self.wide is not None and losses.canonical(j.objective) in RANKING:
+            g, h = self.part(j.heads[self.wide])
+            if self.w is not None:
+                g, h = g * self.w, h * self.w
+            return g[None].astype(np.float32), h[None].astype(np.float32)
+        s = self.current()
         if j.fobj is not None:
             g, h = j.fobj(s if j.classes > 1 else s[0], self.y, self.w, self.q)
             return np.asarray(g, np.float32).reshape(j.classes, self.n), np.asarray(h, np.float32).reshape(j.classes, self.n)
-        bias = None if j.bias is None or self.pos is None else np.array([j.bias.get(int(p), 0.0) for p in self.pos])
         y = self.y.astype(np.float64)
         if j.params.get("reg_sqrt") and j.objective in ("regression", "regression_l1", "huber", "fair", "quantile", "mape"):
             y = losses.sgn(y) * np.sqrt(np.abs(y))
-        return losses.gradients(j.objective, s, y, self.w, j.params, self.q, self.ids, j.iteration, bias)
+        return losses.gradients(j.objective, s, y, self.w, j.params, self.q, self.ids, j.iteration, self.bias())
+
+    def ranked(self) -> np.ndarray:
+        """The scores that a ranking loss compares."""
+        s, bias = self.current()[0], self.bias()
+        return (s if bias is None else s + bias) + 0.0  # no -0.0, which a sort may put behind 0.0
+
+    def part(self, head):
+        """A ranking loss on rows of one query that has others in other blocks."""
+        j = self.job
+        if losses.canonical(j.objective) == "lambdarank":
+            return losses.lambdarank_part(self.ranked(), self.y, self.rank, head, j.params)
+        return losses.xendcg_part(self.ranked(), self.y, losses.uniform(self.ids, losses.draw(j.params, j.iteration)), head)
 
     def sampled(self, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Gradients and hessians with the sampling's factors, and which rows are in (None: all)."""
@@ -170,8 +219,7 @@ class Rows:
             f = np.where(top, 1.0, p["factor"]).astype(np.float32)
             return g * f, h * f, top | other
         if p["kind"] == "query" and self.q is not None:
-            first = self.ids[self.q[:-1]]
-            keep = np.repeat(losses.uniform(first, p["seed"]) < p["fraction"], np.diff(self.q))
+            keep = np.repeat(losses.uniform(self.queries(), p["seed"]) < p["fraction"], np.diff(self.q))
         elif p["kind"] == "balanced":
             keep = losses.uniform(self.ids, p["seed"]) < np.where(self.y > 0, p["positive"], p["negative"])
         else:
@@ -253,6 +301,137 @@ def histograms(blocks: DataFrame, job: Job, wanted: list[tuple[int, Tree, list[i
     return {key: got.get(key, np.zeros((f, b, 3), np.int64)) for key in keys}
 
 
+def _one(**cells) -> pa.RecordBatch:
+    """A row of (type, value) cells."""
+    return pa.RecordBatch.from_arrays([pa.array([v], ty) for ty, v in cells.values()], list(cells))
+
+
+_LONG, _DOUBLE, _DOUBLES = pa.int64(), pa.float64(), pa.list_(pa.float64())
+
+
+def _merged(parts: DataFrame, add, schema: str) -> DataFrame:
+    """One row for each query from those of its blocks, in the blocks' order."""
+    return parts.groupBy("wide").applyInArrow(lambda t: pa.Table.from_batches([add(t.sort_by("block").to_pylist())]), schema)
+
+
+def _places(wide: DataFrame, job: Job) -> tuple[DataFrame, list[DataFrame]]:
+    """The blocks with the places of their rows in their queries, by descending score, and what is cached for that. A sort over all tasks; the driver
+    gets the number of rows of each query in each range."""
+
+    def rows(batches):
+        for r in _opened(job, batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(r.n, r.wide)), pa.array(r.ranked()), pa.array(np.full(r.n, r.block)), pa.array(np.arange(r.n, dtype=np.int32))], ["wide", "s", "block", "i"])
+
+    order = ["wide", F.col("s").desc(), "block", "i"]
+    n = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = wide.mapInArrow(rows, "wide long, s double, block long, i int").repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    before, start = {}, {}
+    for r in sorted(ranges.groupBy("p", "wide").agg(F.count("*").alias("rows")).collect(), key=lambda r: r.p):
+        start[r.p, r.wide] = before.get(r.wide, 0)
+        before[r.wide] = start[r.p, r.wide] + r.rows
+
+    def number(batches):
+        at = {}
+        for batch in batches:
+            p, q = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("p", "wide"))
+            edges = np.append(np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1]))), len(p))
+            rank = np.empty(len(p), np.int64)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                key = (int(p[a]), int(q[a]))
+                first = at.get(key, start[key])
+                rank[a:b] = np.arange(first, first + b - a)
+                at[key] = first + b - a
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("block")), batch.column(batch.schema.get_field_index("i")), pa.array(rank)], ["block", "i", "rank"])
+
+    def collected(t: pa.Table) -> pa.Table:
+        rank = np.empty(t.num_rows, np.int64)
+        rank[np.asarray(t.column("i").combine_chunks())] = np.asarray(t.column("rank").combine_chunks())
+        return pa.table({"block": t.column("block")[:1], "rank": pa.array([rank.tobytes()], pa.binary())})
+
+    ranks = ranges.mapInArrow(number, "block long, i int, rank long").groupBy("block").applyInArrow(collected, "block long, rank binary")
+    out = wide.drop("rank").join(ranks, "block").select(*_NAMES).persist(StorageLevel.MEMORY_AND_DISK)
+    return out, [ranges, out]
+
+
+def _lambdarank_heads(wide: DataFrame, job: Job) -> dict:
+    """For each query its first rows, the greatest DCG and the sums that its first rows get from all blocks: some KB a query."""
+    cut, norm = job.params.get("lambdarank_truncation_level", 30), job.params.get("lambdarank_norm", True)
+    gains = losses.label_gains(job.params)
+
+    def tops(batches):
+        for r in _opened(job, batches):
+            s, gain = r.ranked(), np.sort(gains[r.y.astype(np.int64)])[::-1][:cut]
+            own = np.flatnonzero(r.rank < cut)
+            yield _one(wide=(_LONG, r.wide), block=(_LONG, r.block), rank=(_DOUBLES, r.rank[own].astype(float)), s=(_DOUBLES, s[own]), y=(_DOUBLES, r.y[own].astype(float)), gain=(_DOUBLES, gain), low=(_DOUBLE, s.min()))
+
+    def first(parts: list[dict]) -> pa.RecordBatch:
+        rank, s, y, gain = (np.concatenate([x[c] for x in parts]) for c in ("rank", "s", "y", "gain"))
+        order, best = np.argsort(rank), np.sort(gain)[::-1][:cut]
+        s, y = s[order], y[order]
+        best = float((best * losses._discount(np.arange(len(best)))).sum())
+        return _one(wide=(_LONG, parts[0]["wide"]), s=(_DOUBLES, s), y=(_DOUBLES, y), best=(_DOUBLE, best), spread=(pa.bool_(), bool(norm and len(s) and s[0] != min(x["low"] for x in parts))))
+
+    r = _merged(wide.mapInArrow(tops, "wide long, block long, rank array<double>, s array<double>, y array<double>, gain array<double>, low double"), first, "wide long, s array<double>, y array<double>, best double, spread boolean").collect()
+    heads = {x.wide: {"s": np.array(x.s), "y": np.array(x.y, np.float32), "best": x.best, "spread": x.spread} for x in r}
+    known = replace(job, heads=heads)
+
+    def sums(batches):
+        for r in _opened(known, batches):
+            g, h, total = r.part(heads[r.wide])
+            yield _one(wide=(_LONG, r.wide), block=(_LONG, r.block), g=(_DOUBLES, g), h=(_DOUBLES, h), total=(_DOUBLE, total))
+
+    def add(parts: list[dict]) -> pa.RecordBatch:
+        return _one(wide=(_LONG, parts[0]["wide"]), **{c: (_DOUBLES, np.sum([x[c] for x in parts], axis=0)) for c in "gh"}, total=(_DOUBLE, sum(x["total"] for x in parts)))
+
+    for x in _merged(wide.mapInArrow(sums, "wide long, block long, g array<double>, h array<double>, total double"), add, "wide long, g array<double>, h array<double>, total double").collect():
+        heads[x.wide] |= {"g": np.array(x.g), "h": np.array(x.h), "total": x.total}
+    return heads
+
+
+def _xendcg_heads(wide: DataFrame, job: Job) -> dict:
+    """For each query the five numbers that its rows' gradients need, in four passes."""
+    heads: dict[int, list[float]] = {}
+    for i in range(4):
+
+        def sums(batches):
+            for r in _opened(job, batches):
+                yield _one(wide=(_LONG, r.wide), block=(_LONG, r.block), v=(_DOUBLES, r.part(heads.get(r.wide, []))))
+
+        def add(parts: list[dict], greatest: bool = i == 0) -> pa.RecordBatch:
+            return _one(wide=(_LONG, parts[0]["wide"]), v=(_DOUBLES, (np.max if greatest else np.sum)([x["v"] for x in parts], axis=0)))
+
+        for x in _merged(wide.mapInArrow(sums, "wide long, block long, v array<double>"), add, "wide long, v array<double>").collect():
+            heads[x.wide] = [*heads.get(x.wide, []), *x.v]
+    return heads
+
+
+def graded(blocks: DataFrame, job: Job, dealt: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """The blocks with gradients and hessians of a ranking loss in the place of scores, cached, and what else is cached until they are there. dealt: whether queries are dealt out."""
+
+    def grade(job):
+        def run(batches):
+            for batch in batches:
+                got = [job.open(r).gradients() for r in batch.to_pylist()]
+                new = {"g": [g.tobytes() for g, _ in got], "h": [h.tobytes() for _, h in got], "s": [None] * len(got), "rank": [None] * len(got)}
+                for c, v in new.items():
+                    batch = batch.set_column(batch.schema.get_field_index(c), c, pa.array(v, pa.binary()))
+                yield batch
+
+        return run
+
+    own, temporary = blocks, []
+    if dealt:
+        wide = blocks.where("wide is not null")
+        own = blocks.where("wide is null")
+        if losses.canonical(job.objective) == "lambdarank":
+            wide, temporary = _places(wide, job)
+        heads = (_lambdarank_heads if losses.canonical(job.objective) == "lambdarank" else _xendcg_heads)(wide, job)
+    out = own.mapInArrow(grade(job), SQL)
+    if dealt:
+        out = out.union(wide.mapInArrow(grade(replace(job, heads=heads)), SQL))
+    return out.persist(StorageLevel.MEMORY_AND_DISK), temporary
+
+
 def summary(blocks: DataFrame, job: Job) -> dict:
     """Largest gradient and hessian, their sums per class, rows; one row per partition goes to the driver."""
 
@@ -330,7 +509,7 @@ def scored(blocks: DataFrame, job: Job) -> DataFrame:
     def run(batches):
         for rows in _opened(job, batches):
             s = rows.scores()
-            q = np.repeat(rows.ids[rows.q[:-1]], np.diff(rows.q)) if rows.q is not None else np.zeros(rows.n, np.int64)
+            q = np.repeat(rows.queries(), np.diff(rows.q)) if rows.q is not None else np.zeros(rows.n, np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(rows.n + 1) * job.classes, pa.int32()), pa.array(s.T.ravel()))
             w = np.ones(rows.n) if rows.w is None else rows.w.astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(rows.ids), pa.array(rows.y.astype(np.float64)), pa.array(w), pa.array(q), flat], ["row", "label", "weight", "query", "score"])

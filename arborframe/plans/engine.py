@@ -13,7 +13,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -60,6 +60,8 @@ class Dataset:
         self.mappers: list[binning.BinMapper] | None = None
         self.blocks: DataFrame | None = None
         self.rows: int | None = None
+        self.dealt = False  # whether rows of a query are in several blocks
+        self.whole = False  # whether they must not be
         if feature_name == "auto":
             init = init_score if isinstance(init_score, list) else [init_score]
             used = {label, weight, group, position, *init}
@@ -111,17 +113,38 @@ class Dataset:
         init = self.init_score
         init = F.array(*[num(c) for c in init]) if isinstance(init, list) else F.col(f"`{init}`").cast("array<double>") if init and dict(self.data.dtypes)[init].startswith("array") else F.array(num(init))
         rows = self.data.select(*cols, num(self.label).alias("label"), num(self.weight).alias("weight"), init.alias("init"), (F.xxhash64(F.col(f"`{self.group}`")) if self.group else F.lit(0).cast("long")).alias("query"), (F.col(f"`{self.position}`").cast("long") if self.position else F.lit(0).cast("long")).alias("position"))
+        self.dealt = False
+        packed = lambda rows, dealt=False: rows.mapInArrow(B.pack(self.used, roles, classes, len(self.features) if self.linear else 0, dealt), B.SQL)
         if self.group:  # whole queries in one partition, next to each other
             # in the order that they came in, whichever order the shuffle brings them in: a lost block is made again alike
-            rows = rows.withColumn("_o", F.monotonically_increasing_id()).repartition("query").sortWithinPartitions("query", "_o").drop("_o")
-        packed = rows.mapInArrow(B.pack(self.used, roles, classes, len(self.features) if self.linear else 0), B.SQL)
+            long, rows = self._long_queries(rows), rows.withColumn("_o", F.monotonically_increasing_id())
+            self.dealt = long is not None
+            own = rows.join(F.broadcast(long), "query", "left_anti") if self.dealt else rows
+            blocks = packed(own.repartition("query").sortWithinPartitions("query", "_o").drop("_o"))
+            if self.dealt:
+                beside = rows.join(F.broadcast(long), "query").withColumn("_p", F.shiftright("_o", 33)).persist(StorageLevel.MEMORY_AND_DISK)  # _o in one way only
+                blocks = blocks.union(packed(_pieces(beside), True))
+            packed = blocks
+        else:
+            packed = packed(rows)
         cores = self.data.sparkSession.sparkContext.defaultParallelism
         if packed.rdd.getNumPartitions() < cores:  # few large files: blocks (compact, and named by where they were made) are dealt to all cores
             packed = packed.repartition(cores)
         self.blocks = packed.persist(StorageLevel.MEMORY_AND_DISK)
+        if self.dealt:
+            self.blocks.select("n").count()
+            beside.unpersist()
         self.classes = classes
         return self
 
+    def _long_queries(self, rows: DataFrame) -> DataFrame | None:
+        """(query, _k) of the queries with so many rows that these are dealt out; None if there are none. The driver gets one id for each, so one for B.WIDE rows at most."""
+        of = self.params.get("objective")
+        if self.whole or callable(of) or (of and objectives.canonical(of) == "custom") or self.num_data() <= B.WIDE:
+            return None
+        ids = sorted(r.query for r in rows.groupBy("query").count().where(F.col("count") > B.WIDE).select("query").collect())
+        return self.data.sparkSession.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), "query long, _k long") if ids else None
+
     def create_valid(self, data: DataFrame, label: str | None = None, **roles) -> Dataset:
         own = {"weight": self.weight, "group": self.group, "init_score": None, "position": self.position} | roles
         return Dataset(data, label or self.label, reference=self, feature_name=self.features, params=self.params, **own)
@@ -238,6 +261,19 @@ class Dataset:
         raise ValueError("add_features_from is not supported: join the DataFrames by a key")
 
 
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Rows of long queries (_k: the query's number; _o: the order, in which the parts _p follow each other) with the number of their block, which has
+    the next B.BLOCK rows of one query. Places are counted inside the parts, then over them, so no task sees a whole query."""
+    spark = rows.sparkSession
+    inside = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_k", "_p").orderBy("_o")) - 1)
+    counts = rows.groupBy("_k", "_p").agg(F.count("*").alias("_c"))
+    before = counts.select("_k", "_p", F.coalesce(F.sum("_c").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    block = F.lit(1 << 62) + F.shiftleft(F.col("_k"), 32) + F.floor((F.col("_i") + F.col("_b")) / B.BLOCK).cast("long")
+    placed = inside.join(before, ["_k", "_p"]).withColumn("piece", block)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(n, "piece").sortWithinPartitions("piece", "_o").drop("_k", "_p", "_o", "_i", "_b")
+
+
 class Booster:
     """A model: trees on the driver, and while it trains, the blocks of its training rows."""
 
@@ -311,6 +347,7 @@ class Booster:
         self.interaction = self._interaction(p["interaction_constraints"])
         self._started = False
         self._finished = False
+        self._now, self._beside = None, []
 
     def _per_feature(self, v) -> dict[int, Any] | None:
         if not v:
@@ -330,6 +367,17 @@ class Booster:
         it = self.current_iteration() if iteration is None else iteration
         return B.Job(self.train_set.used, self.objective, self.loss_params, self.classes, list(state["pending"]), list(state.get("constant", [0.0] * self.classes)), it, {}, (30, 30), self.fobj, self._bias)
 
+    def _graded(self, job: B.Job) -> None:
+        """The blocks that this iteration's passes read: with a ranking loss' gradients, which cost more than a pass, or as they are."""
+        self._now = self.state["blocks"]
+        if self.objective in B.RANKING and self.fobj is None:
+            self._now, self._beside = B.graded(self._now, job, self.train_set.dealt)
+
+    def _ungraded(self) -> None:
+        if self._now is not self.state["blocks"]:
+            self._now.unpersist()
+        self._now = None
+
     # ---- one iteration
 
     def _start(self) -> None:
@@ -360,7 +408,7 @@ class Booster:
         if p["data_sample_strategy"] == "goss":
             if p["learning_rate"] > 0 and iteration < int(1 / p["learning_rate"]):
                 return {}
-            t = B.goss_threshold(self.state["blocks"], job, p["top_rate"], self._n)
+            t = B.goss_threshold(self._now, job, p["top_rate"], self._n)
             rest = 1 - p["top_rate"]
             return {"kind": "goss", "threshold": t, "rate": p["other_rate"] / rest if rest else 0.0, "factor": rest / p["other_rate"] if p["other_rate"] else 0.0, "seed": p["bagging_seed"] + 104729 * iteration}
         freq = p["bagging_freq"]
@@ -392,7 +440,10 @@ class Booster:
             job.pending = job.pending + [(k, _scaled(t, -1.0)) for k, t in dropped]
         if rf:
             job.fixed, job.pending = list(self.state.get("constant", self.constant)), []
-        stats = B.summary(self.state["blocks"], job)
+        self._graded(job)
+        stats = B.summary(self._now, job)
+        for x in self._beside:
+            x.unpersist()
         self._n = stats["n"]
         job.sampling = self._sampling(job, it)
         factor = job.sampling.get("factor", 1.0) or 1.0
@@ -405,6 +456,7 @@ class Booster:
         grown = [self._grow(job, k, it) for k in range(self.classes)]
         stump = all(t.leaves == 1 for t in grown)
         if stump and self.trees:
+            self._ungraded()
             self._finished = True  # dropped trees were taken out of this iteration's gradients alone: nothing is to be put back
             return True
         rate = 1.0 if rf else p["learning_rate"]
@@ -412,6 +464,7 @@ class Booster:
         if p["linear_tree"]:
             for k, t in enumerate(grown):
                 self._fit_linear(job, t, k)
+        self._ungraded()
         if dart:
             rate = self._normalise(dropped, rate)
             self._tree_weight.append(rate)
@@ -451,7 +504,7 @@ class Booster:
             feats = [feats[i] for i in self._lcg_feature.sample(len(feats), max(1, round(len(feats) * p["feature_fraction"])))]
         spec = Tree()  # everything tried so far
         scale = np.array([2.0 ** -job.bits[0], 2.0 ** -job.bits[1], 1.0])
-        blocks = self.state["blocks"]
+        blocks = self._now
         first = B.histograms(blocks, job, [(k, Tree(), [0])], self.parts)[k, 0]
         info: dict[int, dict] = {}
         self._evaluate(info, 0, first, scale, used, rules, set(feats), 0, 0.0, -math.inf, math.inf, frozenset(), by)
@@ -635,7 +688,7 @@ class Booster:
             next_id += 2
             info["kids"][i], info["leaf_of"][a], info["leaf_of"][c] = (a, c), leaf, right
             info["forced"].append(i)
-            got = B.histograms(self.state["blocks"], job, [(k, spec, [leaf])], self.parts)[k, leaf]
+            got = B.histograms(self._now, job, [(k, spec, [leaf])], self.parts)[k, leaf]
             (llo, lhi), (rlo, rhi) = _bounds(s, here["lo"], here["hi"])
             for child, hist, out, lo, hi, key in ((a, got, s.left_out, llo, lhi, "left"), (c, here["hist"] - got, s.right_out, rlo, rhi, "right")):
                 self._evaluate(info, child, hist, scale, used, rules, feats, here["depth"] + 1, out, lo, hi, here["path"] | {f}, by)
@@ -652,13 +705,13 @@ class Booster:
         if name not in ("regression_l1", "quantile", "mape"):
             exact = B.Job(**{**{f: getattr(job, f) for f in job.__dataclass_fields__}, "params": {k: v for k, v in job.params.items() if k != "quant_scale"}})
             for k, t in enumerate(grown):
-                s = B.leaf_sums(self.state["blocks"], exact, t, k)
+                s = B.leaf_sums(self._now, exact, t, k)
                 for i in range(t.leaves):
                     if s[i, 2]:
                         t.value[i] = float(-s[i, 0] / (s[i, 1] + self.params["lambda_l2"]))
             return
         alpha = self.params["alpha"] if name == "quantile" else 0.5
-        rows = B.leaf_values(self.state["blocks"], job, [(k, t) for k, t in enumerate(grown) if t.leaves > 1])
+        rows = B.leaf_values(self._now, job, [(k, t) for k, t in enumerate(grown) if t.leaves > 1])
         if name == "mape" or self.train_set.weight:
             got = objectives.weighted_percentile(rows.withColumn("row_id", F.monotonically_increasing_id()), "r", "w", alpha, ["k", "leaf"]).collect()
         else:
@@ -676,7 +729,7 @@ class Booster:
                     f.add(t.feature[node])
                 node = parent_of.get(node, -1)
             paths.append(sorted(f) if self.trees else [])  # the first tree is constant
-        sums = B.linear_sums(self.state["blocks"], job, t, k, paths)
+        sums = B.linear_sums(self._now, job, t, k, paths)
         t.linear = []
         for i, f in enumerate(paths):
             a, b, n = sums[i]
@@ -750,9 +803,13 @@ class Booster:
         """One Newton step per display position on the summed gradients."""
         reg, rate = self.params["lambdarank_position_bias_regularization"], self.params["learning_rate"]
         job = self._job(self.state)
-        for pos, (g, h, n) in B.position_sums(self.state["blocks"], job).items():
+        self._graded(job)
+        for pos, (g, h, n) in B.position_sums(self._now, job).items():
             b = self._bias.get(pos, 0.0)
             self._bias[pos] = b + rate * (-g - b * reg * n) / (h + reg * n + 0.001)
+        for x in self._beside:
+            x.unpersist()
+        self._ungraded()
 
     def _merge(self) -> None:
         for s in [self.state, *(v[2] for v in self.valid)]:
@@ -1012,7 +1069,11 @@ class Booster:
         for i, t in enumerate(new.trees):
             k = i % self.classes
             job = _RawJob(d.used, self.objective, p, self.classes, [x for x in done if x[1] is not None][: (i // self.classes) * self.classes])
-            s = B.leaf_sums(d.blocks, job, t, k)
+            ranking = self.objective in B.RANKING
+            blocks, beside = B.graded(d.blocks, job, d.dealt) if ranking else (d.blocks, [])
+            s = B.leaf_sums(blocks, job, t, k)
+            for x in [*beside, *([blocks] if ranking else [])]:
+                x.unpersist()
             for j in range(t.leaves):
                 g, h, n = s[j]
                 t.value[j] = refitted(t.value[j], g, h, n, t.shrinkage, decay, splits.Rules(l1=p["lambda_l1"], l2=p["lambda_l2"], max_delta_step=p["max_delta_step"]))
@@ -1079,6 +1140,7 @@ def train(params: dict, train_set: Dataset, num_boost_round: int = 100, valid_se
     if pre is not None:
         train_set = _with_init(train_set, pre)
         valid_sets = [_with_init(v, pre) for v in valid_sets or []]
+    train_set.whole = train_set.whole or fobj is not None
     booster = Booster(params, train_set)
     for i, v in enumerate(valid_sets or []):
         name = valid_names[i] if valid_names and i < len(valid_names) else f"valid_{i}"

@@ -280,3 +280,62 @@ def test_queries_longer_than_a_block(spark, sizes):
     assert d.blocks.agg(F.sum("n")).first()[0] == n and B.BLOCK == 32768
     b = A.train({"objective": "lambdarank", "num_leaves": 3}, d, 2)
     assert b.predict(df).where("prediction is not null").count() == n
+
+
+@pytest.fixture(scope="module")
+def long_queries(spark):
+    rng = np.random.default_rng(3)
+    q = rng.permutation(np.repeat(np.arange(6), [900, 30, 1500, 80, 3, 700]))
+    n = len(q)
+    x = rng.integers(1, 30, (n, 2)).astype(float)
+    rel = np.digitize(x[:, 0] + rng.normal(0, 6, n), [8, 15, 25]).astype(float)
+    return from_dense(spark, x, ["f0", "f1"], q=q, rel=rel, w=rng.uniform(0.5, 2, n), start=rng.integers(0, 40, n) / 10, pos=rng.integers(0, 5, n)).coalesce(1).cache()
+
+
+@pytest.mark.parametrize("objective", ["lambdarank", "rank_xendcg"])
+def test_gradients_of_queries_that_are_dealt_out(long_queries, monkeypatch, objective):
+    """Rows of a query in several blocks get the gradients that they get in one."""
+    from arborframe.plans import blocks as B
+
+    monkeypatch.setattr(B, "WIDE", 100)
+    monkeypatch.setattr(B, "BLOCK", 256)
+    d = A.Dataset(long_queries, "rel", group="q", weight="w", init_score="start", feature_name=["f0", "f1"], params={"objective": objective}).construct()
+    job = B.Job(d.used, objective, {}, 1, iteration=3)
+    out, beside = B.graded(d.blocks, job, d.dealt)
+    before, after = {r.block: r.asDict() for r in d.blocks.select("*").collect()}, {r.block: r.asDict() for r in out.collect()}
+    wide = {}
+    for k, r in sorted(before.items()):
+        if r["wide"] is not None:
+            wide.setdefault(r["wide"], []).append(k)
+    assert d.dealt and len(wide) == 3 and sorted(map(len, wide.values())) == [3, 4, 6] and sum(r["n"] for r in after.values()) == 3213
+    for parts in wide.values():
+        rows = [job.open(before[k]) for k in parts]
+        s, y, u = (np.concatenate(v) for v in zip(*((r.base[0], r.y, losses.uniform(r.ids, losses.draw({}, 3))) for r in rows), strict=True))
+        g, h = losses.lambdarank(s, y, {}) if objective == "lambdarank" else losses.xendcg(s, y, u)
+        w = np.concatenate([r.w for r in rows])
+        got = [np.concatenate([np.frombuffer(after[k][c], np.float32) for k in parts]) for c in "gh"]
+        assert np.abs(g).max() > 0 and np.allclose(got[0], g * w, rtol=1e-5, atol=1e-9) and np.allclose(got[1], h * w, rtol=1e-5, atol=1e-9)
+    for x in (out, *beside):
+        x.unpersist()
+
+
+def test_training_on_queries_that_are_dealt_out(long_queries, monkeypatch):
+    """The same trees as with each query in one block; a custom objective gets whole queries."""
+    from arborframe.plans import blocks as B
+
+    def run(**p):
+        d = A.Dataset(long_queries, "rel", group="q", init_score="start", position="pos", feature_name=["f0", "f1"])
+        b = A.train({"objective": "lambdarank", "num_leaves": 5, **p}, d, 3)
+        return d.dealt, [(t.feature, t.threshold, t.count, np.round(t.value, 5).tolist()) for t in b.trees]
+
+    whole = run()
+    monkeypatch.setattr(B, "WIDE", 100)
+    monkeypatch.setattr(B, "BLOCK", 256)
+    dealt = run()
+    assert not whole[0] and dealt[0] and dealt[1] == whole[1]
+
+    def custom(s, y, w, q):
+        assert len(q) == 7 and q[-1] == 3213 or set(np.diff(q)) <= {900, 30, 1500, 80, 3, 700}
+        return s - y, np.ones(len(s))
+
+    assert not run(objective=custom)[0]
